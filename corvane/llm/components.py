@@ -22,10 +22,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     ignored, repeated edges count once; no edges give no rows.
     """
     links = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    now = written(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-                  if not _nested(links) else links.select(
-                      F.when(F.col("x") > F.col("y"), F.col("x")).otherwise(F.col("y")).alias("u"),
-                      F.when(F.col("x") > F.col("y"), F.col("y")).otherwise(F.col("x")).alias("v")).distinct(), "edges")
+    falls = F.col("x") > F.col("y")
+    now = links.select(F.when(falls, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(falls, F.col("y")).otherwise(F.col("x")).alias("v"))
+    now = written(now.distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
@@ -43,6 +42,3 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(now.select("v", "v").distinct())
 
-
-def _nested(df: DataFrame) -> bool:
-    return df.schema[0].dataType.typeName() == "struct"
