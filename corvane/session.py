@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that Python workers can
+    import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="corvane-ship-")) / "corvane.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, f"{here.name}/{p.relative_to(here)}")
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
 
 def build_session(app: str = "corvane", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine relies on; *conf* (dots as ``__``) overrides them.
@@ -30,4 +50,5 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table *name* of a data directory (any URI that Spark reads)."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
