@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, quality, simhash, urlfilter
+from . import bpe, chat, decontaminate, langid, license, quality, simhash, urlfilter
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(pages, urlfilter.rules_frame(spark)).select("row.page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_chat_format, op5_decontamination, op6_quality_rules, op8_url_filters)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license.scan(docs).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_chat_format, op5_decontamination, op6_quality_rules, op8_url_filters, op9_license_scan, op10_language_id)}
 
-ORACLE_SQL = {"op4_chat_format": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_url_filters": urlfilter.SQL}
+ORACLE_SQL = {"op4_chat_format": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_url_filters": urlfilter.SQL, "op9_license_scan": license.SQL}

@@ -22,6 +22,9 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
+#: Bytes of compiled rules that a broadcast may hold; with more, the join shuffles.
+BROADCAST = 50_000_000
+
 
 def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
@@ -57,8 +60,9 @@ def verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default: str
     give no rows, no rules give the default for all; other columns stay inside ``row``.
     """
     table = compiled(rules)
-    depth = table.agg(F.max(F.expr("size(split(rule_host, '[.]'))")), F.max(F.expr("size(split(stem, '/'))"))).first()
-    labels, slashes = depth[0] or 0, depth[1] or 0
+    facts = table.agg(F.max(F.expr("size(split(rule_host, '[.]'))")), F.max(F.expr("size(split(stem, '/'))")), F.sum(F.expr("200 + 2 * length(rule_host) + 2 * length(rule_path)"))).first()
+    labels, slashes = facts[0] or 0, facts[1] or 0
+    table = F.broadcast(table) if (facts[2] or 0) <= BROADCAST else table
     host, path = parsed("u")
     urls = pages.select(F.col(url).alias("u")).where("u is not null").distinct().select("u", host.alias("host"), path.alias("path"))
     own = urls.where("host <> ''").select(
