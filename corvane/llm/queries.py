@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, langid, license, quality, simhash, urlfilter
+from . import bpe, chat, decontaminate, langid, license, quality, simhash, urlfilter, warc
+from .common import new_path
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.planned(table(spark, sf_dir, "pages")), path)
+    page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
+    return warc.summaries(warc.read(spark, path)).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.planted(spark))
     return chat.digests(rows)
@@ -53,6 +62,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_chat_format, op5_decontamination, op6_quality_rules, op8_url_filters, op9_license_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_warc, op4_chat_format, op5_decontamination, op6_quality_rules, op8_url_filters, op9_license_scan, op10_language_id)}
 
-ORACLE_SQL = {"op4_chat_format": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_url_filters": urlfilter.SQL, "op9_license_scan": license.SQL}
+ORACLE_SQL = {"op3_warc": warc.SQL, "op4_chat_format": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_url_filters": urlfilter.SQL, "op9_license_scan": license.SQL}
