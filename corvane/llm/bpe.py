@@ -28,6 +28,8 @@ LEAF_CHARS, LEAF_BYTES = 1 << 15, 256
 AHEAD = 3
 #: Pairs of tokens that a worker remembers as checked.
 PAIRS = 300_000
+#: Texts whose tokens a worker holds at a time.
+ROWS = 64
 
 
 class Bpe:
@@ -169,15 +171,15 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, ranks: str, patt
         import pyarrow as pa
 
         bpe = loaded(ranks, pattern)
-        for b in batches:
-            column = b.column(place)
-            if what == "encode":
-                new = _arrow_lists([bpe.encode(x or "") for x in column.to_pylist()])
-            else:
-                flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-                null = column.is_null().to_pylist()
-                new = pa.array([b"" if null[k] else bpe.decode(flat[offsets[k] : offsets[k + 1]].tolist()) for k in range(len(column))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, target])
+        for whole in batches:
+            for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                column = b.column(place)
+                if what == "encode":
+                    new = _arrow_lists([bpe.encode(x.as_py() or "") for x in column])
+                else:
+                    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+                    new = pa.array([bpe.decode(flat[at[k] : at[k + 1]].tolist()) if column[k].is_valid else b"" for k in range(len(column))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, target])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{target}` {kind}"])
     return df.mapInArrow(run, schema)
@@ -187,10 +189,8 @@ def _arrow_lists(rows: list[list[int]]):
     import numpy as np
     import pyarrow as pa
 
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.array(r, np.int32) for r in rows)])))
 
 
 def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
