@@ -152,19 +152,20 @@ def encoded(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: st
 
     *ranks* is a file that every executor has under that path. Null and empty texts give an empty array.
     Rows are encoded one by one, so repeated rows are encoded alike, and an empty table stays empty.
-    The new column's name must be free; rename on a clash.
+    If a column has that name already, the new one's name gets underscores until it is free.
     """
     return _mapped(df, text, ids, "array<int>", ranks, pattern, "encode")
 
 
 def decoded(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
-    """*df* with a further column *data*, binary: the bytes of the tokens in *ids* (null: no bytes)."""
+    """*df* with a further column *data*, binary: the bytes of the tokens in *ids* (null: no bytes). A name
+    that is taken gets underscores, as in :func:`encoded`."""
     return _mapped(df, ids, data, "binary", ranks, pattern, "decode")
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: str, ranks: str, pattern: str, what: str) -> DataFrame:
-    if target in df.columns:
-        raise ValueError(f"there is a column {target} already")
+    while target.lower() in {c.lower() for c in df.columns}:
+        target += "_"
     place = df.columns.index(source)
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, langid, license, quality, simhash, urlfilter, warc
+from . import bpe, chat, decontaminate, langid, license, linededup, quality, simhash, urlfilter, warc
 from .common import new_path
 
 
@@ -46,6 +46,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = linededup.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gone.select(F.col("k.id").alias("doc_id"), F.col("n").alias("line_no"), F.col("keeper.k.id").alias("keeper_doc_id"), F.col("keeper.n").alias("keeper_line_no"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.verdicts(pages, urlfilter.rules_frame(spark)).select("row.page_id", "host", "path", "rule", "verdict")
@@ -62,6 +67,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_warc, op4_chat_format, op5_decontamination, op6_quality_rules, op8_url_filters, op9_license_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_warc, op4_chat_format, op5_decontamination, op6_quality_rules, op7_line_dedup, op8_url_filters, op9_license_scan, op10_language_id)}
 
 ORACLE_SQL = {"op3_warc": warc.SQL, "op4_chat_format": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_url_filters": urlfilter.SQL, "op9_license_scan": license.SQL}
