@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries; each has QUERIES and ORACLE_SQL.
-_MODULES: list = []
+_MODULES: list = [retrieval]
 
 
 def queries() -> dict[str, Query]:
