@@ -127,7 +127,7 @@ class Reader(DataSourceReader):
         filesystem, folder = _filesystem(self.path)
         with filesystem.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as f:
             parts = json.loads(f.read())
-        return [Piece(name, a, b) for name, starts, size in parts for a, b in zip(starts, [*starts[1:], size], strict=True)] or [Piece("", 0, 0)]
+        return [Piece(name, a, b) for name, starts, size in parts if starts for a, b in zip(starts, [*starts[1:], size], strict=True)] or [Piece("", 0, 0)]
 
     def read(self, partition):
         filesystem, folder = _filesystem(self.path)
