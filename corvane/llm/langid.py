@@ -135,7 +135,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "do
     ranked = t.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("r")).where(F.col("r") <= most)
     bounds = ranked.groupBy("lang").agg(F.max("h").alias("top")).collect()
     limits = df.sparkSession.createDataFrame([(r.lang, r.top) for r in bounds], "lang string, top long")
-    sample = t.join(limits, "lang").where("h <= top").select("lang", "h", "t").orderBy("lang", "h", "t").collect()
+    sample = t.join(F.broadcast(limits) if len(bounds) <= 10_000 else limits, "lang").where("h <= top").select("lang", "h", "t").orderBy("lang", "h", "t").collect()
     names, cents, least = [], [], []
     for name in sorted({r.lang for r in sample}):
         v = vectors([bytes(r.t) for r in sample if r.lang == name][:most], idf)
