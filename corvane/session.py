@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,6 +49,17 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; one machine may do without)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="corvane-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/corvane-{what}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table *name* of a data directory (any URI that Spark reads)."""
     ship(spark)
