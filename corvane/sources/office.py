@@ -172,7 +172,10 @@ def serial_text(x: float, since_1904: bool = False) -> str | None:
     if not 0 <= x < 2_958_466:
         return None
     days, seconds = int(x), round((x - int(x)) * 86_400)
-    day = (date(1904, 1, 1) if since_1904 else date(1899, 12, 30) if days > 60 else date(1899, 12, 31)) + timedelta(days)
+    try:
+        day = (date(1904, 1, 1) if since_1904 else date(1899, 12, 30) if days > 60 else date(1899, 12, 31)) + timedelta(days)
+    except OverflowError:  # the 1904 system ends after the year 9999
+        return None
     return day.isoformat() + (f" {seconds // 3600 % 24:02}:{seconds // 60 % 60:02}" if seconds else "")
 
 
