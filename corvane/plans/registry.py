@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, relational, retrieval
+from . import answering, composites, relational, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries; each has QUERIES and ORACLE_SQL.
-_MODULES: list = [retrieval, relational, composites]
+_MODULES: list = [retrieval, relational, composites, answering]
 
 
 def queries() -> dict[str, Query]:

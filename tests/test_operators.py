@@ -167,3 +167,34 @@ def test_sse(spark):
     parts = ['data: {"choices":[{"delta":{"content":"He', 'llo"}}]}\n', "\ndata: [DO", "NE]\n\n", 'data: {"error":{"message":"x"}}\n\n']
     t = spark.createDataFrame([(1, k, p) for k, p in enumerate(parts)], "stream_id int, seq int, data string")
     assert [(r.kind, r.text) for r in ingest.sse_events(t).orderBy("position").collect()] == [("delta", "Hello"), ("done", None), ("error", "x")]
+
+
+def test_find():
+    from corvane.operators.answers import find
+
+    assert find(["A bela ação", "começa aqui"], "ACAO") == [(0, 7, 11)]
+    assert find(["the inter-", "national code", "Code"], "international CODE") == [(0, 4, 9), (1, 0, 13)]
+    assert find(["aaa"], "aa") == [(0, 0, 2)] and find(["x"], " ") == []
+
+
+def test_locations(spark):
+    from corvane.functions import labels
+
+    fields = [f.split(":")[0].strip() for f in labels.LOCATION[7:-1].replace("array<string>", "a").split(", ")]
+    row = lambda **x: tuple(x.get(f) for f in fields)
+    pairs = [
+        (row(kind="pdf", page_start=2, page_end=3), row(kind="pdf", page_start=1, page_end=2), ("pages 1–3", "page 3")),
+        (row(kind="markdown", heading_path=["A", "B"]), row(kind="markdown", heading_path=["A", "C"]), ("A", "A > B")),
+        (row(kind="epub", chapter_index=1), row(kind="epub", chapter_index=2), (None, "chapter 1")),
+        (row(kind="csv", row_start=1, row_end=2), row(kind="text", start=1, stop=2), (None, "rows 1–2"))]
+    t = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(pairs)], f"n int, a {labels.LOCATION}, b {labels.LOCATION}")
+    t = t.select("n", "a", F.expr(labels.merged("a", "b")).alias("m"), F.expr(labels.trailing("a")).alias("e"))
+    got = t.select("n", F.expr(labels.location_label("m")).alias("m"), F.expr(labels.location_label("e")).alias("e")).orderBy("n").collect()
+    assert [(r.m, r.e) for r in got] == [w for *_, w in pairs]
+
+
+def test_free_prompt():
+    from corvane.operators.answers import free_prompt
+
+    assert free_prompt([("user", "a" * 30), ("assistant", "b" * 30), ("user", "c" * 30)], 20) == [("assistant", "b" * 30), ("user", "c" * 30)]
+    assert free_prompt([("user", "a" * 9000)], 10)[0][1] == "a" * 1500 + "…"
