@@ -2,8 +2,7 @@
 
 Signatures are minima of one shingle hash under many orders (h XOR a constant), taken while Spark aggregates
 exploded shingles inside generated code. Bands of them are the keys of buckets; members of a bucket are
-verified against its leader by exact Jaccard similarity, then, if several groups are left in a bucket, the
-members outside its largest group against the rest. Distributed union-find turns links into components, and the
+verified against leaders by exact Jaccard similarity, one leader after the other. Distributed union-find turns links into components, and the
 first line of each component, in document order, stays. Built-in functions only; texts move between machines
 only for lines that share a bucket with another.
 """
@@ -19,11 +18,16 @@ from .components import connected_components
 WIDTH, BANDS, DEPTH, SIMILARITY = 12, 6, 3, 0.8
 #: Sizes in bytes from which a line's signature samples its shingles, and from which it does only that.
 SHORT, LONG = 128, 192
+#: Leaders that the members of a bucket meet at most.
+ROUNDS = 3
 #: Places, of BANDS * DEPTH, in which the signatures of a pair must agree before it is verified.
 AGREE = 10
+#: How many standard deviations below SIMILARITY that of two sketches may lie.
+FAR = 3.3
 
-BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
 SHINGLES = f"transform(sequence(1, greatest(1, length(b) - {WIDTH - 1})), i -> xxhash64(substring(b, i, {WIDTH})))"
+BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
+
 
 
 def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -66,46 +70,70 @@ def _only(df: DataFrame, nodes: DataFrame) -> DataFrame:
     t = df.withColumn("p", spot).join(F.broadcast(maps), F.bitmap_bucket_number("p") == F.col("part"))
     byte = "cast(conv(hex(substring(bm, cast(bitmap_bit_position(p) div 8 + 1 as int), 1)), 16, 10) as int)"
     t = t.where(f"(shiftright({byte}, cast(bitmap_bit_position(p) % 8 as int)) & 1) = 1").select(*df.columns)
-    return t.join(nodes, "h1", "left_semi")
+    return t.join(nodes, "h1")  # not a semi-join, which Spark would move below the bitmap
 
 
-def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b), as structs (h1, h2), between lines of *pairs* (h1 of each in u, v) that are similar enough.
+def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """*pairs* (h1 of each in u, v) with agree, in how many places their signatures agree, from AGREE on.
 
-    Pairs whose signatures agree in fewer than AGREE places are let go first: at the least similarity,
-    chance does that to one pair in two hundred. The others are decided by exact Jaccard.
+    At the least similarity, chance lets one pair in two hundred fall below that.
     """
     sign = lambda name: marks.select(F.col("h1").alias(name), "whole", F.col("m").alias(f"{name}_m"))
     p = pairs.join(sign("u"), "u").join(sign("v"), ["v", "whole"])
-    p = p.where(f"size(filter(zip_with(u_m, v_m, (x, y) -> x = y), x -> x)) >= {AGREE}").select("u", "v").distinct()
-    side = lambda name: texts.select(F.col("h1").alias(name), F.struct("h1", "h2").alias(f"{name}_id"), F.col("l").cast("binary").alias(f"{name}_b"))
-    p = p.join(side("u"), "u").join(side("v"), "v")
-    for s in "uv":
-        p = p.withColumn(f"{s}_set", F.expr(f"array_distinct({SHINGLES.replace('(b', f'({s}_b')})"))
-    p = p.withColumn("both", F.size(F.array_intersect("u_set", "v_set")))
-    return p.where(f"both >= {SIMILARITY}D * (size(u_set) + size(v_set) - both)").select(F.col("u_id").alias("a"), F.col("v_id").alias("b"))
+    p = p.select("u", "v", F.expr("size(filter(zip_with(u_m, v_m, (x, y) -> x = y), x -> x))").alias("agree"))
+    return p.where(F.col("agree") >= AGREE)
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """*texts* (h1, l) with sketch: the set of their shingle hashes that are multiples of 4, or all of them if the
+    line is short."""
+    t = texts.select("h1", F.col("l").cast("binary").alias("b"))
+    t = t.select("h1", "b", F.explode(F.expr(f"sequence(1, greatest(1, length(b) - {WIDTH - 1}))")).alias("i"))
+    t = t.select("h1", F.expr(f"length(b) < {LONG}").alias("whole"), F.expr(f"hash(substring(b, i, {WIDTH}))").alias("h")).where("whole or h & 3 = 0")
+    return texts.join(t.groupBy("h1").agg(F.collect_set("h").alias("sketch")), "h1")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of *pairs* whose exact Jaccard similarity over all shingles is high enough.
+
+    Pairs whose sketches are less similar by more than FAR standard deviations, which chance does to one pair in
+    two thousand, are let go before that.
+    """
+    side = lambda name: texts.select(F.col("h1").alias(name), F.col("l").cast("binary").alias(f"{name}_b"), F.col("sketch").alias(f"{name}_s"))
+    p = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    p = p.select("u", "v", "u_b", "v_b", F.expr("inline(array(struct(size(array_intersect(u_s, v_s)) as both, size(array_union(u_s, v_s)) as n)))"))
+    p = p.where(f"both / cast(n as double) >= {SIMILARITY}D - {FAR}D * sqrt({SIMILARITY * (1 - SIMILARITY):.4f}D / n)")
+    sets = [f"{SHINGLES.replace('(b', f'({x}_b')} as {x}_set" for x in "uv"]
+    p = p.select("u", "v", F.expr(f"inline(array(struct({', '.join(sets)})))"))  # so that each array is made once
+    p = p.select("u", "v", F.expr("inline(array(struct(size(array_intersect(u_set, v_set)) as both, size(array_union(u_set, v_set)) as n)))"))
+    return p.where(f"both >= {SIMILARITY}D * n").select("u", "v")
 
 
 def components(lines: DataFrame) -> DataFrame:
-    """Rows (node, root) of lines, as struct (h1, h2), that are similar to others but not equal."""
+    """Rows (h1, root) of lines that are similar to others but not equal.
+
+    In each bucket the members meet a leader, those that it does not match meet another leader from among them, and so
+    on, ROUNDS times. A line is thus verified against at most BANDS * ROUNDS others, however large its buckets are, and no
+    bucket is expanded into pairs. Lines that share h1 with a different line, one chance in 2**64 for a pair, are
+    left to exact matching.
+    """
     signatures = written(_signatures(lines), "signatures")
     members = written(_buckets(signatures), "buckets")
     nodes = written(members.select("h1").distinct(), "nodes")
     marks = written(_only(signatures, nodes).select("h1", "whole", F.array(*[f"m{k}" for k in range(BANDS * DEPTH)]).alias("m")), "marks")
     dropped(signatures)
-    texts = written(_only(lines.select("h1", "h2", "l"), nodes).groupBy("h1", "h2").agg(F.first("l").alias("l")), "texts")
-    first = members.where("h1 <> leader").select(F.col("h1").alias("u"), F.col("leader").alias("v")).distinct()
-    links = written(_verified(first, marks, texts), "links")
-    # what the leaders did not bring together: members outside the largest group of a bucket against the rest
-    near = links.groupBy(F.col("a.h1").alias("h1")).agg(F.min("b.h1").alias("root"))
-    m = written(members.join(near, "h1", "left").select("bucket", "h1", "leader", F.coalesce("root", "h1").alias("root")), "grouped")
-    sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
-    left = m.where("h1 <> leader").join(sizes.where("groups > 1").select("bucket", F.col("most.root").alias("most")), "bucket")
-    left = written(left, "open")
-    few = left.where("root <> most").select("bucket", F.col("h1").alias("u"), F.col("root").alias("u_root"))
-    rest = left.select("bucket", F.col("h1").alias("v"), F.col("root").alias("v_root"), F.expr("root = most").alias("main"))
-    second = few.join(rest, "bucket").where("u_root <> v_root and (main or u < v)").select("u", "v").distinct()
-    return connected_components(links.union(written(_verified(second, marks, texts), "links")), "a", "b")
+    texts = _only(lines.select("h1", "h2", "l"), nodes).groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
+    texts = written(_sketched(texts.where("a = b").select("h1", "l")), "texts")
+    links = None
+    for _ in range(ROUNDS):
+        met = members.where("h1 <> leader")
+        pairs = _agreeing(met.select(F.col("h1").alias("u"), F.col("leader").alias("v")).distinct(), marks).select("u", "v").distinct()
+        found = written(_verified(pairs, texts), "links")
+        links = found if links is None else links.union(found)
+        left = written(met.join(found.select(F.col("u").alias("h1"), F.col("v").alias("leader")), ["h1", "leader"], "left_anti").select("bucket", "h1"), "members")
+        heads = left.groupBy("bucket").agg(F.min("h1").alias("leader"), F.max("h1").alias("other")).where("leader < other").select("bucket", "leader")
+        members = left.join(heads, "bucket").select("bucket", "h1", "leader")
+    return connected_components(links, "u", "v").select(F.col("node").alias("h1"), "root")
 
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,14 +146,15 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     are not read.
     """
     lines = _lines(df, id_col, text)
-    roots = written(components(lines).select("node.h1", "node.h2", "root"), "roots")
+    roots = written(components(lines), "roots")
     places = lines.select("k", "n", "h1", "h2")
-    kinds = places.groupBy("h1", "h2").agg(F.min(F.struct("k", "n")).alias("first"), F.max(F.struct("k", "n")).alias("final"))
-    kinds = written(kinds.join(roots, ["h1", "h2"], "left").where("root is not null or first <> final").select(
-        "h1", "h2", "first", F.coalesce("root", F.struct("h1", "h2")).alias("root")), "kinds")
-    keepers = kinds.groupBy("root").agg(F.min("first").alias("keeper"))
-    found = kinds.join(keepers, "root").select("h1", "h2", "keeper")
-    return places.join(written(found, "keepers"), ["h1", "h2"]).where("keeper <> struct(k, n)").select("k", "n", "keeper").distinct()
+    repeated = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"))
+    # a line is filed under its root's h1, or else under its own hash
+    kinds = repeated.join(roots, "h1", "left").where("times > 1 or root is not null")
+    kinds = written(kinds.select("h1", "h2", F.coalesce("root", "h1").alias("r1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("r2")), "kinds")
+    there = written(places.join(kinds, ["h1", "h2"]).select("r1", "r2", "k", "n"), "places")
+    keepers = there.groupBy("r1", "r2").agg(F.min(F.struct("k", "n")).alias("keeper"))
+    return there.join(written(keepers, "keepers"), ["r1", "r2"]).where("keeper <> struct(k, n)").select("k", "n", "keeper").distinct()
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
