@@ -9,6 +9,7 @@ all pairs; a key with many members is dealt out as pairs of chunks. Distributed
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import accumulate, combinations
 from math import comb
 
@@ -48,17 +49,17 @@ def fingerprint(data: bytes, width: int = 4) -> int:
             hashes = [xxh(joined[s:e], SEED) for s, e in zip(starts, ends[at + width - 1 : stop + width - 1], strict=True)]
         lanes = np.fromiter(hashes, np.uint64, len(hashes)).view(np.uint8).reshape(-1, 8)
         for k in range(8):
-            counts[8 * k : 8 * k + 8] += np.bincount(lanes[:, k], minlength=256) @ _BITS()
+            counts[8 * k : 8 * k + 8] += np.bincount(lanes[:, k], minlength=256) @ _bits()
     value = sum(1 << k for k in range(64) if 2 * int(counts[k]) > total)
     return value - (1 << 64) if value >> 63 else value
 
 
-def _BITS(kept: list = []) -> object:  # noqa: B006, N802
+@cache
+def _bits():
+    """The bits of each byte, 256 x 8."""
     import numpy as np
 
-    if not kept:
-        kept.append(np.array([[v >> k & 1 for k in range(8)] for v in range(256)], np.int64))
-    return kept[0]
+    return np.array([[v >> k & 1 for k in range(8)] for v in range(256)], np.int64)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
