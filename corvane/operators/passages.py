@@ -174,3 +174,26 @@ def grouped(p: DataFrame) -> DataFrame:
     """Documents of each question by their best passage, with passages in page order."""
     t = p.groupBy("query_id", "document_id").agg(F.max("score").alias("best_score"), F.min("rank").alias("first"), F.expr("transform(array_sort(collect_list(struct(page_start, chunk_id, rank))), x -> x.rank)").alias("ranks"))
     return t.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).drop("first")
+
+
+def overview(chunks: DataFrame, budget: int = 3000) -> DataFrame:
+    """What an overview of each document reads: the first chunk of each run of equal sections, in order, with the tokens that
+    it may use: an equal share of the budget, from 120 to 600. *chunks*: document_id, ordinal, section, chunk_id."""
+    from . import conversations
+
+    first = conversations.first_of_runs(chunks, "document_id", "ordinal", "section")
+    share = F.least(F.lit(600), F.greatest(F.lit(120), F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy("document_id"))))).cast("int")
+    return first.select("document_id", "ordinal", "section", "chunk_id", share.alias("tokens"), F.lit(1.0).alias("score"))
+
+
+def of_section(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Structural passages for questions about a numbered section: runs of up to three consecutive chunks of a section that
+    the label fits. *asked*: query_id, document_id, label."""
+    from ..functions import intents
+    from . import conversations
+
+    t = chunks.join(asked, "document_id").where(F.expr(intents.section_matches("section", "label")))
+    t = t.withColumn("_key", F.struct("query_id", "document_id"))
+    t = conversations.groups_of(t, "_key", "ordinal", "section", MOST_JOINED)
+    return t.groupBy("query_id", "document_id", "section", "island", "part").agg(
+        F.min("ordinal").alias("ordinal"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids")).select("query_id", "document_id", "section", "ordinal", "chunk_ids", F.lit(1.0).alias("score"))

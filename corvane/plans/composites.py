@@ -213,6 +213,25 @@ def stream_import(spark: S, sf_dir: str) -> DataFrame:
     return ingest.imported(d, "sha256", ["doc_id"]).select("sha256")
 
 
+def stream_registry(spark: S, sf_dir: str) -> DataFrame:
+    """Statistics of each operation, kept as state while events arrive; all values of an operation count here."""
+    return ingest.drained(ingest.registry(_events(spark, sf_dir), "event_type", "value", 10**9), "update", "operation")
+
+
+def ret_overview(spark: S, sf_dir: str) -> DataFrame:
+    """An overview of each source: documents are its chunks, languages its sections."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("ordinal"), F.col("lang").alias("section"), F.col("doc_id").alias("chunk_id"))
+    return passages.overview(d).select(F.col("document_id").alias("source"), F.col("chunk_id").alias("doc_id"), "tokens")
+
+
+def ret_section(spark: S, sf_dir: str) -> DataFrame:
+    """Section 2 of each nation's customers, who are chunks of numbered sections."""
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("long").alias("document_id"), F.col("c_custkey").alias("ordinal"), F.expr("concat(c_custkey div 5 % 4, '. ', c_mktsegment)").alias("section"), F.col("c_custkey").alias("chunk_id"))
+    q = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("document_id"), F.lit("2").alias("label"))
+    return passages.of_section(c, q).select("query_id", "section", "ordinal", F.size("chunk_ids").alias("chunks"))
+
+
 def lex_explain_terms(spark: S, sf_dir: str) -> DataFrame:
     """How many documents hold each question term: its document frequency."""
     w = questions(spark, sf_dir).select(F.explode("terms").alias("term")).distinct()
@@ -270,6 +289,18 @@ from n join l using (event_type)""",
     "stream_gauges": "select event_type, arg_max(value, (ts, event_id)) as latest, count(*) as n from events group by 1",
     "stream_distinct_users": "select distinct user_id, event_type from events",
     "stream_import": "select distinct sha256(text) as sha256 from documents",
+    "stream_registry": """
+with l as (select event_type, list_sort(list(value)) a from events where value is not null group by 1)
+select event_type as operation, len(a)::bigint as total, a[greatest(1, ceil(0.5::double * len(a))::int)] as p50, a[greatest(1, ceil(0.95::double * len(a))::int)] as p95, a[-1] as longest from l""",
+    "ret_overview": """
+with t as (select source, doc_id, case when lag(lang) over (partition by source order by doc_id) = lang then 0 else 1 end c from documents),
+f as (select source, doc_id from t where c = 1)
+select source, doc_id, least(600, greatest(120, floor(3000 / count(*) over (partition by source))))::int as tokens from f""",
+    "ret_section": """
+with t as (select c_nationkey::bigint query_id, c_custkey, (c_custkey // 5 % 4) || '. ' || c_mktsegment section from customer where c_custkey // 5 % 4 = 2),
+i as (select *, c_custkey - row_number() over (partition by query_id, section order by c_custkey) island from t),
+p as (select *, (row_number() over (partition by query_id, section, island order by c_custkey) - 1) // 3 part from i)
+select query_id, section, min(c_custkey) as ordinal, count(*)::int as chunks from p group by query_id, section, island, part""",
     "lex_explain_terms": rf"""
 with w as (select distinct unnest(list_transform({_TERMS}, lambda t: translate(lower(t), '{T.ACCENTED}', '{T.PLAIN}'))) term from benchmark),
 d as (select doc_id, unnest(list_distinct({_FOLDED})) term from documents)

@@ -62,3 +62,36 @@ def box_union(boxes: str) -> str:
     """SQL for the least box around an array of boxes (left, top, right, bottom)."""
     least = lambda f, k: f"{f}(transform({boxes}, b -> b.{k}))"
     return f"named_struct('left', {least('array_min', 'left')}, 'top', {least('array_min', 'top')}, 'right', {least('array_max', 'right')}, 'bottom', {least('array_max', 'bottom')})"
+
+
+def blocks(leveled: DataFrame) -> DataFrame:
+    """Blocks of each document, (document_id, blocks) with blocks as chunking takes them, from lines with levels: headings
+    give paths, list items begin where a line begins one, other lines go on with the paragraph before unless a gap
+    of more than a line parts them. What a line end cut is joined. The order of lines matters, so it is a fold."""
+    kind = leveled.schema["document_id"].dataType.simpleString()
+    t = leveled.withColumn("item", F.expr(T.starts_list("text")))
+
+    def run(pdf):
+        import re
+
+        import pandas as pd
+
+        out, path, before = [], [], None
+        for r in pdf.sort_values(["page", "line"]).itertuples(index=False):
+            level = None if pd.isna(r.level) else int(r.level)
+            if level is not None:
+                path = [p for p in path if p[0] < level] + [(level, r.text)]
+                out.append({"path": [p[1] for p in path], "kind": "heading", "text": r.text, "first": r.page, "last": r.page})
+            else:
+                near = before is not None and before.page == r.page and r.top - before.bottom <= r.size or before is not None and before.page != r.page and not before.text.rstrip().endswith((".", "!", "?", ":"))
+                if out and out[-1]["kind"] != "heading" and not r.item and near:
+                    text = out[-1]["text"]
+                    cut = re.search(r"\w-$", text) and r.text[:1].islower()
+                    out[-1]["text"] = text[:-1] + r.text if cut else f"{text} {r.text}"
+                    out[-1]["last"] = r.page
+                else:
+                    out.append({"path": [p[1] for p in path], "kind": "list_item" if r.item else "paragraph", "text": r.text, "first": r.page, "last": r.page})
+            before = None if level is not None else r
+        return pd.DataFrame({"document_id": [pdf["document_id"].iloc[0]], "blocks": [out]})
+
+    return t.groupBy("document_id").applyInPandas(run, f"document_id {kind}, blocks array<struct<path: array<string>, kind: string, text: string, first: int, last: int>>")

@@ -18,18 +18,21 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs *stream* over all that is there, writes it as Parquet, and returns what was written."""
+def drained(stream: DataFrame, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Runs *stream* over all that is there, writes it as Parquet, and returns what was written. In mode complete each batch
+    is the whole result; in mode update the last row of each *key* counts."""
     out, spark = scratch(stream.sparkSession, "stream"), stream.sparkSession
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start()
-    else:
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
 
-        q = stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{out}-checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    w = stream.writeStream.option("checkpointLocation", f"{out}-checkpoint").outputMode(mode).trigger(availableNow=True)
+    q = (w.format("parquet").option("path", out) if mode == "append" else w.foreachBatch(replace)).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    t = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return t.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_last")).select("_last.*")
 
 
 def imported(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -78,3 +81,28 @@ def sse_events(chunks: DataFrame) -> DataFrame:
         "case when data = '[DONE]' then 'done' when j.error is not null then 'error' when j.choices[0].finish_reason is not null then 'finish' "
         "when j.choices[0].delta.content is not null then 'delta' when j.usage is not null then 'usage' end").alias("kind"),
         F.expr("coalesce(j.choices[0].delta.content, j.choices[0].finish_reason, j.error.message, cast(j.usage.total_tokens as string))").alias("text")).where("kind is not null")
+
+
+def registry(events: DataFrame, kind: str, value: str, keep: int = 2000) -> DataFrame:
+    """Running statistics of each operation: rows (operation, total, p50, p95, longest) after each batch, percentiles by nearest
+    rank over the last *keep* durations, which are the state."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        import math
+
+        import pandas as pd
+
+        total, values = state.get if state.exists else (0, [])
+        values = list(values)
+        for b in batches:
+            total += len(b)
+            values = (values + b["v"].tolist())[-keep:]
+        state.update((total, values))
+        ranked = sorted(values)
+        at = lambda p: ranked[max(1, math.ceil(p * len(ranked))) - 1]
+        yield pd.DataFrame({"operation": [key[0]], "total": [total], "p50": [at(0.5)], "p95": [at(0.95)], "longest": [ranked[-1]]})
+
+    t = events.select(F.col(kind).alias("operation"), F.col(value).cast("double").alias("v")).where("v is not null")
+    return t.groupBy("operation").applyInPandasWithState(
+        step, "operation string, total long, p50 double, p95 double, longest double", "total long, recent array<double>", "update", GroupStateTimeout.NoTimeout)

@@ -198,3 +198,34 @@ def test_free_prompt():
 
     assert free_prompt([("user", "a" * 30), ("assistant", "b" * 30), ("user", "c" * 30)], 20) == [("assistant", "b" * 30), ("user", "c" * 30)]
     assert free_prompt([("user", "a" * 9000)], 10)[0][1] == "a" * 1500 + "…"
+
+
+def test_sinks(spark, tmp_path):
+    from corvane.sources import sinks
+
+    out = str(tmp_path / "t")
+    sinks.replace_documents(spark.createDataFrame([(1, "a"), (2, "b")], "document_id int, x string"), out)
+    for _ in range(2):
+        sinks.replace_documents(spark.createDataFrame([(2, "c"), (3, "d")], "document_id int, x string"), out)
+    assert sorted((r.document_id, r.x) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    sinks.log(spark.createDataFrame([("secret", "see /tmp/x y", 3)], "page_text string, note string, n int"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).select("page_text", "note", "n").first() == ("[redacted]", "see <path> y", 3)
+    files = spark.createDataFrame([("a.TXT", b"x"), ("b.txt", b"x"), ("c.md", b"x")], "path string, content binary")
+    assert sorted(r.name[64:] for r in sinks.by_content(files).collect()) == [".md", ".txt"]
+
+
+def test_span_blocks(spark):
+    from corvane.sources import spans
+
+    rows = [(1, 1, 1, "Head", 10.0, 20.0, 20.0, 1), (1, 1, 2, "first part of a hyphen-", 30.0, 40.0, 10.0, None), (1, 1, 3, "ated word.", 42.0, 52.0, 10.0, None), (1, 1, 4, "far below", 90.0, 99.0, 10.0, None), (1, 1, 5, "- item", 101.0, 111.0, 10.0, None)]
+    t = spark.createDataFrame(rows, "document_id int, page int, line int, text string, top double, bottom double, size double, level int")
+    got = spans.blocks(t).first().blocks
+    assert [(b.kind, b.text, b.path) for b in got] == [("heading", "Head", ["Head"]), ("paragraph", "first part of a hyphenated word.", ["Head"]), ("paragraph", "far below", ["Head"]), ("list_item", "- item", ["Head"])]
+
+
+def test_registry_over_batches(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([("a", float(10 * k + j)) for j in range(4)] + [("b", 1.0)] * (k == 0), "k string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    e = ingest.arriving(spark, str(tmp_path / "e"), spark.read.parquet(str(tmp_path / "e")).schema, 1)
+    got = {r.operation: r for r in ingest.drained(ingest.registry(e, "k", "v", 5), "update", "operation").collect()}
+    assert got["a"].total == 12 and got["b"].total == 1 and got["b"].p95 == 1.0 and got["a"].longest == 23.0
