@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_STAND_IN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,15 +51,26 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; one machine may do without)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where the setting is missing (tests, one machine), a temporary folder stands in; on a cluster that would be a
+    folder of one machine only, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="corvane-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/corvane-{what}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _STAND_IN:
+            _STAND_IN[app] = "file://" + tempfile.mkdtemp(prefix="corvane-shared-")
+        found = _STAND_IN[app]
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/corvane-{what}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
