@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch
 
-#: A word is a run of anything but ASCII white space (regular expression for Java and DuckDB).
-SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
