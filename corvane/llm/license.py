@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, written
 
 #: Words of a k-gram, farthest neighbouring diagonal, least share of a template's k-grams in a span, and
 #: longest span in template lengths.
@@ -83,6 +83,7 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
     places = places.select("k1", "k2", "w", "i", _hash("w", "i").alias("h"))
     hits = places.join(grams(df.sparkSession, templates), "h").where(" and ".join(f"get(w, i + {k}) = get(gram, {k})" for k in range(GRAM)))
     votes = hits.groupBy("k1", "k2", "template", "label", "base", "template_words", "n_grams", F.expr("i - j").alias("diagonal")).agg(F.collect_set("j").alias("js"))
+    votes = written(votes, "votes")  # read twice below, and far smaller than the texts
     exact = votes.where("base and size(js) = n_grams").select(
         "k1", "k2", "label", "base", F.col("diagonal").alias("start"), F.col("template_words").alias("size"), F.lit(1.0).alias("score"))
     # neighbouring diagonals of the other templates become one span
