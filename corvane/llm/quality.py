@@ -76,8 +76,8 @@ def _measured(df: DataFrame, text: str, keep: str) -> DataFrame:
     t = df.select(keep, F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = t.select(
         keep, "t",
-        F.expr(r"filter(split(t, '[\\x20\\x09-\\x0D]+', -1), x -> x <> '')").alias("w"),
-        F.expr(r"filter(split(t, '\n', -1), x -> translate(x, ' \t\n\u000b\u000c\r', '') <> '')").alias("lines"),
+        F.expr(r"array_remove(split(t, '[\\x20\\x09-\\x0D]+', -1), '')").alias("w"),
+        F.expr(r"filter(split(t, '\n', -1), x -> trim(both ' \t\n\u000b\u000c\r' from x) <> '')").alias("lines"),
     )
     # three-word windows as (hash, place), sorted: equal windows become neighbours
     t = t.select("*", F.expr(
@@ -88,7 +88,7 @@ def _measured(df: DataFrame, text: str, keep: str) -> DataFrame:
     return t.select(
         keep,
         F.size("w").cast("long").alias("n_words"),
-        F.expr(r"cast(length(translate(t, ' \t\n\u000b\u000c\r', '')) as bigint)").alias("word_chars"),
+        F.expr("cast(length(array_join(w, '')) as bigint)").alias("word_chars"),
         F.expr("cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(length(t) - length(translate(t, '!?', '')) as bigint)").alias("n_marks"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
@@ -119,7 +119,9 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of *df* that :func:`judge` keeps, with the columns of *df*."""
-    return judge(df, text, rules).where("kept").select("row.*")
+    # inline() keeps the filter above what it filters by, which would else be computed once more for it
+    judged = judge(df, text, rules).select("row", F.expr("inline(array(struct(kept as stays)))"))
+    return judged.where("stays").select("row.*")
 
 
 def _sql_rules() -> str:
