@@ -2,8 +2,9 @@
 
 Signatures are minima of one shingle hash under many orders (h XOR a constant), taken while Spark aggregates
 exploded shingles inside generated code. Bands of them are the keys of buckets; members of a bucket are
-verified against leaders by exact Jaccard similarity, one leader after the other. Distributed union-find turns links into components, and the
-first line of each component, in document order, stays. Built-in functions only; texts move between machines
+verified against leaders by exact Jaccard similarity, one leader after the other, and then against all members that no
+links connect them to. Distributed union-find turns links into components, and the first line of each component, in
+document order, stays. Built-in functions only; texts move between machines
 only for lines that share a bucket with another.
 """
 
@@ -18,8 +19,10 @@ from .components import connected_components
 WIDTH, BANDS, DEPTH, SIMILARITY = 12, 6, 3, 0.8
 #: Sizes in bytes from which a line's signature samples its shingles, and from which it does only that.
 SHORT, LONG = 128, 192
-#: Leaders that the members of a bucket meet at most.
+#: Leaders that the members of a bucket meet one by one, before whatever is not linked yet meets in pairs.
 ROUNDS = 3
+#: Members of a bucket that one task compares at most with as many others.
+CHUNK = 1024
 #: Places, of BANDS * DEPTH, in which the signatures of a pair must agree before it is verified.
 AGREE = 10
 #: How many standard deviations below SIMILARITY that of two sketches may lie.
@@ -109,12 +112,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return p.where(f"both >= {SIMILARITY}D * n").select("u", "v")
 
 
+def _apart(members: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows (u, v) of pairs that share a bucket, that no links connect (*roots*: node, root) and whose signatures of a
+    kind agree in AGREE places.
+
+    Members outside the largest component of a bucket meet all others of it. Large buckets are dealt out as pairs of
+    chunks, and the join itself counts agreeing places, so that other pairs are never rows.
+    """
+    m = members.join(roots, F.col("h1") == F.col("node"), "left").select("bucket", "h1", F.coalesce("root", "h1").alias("root"))
+    sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    sizes = sizes.where("top.n < n").select("bucket", F.col("top.root").alias("top"), F.expr(f"ceil((n - top.n) / {CHUNK}D)").alias("us"), F.expr(f"ceil(n / {CHUNK}D)").alias("vs"))
+    kind = lambda whole, name: marks.where(F.col("whole") == whole).select("h1", F.col("m").alias(name))
+    m = m.join(sizes, "bucket").join(kind(True, "a"), "h1", "left").join(kind(False, "b"), "h1", "left")
+    m = written(m.withColumn("x", F.xxhash64(F.lit("chunk"), "h1")), "apart")
+    side = lambda name, t: t.select("bucket", "p", "q", *[F.col(c).alias(f"{name}_{c}") for c in ("h1", "root", "top", "a", "b")])
+    u = side("u", m.where("root <> top").select("*", F.expr("pmod(x, us)").alias("p"), F.explode(F.expr("sequence(0L, vs - 1)")).alias("q")))
+    v = side("v", m.select("*", F.expr("pmod(x, vs)").alias("q"), F.explode(F.expr("sequence(0L, us - 1)")).alias("p")))
+    same = [" + ".join(f"if(u_{c}[{k}] = v_{c}[{k}], 1, 0)" for k in range(BANDS * DEPTH)) for c in "ab"]
+    p = u.join(v, ["bucket", "p", "q"]).where("u_root <> v_root and (v_root = v_top or u_h1 < v_h1)").where(" or ".join(f"{x} >= {AGREE}" for x in same))
+    return p.select(F.least("u_h1", "v_h1").alias("u"), F.greatest("u_h1", "v_h1").alias("v")).distinct()
+
+
 def components(lines: DataFrame) -> DataFrame:
     """Rows (h1, root) of lines that are similar to others but not equal.
 
     In each bucket the members meet a leader, those that it does not match meet another leader from among them, and so
-    on, ROUNDS times. A line is thus verified against at most BANDS * ROUNDS others, however large its buckets are, and no
-    bucket is expanded into pairs. Lines that share h1 with a different line, one chance in 2**64 for a pair, are
+    on, ROUNDS times, which links most of what is similar at little cost. Then all pairs of a bucket that those links do
+    not connect are compared, so the result is that of comparing all pairs of each bucket. Lines that share h1 with a different line, one chance in 2**64 for a pair, are
     left to exact matching.
     """
     signatures = written(_signatures(lines), "signatures")
@@ -124,7 +148,7 @@ def components(lines: DataFrame) -> DataFrame:
     dropped(signatures)
     texts = _only(lines.select("h1", "h2", "l"), nodes).groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
     texts = written(_sketched(texts.where("a = b").select("h1", "l")), "texts")
-    links = None
+    links, every = None, members.select("bucket", "h1")
     for _ in range(ROUNDS):
         met = members.where("h1 <> leader")
         pairs = _agreeing(met.select(F.col("h1").alias("u"), F.col("leader").alias("v")).distinct(), marks).select("u", "v").distinct()
@@ -133,7 +157,11 @@ def components(lines: DataFrame) -> DataFrame:
         left = written(met.join(found.select(F.col("u").alias("h1"), F.col("v").alias("leader")), ["h1", "leader"], "left_anti").select("bucket", "h1"), "members")
         heads = left.groupBy("bucket").agg(F.min("h1").alias("leader"), F.max("h1").alias("other")).where("leader < other").select("bucket", "leader")
         members = left.join(heads, "bucket").select("bucket", "h1", "leader")
-    return connected_components(links, "u", "v").select(F.col("node").alias("h1"), "root")
+    roots = written(connected_components(links, "u", "v"), "linked")
+    found = written(_verified(_apart(every, roots, marks), texts), "links")
+    if not found.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found), "u", "v")
+    return roots.select(F.col("node").alias("h1"), "root")
 
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

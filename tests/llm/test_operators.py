@@ -332,3 +332,27 @@ def test_line_dedup(spark, docs):
     assert len({root[x] for x in left}) == len(set(root.values())) and len(left) == len(set(root.values())) + sum(1 for x in rows[1][1].split("\n") if space_words(x) and order((False, 1, rows[1][1], rows[1][1].split("\n").index(x))) not in want)
     assert kept.where("doc_id in (20, 21)").count() == 2 and kept.where("doc_id = 23").count() == 0
     assert linededup.duplicates(df.limit(0)).count() == 0
+
+
+def test_line_dedup_compares_whole_buckets(spark, monkeypatch):
+    """Buckets of many families: the components are those of all similar pairs that share a bucket."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = letters(96)
+    texts = [base + x + end for x in [letters(14) for _ in range(90)] for end in ("", "q", "z")]
+    lines = linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").localCheckpoint()
+    cut = lambda x: {x[i : i + linededup.WIDTH] for i in range(len(x) - linededup.WIDTH + 1)}
+    sets = {h: cut(x) for h, x in local(lines, "h1", "l")}
+    buckets = {}
+    for b, h in local(linededup._buckets(linededup._signatures(lines)), "bucket", "h1"):
+        buckets.setdefault(b, set()).add(h)
+    met = {(u, v) for hs in buckets.values() for u in hs for v in hs if u < v}
+    near = {(u, v) for u, v in met if len(sets[u] & sets[v]) >= linededup.SIMILARITY * len(sets[u] | sets[v])}
+    monkeypatch.setattr(linededup, "AGREE", 0)
+    monkeypatch.setattr(linededup, "FAR", 100)
+    want = classes_of(sorted(sets), lambda u, v: (u, v) in near or (v, u) in near)
+    assert len(met) > 5 * len(near)
+    for chunk in (1024, 7):
+        monkeypatch.setattr(linededup, "CHUNK", chunk, raising=False)
+        got = dict(local(linededup.components(lines), "h1", "root"))
+        assert {h: got.get(h, h) for h in want} == want
