@@ -27,6 +27,8 @@ CHUNK = 1024
 AGREE = 10
 #: How many standard deviations below SIMILARITY that of two sketches may lie.
 FAR = 3.3
+#: What the hashes are XORed with for each place of a signature, over the whole signed range, so that either sign can be least.
+ORDER = [(k * 0x9E3779B9 + 0x243F6A88) % 2**32 - 2**31 for k in range(BANDS * DEPTH)]
 
 SHINGLES = f"transform(sequence(1, greatest(1, length(b) - {WIDTH - 1})), i -> xxhash64(substring(b, i, {WIDTH})))"
 BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
@@ -50,8 +52,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
     s = s.select("h1", "b", F.explode(F.expr(f"case when length(b) < {SHORT} then array(true) when length(b) < {LONG} then array(true, false) else array(false) end")).alias("whole"))
     s = s.select("h1", "whole", "b", F.explode(F.expr(f"sequence(1, greatest(1, length(b) - {WIDTH - 1}))")).alias("i"))
     s = s.select("h1", "whole", F.expr(f"hash(substring(b, i, {WIDTH}))").alias("h")).where("whole or h & 3 = 0")
-    order = [(k * 0x9E3779B9 + 0x243F6A88) % 2**31 for k in range(BANDS * DEPTH)]
-    return s.groupBy("h1", "whole").agg(*[F.min(F.expr(f"h ^ {c}")).alias(f"m{k}") for k, c in enumerate(order)])
+    return s.groupBy("h1", "whole").agg(*[F.min(F.expr(f"h ^ {c}")).alias(f"m{k}") for k, c in enumerate(ORDER)])
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:

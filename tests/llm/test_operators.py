@@ -356,3 +356,22 @@ def test_line_dedup_compares_whole_buckets(spark, monkeypatch):
         monkeypatch.setattr(linededup, "CHUNK", chunk, raising=False)
         got = dict(local(linededup.components(lines), "h1", "root"))
         assert {h: got.get(h, h) for h in want} == want
+
+
+def test_line_dedup_signatures_count_all_shingles(spark):
+    """Each place of a signature may take its minimum from hashes of either sign, about as often."""
+    rng = random.Random(12)
+    texts = [prose(rng, 18) for _ in range(60)]
+    lines = linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    hashes = lines.select("h1", F.expr("explode(transform(sequence(1, length(cast(l as binary)) - 11), i -> hash(substring(cast(l as binary), i, 12))))").alias("h"))
+    sets = dict(local(hashes.groupBy("h1").agg(F.collect_set("h").alias("h")), "h1", "h"))
+    places = range(linededup.BANDS * linededup.DEPTH)
+    signatures = local(linededup._signatures(lines).where("whole"), "h1", *[f"m{k}" for k in places])
+    assert len(signatures) == len(texts)
+    signs = []
+    for k in places:  # the constant of a place is the one that every line allows
+        allowed = [{m[k + 1] ^ h for h in sets[m[0]]} for m in signatures]
+        (c,) = set.intersection(*allowed)
+        assert all(m[k + 1] == min(h ^ c for h in sets[m[0]]) for m in signatures)
+        signs.append(c < 0)
+    assert len(signs) // 3 <= sum(signs) <= 2 * len(signs) // 3
