@@ -91,8 +91,13 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
     loose = votes.where("not base").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > GAP).cast("int"), F.lit(1)))
     loose = loose.withColumn("island", F.sum("new").over(by)).groupBy("k1", "k2", "template", "label", "template_words", "n_grams", "island").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("n"), F.min(F.expr("diagonal + array_min(js)")).alias("start"),
-        F.max(F.expr("diagonal + array_max(js)")).alias("stop"))
-    loose = loose.where(f"n >= {COVER}D * n_grams and stop - start + {GRAM} <= {STRETCH}D * template_words").select(
+        F.max(F.expr("diagonal + array_max(js)")).alias("stop"),
+        F.collect_list(F.expr("struct(size(js) as n, diagonal + array_min(js) as start, diagonal + array_max(js) as stop)")).alias("lines"))
+    spread = f"n >= {COVER}D * n_grams and stop - start + {GRAM} <= {STRETCH}D * template_words"
+    # copies back to back make one island that is too long for a span: each diagonal that reaches COVER is one then
+    loose = loose.select("*", F.expr(f"inline(if({spread}, array(struct(n, start, stop)), transform(filter(lines, x -> x.n >= {COVER}D * n_grams), x -> struct(x.n, x.start, x.stop))))").alias("n_", "start_", "stop_"))
+    loose = loose.select("k1", "k2", "label", "template_words", "n_grams", F.col("n_").alias("n"), F.col("start_").alias("start"), F.col("stop_").alias("stop"))
+    loose = loose.select(
         "k1", "k2", "label", F.lit(False).alias("base"), "start", F.expr(f"stop - start + {GRAM}").alias("size"), F.expr("n / cast(n_grams as double)").alias("score"))
     found = exact.union(loose).groupBy("k1", "k2").agg(
         F.count_if("base").alias("n_base"), F.min(F.expr("if(base, start, null)")).cast("long").alias("first_word"), F.max(F.expr("if(base, start, null)")).cast("long").alias("last_word"),

@@ -375,3 +375,14 @@ def test_line_dedup_signatures_count_all_shingles(spark):
         assert all(m[k + 1] == min(h ^ c for h in sets[m[0]]) for m in signatures)
         signs.append(c < 0)
     assert len(signs) // 3 <= sum(signs) <= 2 * len(signs) // 3
+
+
+def test_license_copies_back_to_back(spark):
+    notice = "All rights reserved."
+    texts = [notice, f"{notice} {notice}", f"{notice} {notice} {notice}", "all rights x y z w rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r[0]: r[1:] for r in local(license.scan(df), "row.doc_id", "labels", "score", "spans")}
+    for k in range(3):
+        assert by[k][:2] == ("all-rights-reserved", 1.0)
+        assert [(x.start, x.words, x.score) for x in by[k][2]] == [(by[0][2][0].start + 3 * i, 3, 1.0) for i in range(k + 1)]
+    assert by[3][0] == ""
