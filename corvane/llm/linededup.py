@@ -1,40 +1,35 @@
 """Line dedup across documents: exact copies by hash, fuzzy ones by MinHash over character shingles.
 
 Signatures are minima of one shingle hash under many orders (h XOR a constant), taken while Spark aggregates
-exploded shingles inside generated code. Bands of them are the keys of buckets; members of a bucket are
-verified against leaders by exact Jaccard similarity, one leader after the other, and then against all members that no
-links connect them to. Distributed union-find turns links into components, and the first line of each component, in
-document order, stays. Built-in functions only; texts move between machines
-only for lines that share a bucket with another.
+exploded shingles inside generated code. Bands of them are the keys of buckets; of buckets with equal members
+one stays. Within a bucket a search from line to line, by exact Jaccard similarity, keeps one link for each line
+reached, and large buckets are dealt out in chunks. Distributed union-find turns links into
+components, and the first line of each component, in document order, stays.
+
+Lines, signatures, bands, union-find and the choice of what stays are DataFrame functions. Only the search
+within buckets runs in Arrow batches: pairs of lines as rows did not fit the limits (figures in the README).
+Texts move between machines only for lines that share a bucket with another.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import dropped, written
+from .common import finished, hot_join, written
 from .components import connected_components
 
 #: Bytes of a shingle, bands, minima of a band, least Jaccard similarity.
 WIDTH, BANDS, DEPTH, SIMILARITY = 12, 6, 3, 0.8
 #: Sizes in bytes from which a line's signature samples its shingles, and from which it does only that.
 SHORT, LONG = 128, 192
-#: Leaders that the members of a bucket meet one by one, before whatever is not linked yet meets in pairs.
-ROUNDS = 3
-#: Members of a bucket that one task compares at most with as many others.
-CHUNK = 1024
-#: Places, of BANDS * DEPTH, in which the signatures of a pair must agree before it is verified.
-AGREE = 10
-#: How many standard deviations below SIMILARITY that of two sketches may lie.
-FAR = 3.3
+#: Lines, and bytes of them, in a chunk of a bucket; a task compares two chunks at a time.
+CHUNK, CHUNK_BYTES = 1024, 2 << 20
 #: What the hashes are XORed with for each place of a signature, over the whole signed range, so that either sign can be least.
 ORDER = [(k * 0x9E3779B9 + 0x243F6A88) % 2**32 - 2**31 for k in range(BANDS * DEPTH)]
 
-SHINGLES = f"transform(sequence(1, greatest(1, length(b) - {WIDTH - 1})), i -> xxhash64(substring(b, i, {WIDTH})))"
 BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
 
 
-
 def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Lines with a word: k (document: id and hash of the text), n (place from 0), h1, h2 (128-bit hash), l."""
     d = df.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("x")).alias("k"), F.col(text).alias("t"))
@@ -43,7 +38,7 @@ def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """Rows (h1, whole, m0, m1, ...) of minima. Lines under LONG bytes count all shingles (whole), lines of SHORT
+    """Rows (h1, whole, bytes, m0, m1, ...) of minima. Lines under LONG bytes count all shingles (whole), lines of SHORT
     bytes or more only those whose hash is a multiple of 4, which is an even choice among shingles and
     the same in every line; lines between the two have both signatures, so that similar lines, whose
     sizes are close, always share a kind.
@@ -51,120 +46,205 @@ def _signatures(lines: DataFrame) -> DataFrame:
     s = lines.select("h1", F.col("l").cast("binary").alias("b"))
     s = s.select("h1", "b", F.explode(F.expr(f"case when length(b) < {SHORT} then array(true) when length(b) < {LONG} then array(true, false) else array(false) end")).alias("whole"))
     s = s.select("h1", "whole", "b", F.explode(F.expr(f"sequence(1, greatest(1, length(b) - {WIDTH - 1}))")).alias("i"))
-    s = s.select("h1", "whole", F.expr(f"hash(substring(b, i, {WIDTH}))").alias("h")).where("whole or h & 3 = 0")
-    return s.groupBy("h1", "whole").agg(*[F.min(F.expr(f"h ^ {c}")).alias(f"m{k}") for k, c in enumerate(ORDER)])
+    s = s.select("h1", "whole", F.expr("length(b)").alias("n"), F.expr(f"hash(substring(b, i, {WIDTH}))").alias("h")).where("whole or h & 3 = 0")
+    return s.groupBy("h1", "whole").agg(F.max("n").alias("bytes"), *[F.min(F.expr(f"h ^ {c}")).alias(f"m{k}") for k, c in enumerate(ORDER)])
 
 
-def _buckets(signatures: DataFrame) -> DataFrame:
-    """Rows (bucket, h1, leader) of all buckets with several lines; the leader has the least h1."""
+def _banded(signatures: DataFrame) -> DataFrame:
+    """Rows (h1, bytes, keys): the buckets of each signature."""
     keys = [f"xxhash64({k}, whole, {', '.join(f'm{k * DEPTH + j}' for j in range(DEPTH))})" for k in range(BANDS)]
-    banded = signatures.select("h1", F.explode(F.expr(f"array({', '.join(keys)})")).alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("h1").alias("leader"), F.max("h1").alias("other")).where("leader < other").select("bucket", "leader")
-    return banded.join(heads.hint("shuffle_hash"), "bucket").select("bucket", "h1", "leader")
+    return signatures.select("h1", "bytes", F.expr(f"array({', '.join(keys)})").alias("keys"))
+
+
+def _buckets(banded: DataFrame) -> DataFrame:
+    """Rows (bucket, chunks) of buckets with several lines, one of each set of lines; chunks: into how many its lines are dealt."""
+    b = banded.select("h1", "bytes", F.explode("keys").alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64(F.lit("x"), "h1")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "h1")).alias("y"))
+    b = b.where("n > 1").groupBy("n", "bytes", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return b.select("bucket", F.expr(f"greatest(ceil(n / {CHUNK}D), ceil(bytes / {CHUNK_BYTES}D))").alias("chunks"))
 
 
-def _only(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of *df* whose h1 is in *nodes* (one column h1, a written table).
+def _near(df: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """The rows of *df* whose *key*, a long, may be one of *nodes* (one column *key*, a written table).
 
-    A bitmap of a bounded number of bits, sent to all executors, keeps most others out of the shuffle.
+    A bitmap of a bounded number of bits, sent to all executors, keeps most others out of the shuffle that follows.
     """
     bits = 1 << min(28, max(20, (8 * nodes.count()).bit_length()))
-    spot = F.expr(f"pmod(h1, {bits}L)")
+    spot = F.expr(f"pmod({key}, {bits}L)")
     maps = nodes.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bm"))
     t = df.withColumn("p", spot).join(F.broadcast(maps), F.bitmap_bucket_number("p") == F.col("part"))
     byte = "cast(conv(hex(substring(bm, cast(bitmap_bit_position(p) div 8 + 1 as int), 1)), 16, 10) as int)"
-    t = t.where(f"(shiftright({byte}, cast(bitmap_bit_position(p) % 8 as int)) & 1) = 1").select(*df.columns)
-    return t.join(nodes, "h1")  # not a semi-join, which Spark would move below the bitmap
-
-
-def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """*pairs* (h1 of each in u, v) with agree, in how many places their signatures agree, from AGREE on.
-
-    At the least similarity, chance lets one pair in two hundred fall below that.
+    return t.where(f"(shiftright({byte}, cast(bitmap_bit_position(p) % 8 as int)) & 1) = 1").select(*df.columns)
+
+
+class Shingled:
+    """The shingles of several lines, of WIDTH bytes or more each, as sorted sets of numbers."""
+
+    def __init__(self, lines: list[bytes]) -> None:
+        import numpy as np
+
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        total, data = int(sizes.sum()), b"".join(lines) + bytes(16)
+        head, tail = np.empty(total, np.uint64), np.empty(total, np.uint64)
+        for k in range(8):  # eight bytes from every place, and the four after them
+            m = len(range(k, total, 8))
+            head[k::8] = np.frombuffer(data, "<u8", m, k)
+            tail[k::8] = np.frombuffer(data, "<u8", m, k + 8)
+        tail &= np.uint64(0xFFFFFFFF)
+        owner = np.repeat(np.arange(len(lines)), sizes)
+        ends = np.cumsum(sizes)
+        inside = np.arange(total) <= np.repeat(ends, sizes) - WIDTH
+        h = self._mixed(head * np.uint64(0x9E3779B97F4A7C15) ^ self._mixed(tail))[inside]
+        values, ids = np.unique(h, return_inverse=True)
+        self.vocabulary = len(values)
+        pairs = np.unique(owner[inside] * self.vocabulary + ids)
+        self.owner, self.ids = pairs // self.vocabulary, pairs % self.vocabulary
+        self.sizes = np.bincount(self.owner, minlength=len(lines))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @staticmethod
+    def _mixed(x):
+        import numpy as np
+
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+    def of(self, k: int):
+        return self.ids[self.starts[k] : self.starts[k] + self.sizes[k]]
+
+    def similar(self, k: int, ids, starts, sizes):
+        """Which of the sets *ids*, cut at *starts*, have at least SIMILARITY with line *k*."""
+        import numpy as np
+
+        mark = np.zeros(self.vocabulary, np.uint8)
+        mark[self.of(k)] = 1
+        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+        return both >= SIMILARITY * (self.sizes[k] + sizes - both) - 1e-9
+
+
+def _spanning(names: list[int], lines: list[bytes]) -> tuple[list, list]:
+    """Links that connect all lines which single linkage connects: a search with one link each."""
+    import numpy as np
+
+    s, a, b = Shingled(lines), [], []
+    left, ids, starts, sizes, queue = np.arange(len(lines)), s.ids, s.starts, s.sizes, []
+
+    def without(gone):
+        stay = ~gone
+        return left[stay], ids[np.repeat(stay, sizes)], np.cumsum(sizes[stay]) - sizes[stay], sizes[stay]
+
+    while len(left):
+        if queue:
+            at = queue.pop()
+        else:
+            at = int(left[0])
+            left, ids, starts, sizes = without(left == at)
+        if len(left):
+            near = s.similar(at, ids, starts, sizes)
+            if near.any():
+                found = left[near].tolist()
+                a += [names[at]] * len(found)
+                b += [names[x] for x in found]
+                queue += found
+                left, ids, starts, sizes = without(near)
+    return a, b
+
+
+def _between(names: list[int], lines: list[bytes], roots: list[int], few: list[bool]) -> tuple[list, list]:
+    """Links from each line of *few* to others that its root does not yet reach, one for each root."""
+    import numpy as np
+
+    s, a, b, root = Shingled(lines), [], [], np.asarray(roots, np.int64)
+    for k in np.flatnonzero(few).tolist():
+        near = s.similar(k, s.ids, s.starts, s.sizes) & (root != root[k])
+        for other in np.unique(root[near]).tolist():
+            a.append(names[k])
+            b.append(names[int(np.flatnonzero(near & (root == other))[0])])
+            root[root == other] = root[k]
+    return a, b
+
+
+def _searched(rows: DataFrame, between: bool) -> DataFrame:
+    """Links (u, v) within each group g of *rows*: (g, h1, l), and root, few if *between*.
+
+    Rows are sorted by group and streamed, so a task holds one group at a time.
     """
-    sign = lambda name: marks.select(F.col("h1").alias(name), "whole", F.col("m").alias(f"{name}_m"))
-    p = pairs.join(sign("u"), "u").join(sign("v"), ["v", "whole"])
-    p = p.select("u", "v", F.expr("size(filter(zip_with(u_m, v_m, (x, y) -> x = y), x -> x))").alias("agree"))
-    return p.where(F.col("agree") >= AGREE)
-
-
-def _sketched(texts: DataFrame) -> DataFrame:
-    """*texts* (h1, l) with sketch: the set of their shingle hashes that are multiples of 4, or all of them if the
-    line is short."""
-    t = texts.select("h1", F.col("l").cast("binary").alias("b"))
-    t = t.select("h1", "b", F.explode(F.expr(f"sequence(1, greatest(1, length(b) - {WIDTH - 1}))")).alias("i"))
-    t = t.select("h1", F.expr(f"length(b) < {LONG}").alias("whole"), F.expr(f"hash(substring(b, i, {WIDTH}))").alias("h")).where("whole or h & 3 = 0")
-    return texts.join(t.groupBy("h1").agg(F.collect_set("h").alias("sketch")), "h1")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of *pairs* whose exact Jaccard similarity over all shingles is high enough.
-
-    Pairs whose sketches are less similar by more than FAR standard deviations, which chance does to one pair in
-    two thousand, are let go before that.
-    """
-    side = lambda name: texts.select(F.col("h1").alias(name), F.col("l").cast("binary").alias(f"{name}_b"), F.col("sketch").alias(f"{name}_s"))
-    p = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
-    p = p.select("u", "v", "u_b", "v_b", F.expr("inline(array(struct(size(array_intersect(u_s, v_s)) as both, size(array_union(u_s, v_s)) as n)))"))
-    p = p.where(f"both / cast(n as double) >= {SIMILARITY}D - {FAR}D * sqrt({SIMILARITY * (1 - SIMILARITY):.4f}D / n)")
-    sets = [f"{SHINGLES.replace('(b', f'({x}_b')} as {x}_set" for x in "uv"]
-    p = p.select("u", "v", F.expr(f"inline(array(struct({', '.join(sets)})))"))  # so that each array is made once
-    p = p.select("u", "v", F.expr("inline(array(struct(size(array_intersect(u_set, v_set)) as both, size(array_union(u_set, v_set)) as n)))"))
-    return p.where(f"both >= {SIMILARITY}D * n").select("u", "v")
-
-
-def _apart(members: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows (u, v) of pairs that share a bucket, that no links connect (*roots*: node, root) and whose signatures of a
-    kind agree in AGREE places.
-
-    Members outside the largest component of a bucket meet all others of it. Large buckets are dealt out as pairs of
-    chunks, and the join itself counts agreeing places, so that other pairs are never rows.
-    """
-    m = members.join(roots, F.col("h1") == F.col("node"), "left").select("bucket", "h1", F.coalesce("root", "h1").alias("root"))
-    sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    sizes = sizes.where("top.n < n").select("bucket", F.col("top.root").alias("top"), F.expr(f"ceil((n - top.n) / {CHUNK}D)").alias("us"), F.expr(f"ceil(n / {CHUNK}D)").alias("vs"))
-    kind = lambda whole, name: marks.where(F.col("whole") == whole).select("h1", F.col("m").alias(name))
-    m = m.join(sizes, "bucket").join(kind(True, "a"), "h1", "left").join(kind(False, "b"), "h1", "left")
-    m = written(m.withColumn("x", F.xxhash64(F.lit("chunk"), "h1")), "apart")
-    side = lambda name, t: t.select("bucket", "p", "q", *[F.col(c).alias(f"{name}_{c}") for c in ("h1", "root", "top", "a", "b")])
-    u = side("u", m.where("root <> top").select("*", F.expr("pmod(x, us)").alias("p"), F.explode(F.expr("sequence(0L, vs - 1)")).alias("q")))
-    v = side("v", m.select("*", F.expr("pmod(x, vs)").alias("q"), F.explode(F.expr("sequence(0L, us - 1)")).alias("p")))
-    same = [" + ".join(f"if(u_{c}[{k}] = v_{c}[{k}], 1, 0)" for k in range(BANDS * DEPTH)) for c in "ab"]
-    p = u.join(v, ["bucket", "p", "q"]).where("u_root <> v_root and (v_root = v_top or u_h1 < v_h1)").where(" or ".join(f"{x} >= {AGREE}" for x in same))
-    return p.select(F.least("u_h1", "v_h1").alias("u"), F.greatest("u_h1", "v_h1").alias("v")).distinct()
+    columns = ["g", "h1", "l", *(["root", "few"] if between else [])]
+
+    def search(batches):
+        import pyarrow as pa
+
+        def links(part):
+            seen = dict(zip(part["h1"], range(len(part["h1"])), strict=True))  # two equal groups may share a name
+            pick = [k for h, k in seen.items() if len(part["l"][k]) >= WIDTH]
+            if len(pick) < 2:
+                return [], []
+            names, lines = [part["h1"][k] for k in pick], [part["l"][k] for k in pick]
+            return _between(names, lines, [part["root"][k] for k in pick], [part["few"][k] for k in pick]) if between else _spanning(names, lines)
+
+        group, now = {c: [] for c in columns}, None
+        out = [], []
+        for batch in batches:
+            values = {c: batch.column(c).to_pylist() for c in columns}
+            at, g = 0, values["g"]
+            while at < len(g):
+                stop = at
+                if g[at] != now:
+                    for x, y in zip(out, links(group), strict=True):
+                        x += y
+                    group, now = {c: [] for c in columns}, g[at]
+                while stop < len(g) and g[stop] == now:
+                    stop += 1
+                for c in columns:
+                    group[c] += values[c][at:stop]
+                at = stop
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
+            out = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(group)], ["u", "v"])
+
+    rows = rows.select(*[F.col(c).cast("binary") if c == "l" else F.col(c) for c in columns])
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(search, "u long, v long").distinct()
 
 
 def components(lines: DataFrame) -> DataFrame:
-    """Rows (h1, root) of lines that are similar to others but not equal.
+    """Rows (h1, root) of lines that are similar to others but not equal, as comparing all pairs of each bucket would give.
 
-    In each bucket the members meet a leader, those that it does not match meet another leader from among them, and so
-    on, ROUNDS times, which links most of what is similar at little cost. Then all pairs of a bucket that those links do
-    not connect are compared, so the result is that of comparing all pairs of each bucket. Lines that share h1 with a different line, one chance in 2**64 for a pair, are
-    left to exact matching.
+    Lines are dealt out in chunks by a hash. First each chunk of a bucket is searched together with the next one, which is
+    linear in the bucket and links most of what is similar; then the lines outside a bucket's largest component
+    meet all others of it. Lines that share h1 with a different line, one chance in 2**64 for a pair, are left to exact
+    matching.
     """
-    signatures = written(_signatures(lines), "signatures")
-    members = written(_buckets(signatures), "buckets")
+    banded = written(_banded(_signatures(lines)), "banded")
+    buckets = written(_buckets(banded), "buckets")
+    keyed = banded.select("h1", F.explode("keys").alias("bucket"))
+    members = written(_near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket").select("bucket", "h1", "chunks"), "members")
     nodes = written(members.select("h1").distinct(), "nodes")
-    marks = written(_only(signatures, nodes).select("h1", "whole", F.array(*[f"m{k}" for k in range(BANDS * DEPTH)]).alias("m")), "marks")
-    dropped(signatures)
-    texts = _only(lines.select("h1", "h2", "l"), nodes).groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
-    texts = written(_sketched(texts.where("a = b").select("h1", "l")), "texts")
-    links, every = None, members.select("bucket", "h1")
-    for _ in range(ROUNDS):
-        met = members.where("h1 <> leader")
-        pairs = _agreeing(met.select(F.col("h1").alias("u"), F.col("leader").alias("v")).distinct(), marks).select("u", "v").distinct()
-        found = written(_verified(pairs, texts), "links")
-        links = found if links is None else links.union(found)
-        left = written(met.join(found.select(F.col("u").alias("h1"), F.col("v").alias("leader")), ["h1", "leader"], "left_anti").select("bucket", "h1"), "members")
-        heads = left.groupBy("bucket").agg(F.min("h1").alias("leader"), F.max("h1").alias("other")).where("leader < other").select("bucket", "leader")
-        members = left.join(heads, "bucket").select("bucket", "h1", "leader")
+    texts = _near(lines.select("h1", "h2", "l"), nodes, "h1").groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
+    texts = written(texts.where("a = b").select("h1", "l").join(nodes, "h1"), "texts")
+    dealt = members.withColumn("p", F.expr("pmod(xxhash64('chunk', h1), chunks)"))
+    rows = dealt.select("bucket", "h1", F.explode(F.expr("if(chunks <= 2, array(0L), array(p, pmod(p + 1, chunks)))")).alias("p"))
+    links = written(_searched(rows.join(texts, "h1").select(F.xxhash64("bucket", "p").alias("g"), "h1", "l"), False), "links")
     roots = written(connected_components(links, "u", "v"), "linked")
-    found = written(_verified(_apart(every, roots, marks), texts), "links")
-    if not found.isEmpty():
-        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found), "u", "v")
+    if not buckets.where("chunks > 2").isEmpty():
+        found = written(_searched(_apart(dealt.where("chunks > 2"), roots).join(texts, "h1"), True), "links")
+        if not found.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found), "u", "v")
     return roots.select(F.col("node").alias("h1"), "root")
 
 
+def _apart(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (g, h1, root, few): the lines outside the largest component of their bucket (few), in groups with each of its chunks."""
+    m = dealt.join(roots, F.col("h1") == F.col("node"), "left").select("bucket", "h1", "p", "chunks", F.coalesce("root", "h1").alias("root"))
+    sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    sizes = sizes.where("top.n < n").select("bucket", F.col("top.root").alias("top"), F.expr("(n - top.n) / cast(n as double)").alias("share"))
+    m = m.join(sizes, "bucket").withColumn("us", F.expr("cast(ceil(share * chunks) as bigint)")).withColumn("few", F.expr("root <> top"))
+    u = m.where("few").select("bucket", "h1", "root", "few", F.expr("pmod(xxhash64('few', h1), us)").alias("q"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"))
+    v = m.select("bucket", "h1", "root", F.lit(False).alias("few"), F.explode(F.expr("sequence(0L, us - 1)")).alias("q"), "p")
+    # a line of a group's own chunk may come from both sides: it counts as one of the few
+    both = u.select("bucket", "p", "q", "h1", "root", "few").union(v.select("bucket", "p", "q", "h1", "root", "few"))
+    return both.groupBy(F.xxhash64("bucket", "p", "q").alias("g"), "h1").agg(F.first("root").alias("root"), F.max("few").alias("few"))
+
+
 def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (k, n, keeper) of every line that goes: k and n tell document and place, keeper (k, n) the line
     that stays for its component, the first by id, hash of the text and place.
@@ -172,18 +252,19 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     Lines end at ``\\n``; lines of ASCII white space never count. Lines of fewer than WIDTH bytes are one
     shingle, so only their copies go. Null and empty texts have no lines; null ids come last; rows that repeat
     both id and text are one document and lose the same lines; an empty table gives no rows; other columns
-    are not read.
+    are not read. Long lines and texts are read whole; a task holds one text, or two chunks of a bucket, at a time.
     """
     lines = _lines(df, id_col, text)
-    roots = written(components(lines), "roots")
+    roots = finished(lambda: components(lines), "roots")
     places = lines.select("k", "n", "h1", "h2")
-    repeated = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"))
-    # a line is filed under its root's h1, or else under its own hash
-    kinds = repeated.join(roots, "h1", "left").where("times > 1 or root is not null")
-    kinds = written(kinds.select("h1", "h2", F.coalesce("root", "h1").alias("r1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("r2")), "kinds")
-    there = written(places.join(kinds, ["h1", "h2"]).select("r1", "r2", "k", "n"), "places")
-    keepers = there.groupBy("r1", "r2").agg(F.min(F.struct("k", "n")).alias("keeper"))
-    return there.join(written(keepers, "keepers"), ["r1", "r2"]).where("keeper <> struct(k, n)").select("k", "n", "keeper").distinct()
+    kinds = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "n")).alias("first"))
+    kinds = written(kinds.join(roots, "h1", "left").where("times > 1 or root is not null"), "kinds")
+    alike = kinds.where("root is not null")
+    keepers = written(alike.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("kinds")), "keepers")
+    alike = hot_join(alike, keepers, ["root"], "kinds", F.col("h1")).select("h1", "h2", "times", "keeper")
+    kept = written(kinds.where("root is null").select("h1", "h2", "times", F.col("first").alias("keeper")).union(alike), "kept")
+    gone = hot_join(places, kept, ["h1", "h2"], "times", F.xxhash64("k", "n"))
+    return gone.where("keeper <> struct(k, n)").select("k", "n", "keeper").distinct()
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,7 +274,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     gone = duplicates(df, id_col, text).groupBy("k").agg(F.collect_list("n").alias("gone"))
     key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("x"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("k"), F.col(text).alias("t"))
-    rows = rows.join(gone, "k", "left")
-    rows = rows.withColumn("l", F.expr("if(gone is null, t, array_join(filter(split(t, '\n', -1), (x, i) -> not array_contains(gone, i)), '\n'))"))
+    rows = rows.join(gone, "k", "left").select("row", "gone", "t", F.expr("if(gone is null, null, split(t, '\n', -1))").alias("ls"))
+    stay = "array_except(sequence(0, size(ls) - 1), gone)"
+    rows = rows.select("row", "gone", F.expr(f"if(gone is null, t, array_join(transform({stay}, i -> get(ls, i)), '\n'))").alias("l"))
     rows = rows.where(f"gone is null or not ({BLANK})")
     return rows.select(*[F.col("l").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, chat, components, decontaminate, langid, license, linededup, quality, simhash, urlfilter, warc
-from corvane.llm.common import new_path
+from corvane.llm.common import new_path, written
 
 DOCS = "doc_id long, text string, lang string, row string, t string, k int"
 WORDS = "the of and a to in it is on for with was be by that this from at are as dog house river green seven".split()
@@ -334,30 +334,84 @@ def test_line_dedup(spark, docs):
     assert linededup.duplicates(df.limit(0)).count() == 0
 
 
+def cut_line(x):
+    b = x.encode()
+    return {b[i : i + linededup.WIDTH] for i in range(max(1, len(b) - linededup.WIDTH + 1))}
+
+
+def similar_lines(u, v):
+    return len(u & v) >= linededup.SIMILARITY * len(u | v)
+
+
 def test_line_dedup_compares_whole_buckets(spark, monkeypatch):
     """Buckets of many families: the components are those of all similar pairs that share a bucket."""
     rng = random.Random(4)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     base = letters(96)
     texts = [base + x + end for x in [letters(14) for _ in range(90)] for end in ("", "q", "z")]
-    lines = linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").localCheckpoint()
-    cut = lambda x: {x[i : i + linededup.WIDTH] for i in range(len(x) - linededup.WIDTH + 1)}
-    sets = {h: cut(x) for h, x in local(lines, "h1", "l")}
+    lines = written(linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    sets = {h: cut_line(x) for h, x in local(lines, "h1", "l")}
     buckets = {}
-    for b, h in local(linededup._buckets(linededup._signatures(lines)), "bucket", "h1"):
-        buckets.setdefault(b, set()).add(h)
+    for h, keys in local(linededup._banded(linededup._signatures(lines)), "h1", "keys"):
+        for b in keys:
+            buckets.setdefault(b, set()).add(h)
     met = {(u, v) for hs in buckets.values() for u in hs for v in hs if u < v}
-    near = {(u, v) for u, v in met if len(sets[u] & sets[v]) >= linededup.SIMILARITY * len(sets[u] | sets[v])}
-    monkeypatch.setattr(linededup, "AGREE", 0)
-    monkeypatch.setattr(linededup, "FAR", 100)
+    near = {(u, v) for u, v in met if similar_lines(sets[u], sets[v])}
     want = classes_of(sorted(sets), lambda u, v: (u, v) in near or (v, u) in near)
     assert len(met) > 5 * len(near)
     for chunk in (1024, 7):
-        monkeypatch.setattr(linededup, "CHUNK", chunk, raising=False)
+        monkeypatch.setattr(linededup, "CHUNK", chunk)
         got = dict(local(linededup.components(lines), "h1", "root"))
         assert {h: got.get(h, h) for h in want} == want
 
 
+@pytest.mark.parametrize(("shared", "own"), [(150, 55), (280, 66), (60, 24)])
+def test_line_dedup_recall_on_boilerplate(spark, shared, own):
+    """Pairs that differ in their last letter, all sharing much boilerplate: merges against comparing all pairs."""
+    import numpy as np
+
+    rng = random.Random(shared)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = letters(shared)
+    texts = [base + x + end for x in [letters(own) for _ in range(1000)] for end in "qz"]
+    lines = written(linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    names, found = zip(*local(lines, "h1", "l"), strict=True)
+    place = {g: k for k, g in enumerate({g for x in found for g in cut_line(x)})}
+    matrix = np.zeros((len(found), len(place)), np.float32)
+    for k, x in enumerate(found):
+        matrix[k, [place[g] for g in cut_line(x)]] = 1
+    both = matrix @ matrix.T
+    sizes = matrix.sum(axis=1)
+    near = both >= linededup.SIMILARITY * (sizes[:, None] + sizes - both)
+    want = classes_of(range(len(names)), lambda u, v: near[u, v])
+    got = dict(local(linededup.components(lines), "h1", "root"))
+    merges = len(names) - len(set(want.values()))
+    made = len(names) - len({got.get(h, h) for h in names})
+    assert 0.95 * merges <= made <= merges
+
+
+def test_line_dedup_copies_of_one_line(spark, monkeypatch):
+    """A line that holds most rows, and a component that holds most lines, go through the joins for hot keys alike."""
+    from corvane.llm import common
+
+    rng = random.Random(3)
+    base = prose(rng, 60)
+    rows = [(k, f"a line that all have, and all keep once\n{base} {'abcdefgh'[k % 8]}\n{prose(rng, 25)}") for k in range(60)] + [(60 + k, prose(rng, 30)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(k, 0) for k in range(1, 60)} | {(k, 1) for k in range(1, 60)}
+    for hot in (1000, 1):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert set(local(linededup.duplicates(df), "k.id", "n")) == want
+
+
+def test_line_dedup_long_line(spark):
+    long = prose(random.Random(1), 60_000)
+    rows = [(0, long), (1, long + " x\nshort"), (2, "y " + long), (3, "\n".join(["same"] * 50_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(local(linededup.deduplicated(df), "doc_id", "text"))
+    assert kept == {0: long, 1: "short", 3: "same"}
+
+
 def test_line_dedup_signatures_count_all_shingles(spark):
     """Each place of a signature may take its minimum from hashes of either sign, about as often."""
     rng = random.Random(12)
