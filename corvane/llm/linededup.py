@@ -1,14 +1,14 @@
 """Line dedup across documents: exact copies by hash, fuzzy ones by MinHash over character shingles.
 
-Signatures are minima of one shingle hash under many orders (h XOR a constant), taken while Spark aggregates
-exploded shingles inside generated code. Bands of them are the keys of buckets; of buckets with equal members
-one stays. Within a bucket a search from line to line, by exact Jaccard similarity, keeps one link for each line
-reached, and large buckets are dealt out in chunks. Distributed union-find turns links into
-components, and the first line of each component, in document order, stays.
-
-Lines, signatures, bands, union-find and the choice of what stays are DataFrame functions. Only the search
-within buckets runs in Arrow batches: pairs of lines as rows did not fit the limits (figures in the README).
-Texts move between machines only for lines that share a bucket with another.
+Signatures are minima of one shingle hash under many orders (h XOR a constant). Bands of them are the keys of
+buckets; of buckets with equal members one stays. Within a bucket a search from line to line, by exact Jaccard
+similarity, keeps one link for each line reached, and large buckets are dealt out in chunks. Distributed
+union-find turns links into components, and the first line of each component, in document order, stays.
+
+Lines, buckets, union-find and the choice of what stays are DataFrame functions. Signatures and the search
+within buckets run in Arrow batches: with exploded shingles and pairs of lines as rows, the native form that came
+before did not fit the limits with whole results (figures in the README). Texts move between machines only for lines that
+share a bucket with another.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from .components import connected_components
 
 #: Bytes of a shingle, bands, minima of a band, least Jaccard similarity.
 WIDTH, BANDS, DEPTH, SIMILARITY = 12, 6, 3, 0.8
-#: Sizes in bytes from which a line's signature samples its shingles, and from which it does only that.
-SHORT, LONG = 128, 192
+#: Bytes of lines whose shingles are hashed at a time.
+PIECE = 1 << 16
 #: Lines, and bytes of them, in a chunk of a bucket; a task compares two chunks at a time.
 CHUNK, CHUNK_BYTES = 1024, 2 << 20
-#: What the hashes are XORed with for each place of a signature, over the whole signed range, so that either sign can be least.
-ORDER = [(k * 0x9E3779B9 + 0x243F6A88) % 2**32 - 2**31 for k in range(BANDS * DEPTH)]
+#: What the 32-bit hashes are XORed with for each place of a signature, over the whole range.
+ORDER = [(k * 0x9E3779B9 + 0xA43F6A88) % 2**32 for k in range(BANDS * DEPTH)]
 
 BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
 
@@ -37,23 +37,87 @@ def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return t.select("k", "n", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit("line"), "l").alias("h2"), "l")
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """Rows (h1, whole, bytes, m0, m1, ...) of minima. Lines under LONG bytes count all shingles (whole), lines of SHORT
-    bytes or more only those whose hash is a multiple of 4, which is an even choice among shingles and
-    the same in every line; lines between the two have both signatures, so that similar lines, whose
-    sizes are close, always share a kind.
-    """
-    s = lines.select("h1", F.col("l").cast("binary").alias("b"))
-    s = s.select("h1", "b", F.explode(F.expr(f"case when length(b) < {SHORT} then array(true) when length(b) < {LONG} then array(true, false) else array(false) end")).alias("whole"))
-    s = s.select("h1", "whole", "b", F.explode(F.expr(f"sequence(1, greatest(1, length(b) - {WIDTH - 1}))")).alias("i"))
-    s = s.select("h1", "whole", F.expr("length(b)").alias("n"), F.expr(f"hash(substring(b, i, {WIDTH}))").alias("h")).where("whole or h & 3 = 0")
-    return s.groupBy("h1", "whole").agg(F.max("n").alias("bytes"), *[F.min(F.expr(f"h ^ {c}")).alias(f"m{k}") for k, c in enumerate(ORDER)])
+def shingle_hashes(data: bytes, sizes):
+    """Hashes of the shingles of lines of WIDTH bytes or more, which *data* holds one after the other, line by line."""
+    import numpy as np
+
+    total, data = len(data), data + bytes(16)
+    head, tail = np.empty(total, np.uint64), np.empty(total, np.uint64)
+    for k in range(8):  # eight bytes from every place, and the four after them
+        m = len(range(k, total, 8))
+        head[k::8] = np.frombuffer(data, "<u8", m, k)
+        tail[k::8] = np.frombuffer(data, "<u8", m, k + 8)
+    tail &= np.uint64(0xFFFFFFFF)
+    inside = np.ones(total + 1, bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, WIDTH):  # places too near the end of their line
+        inside[ends - k] = False
+    return _mixed(head * np.uint64(0x9E3779B97F4A7C15) ^ _mixed(tail))[inside[:total]]
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def signatures(lines: list[bytes]):
+    """Minima of each line, len(lines) x BANDS * DEPTH. Lines have WIDTH bytes or more; longer ones than PIECE go piece by piece."""
+    import numpy as np
 
+    parts, owners = [], []
+    for k, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - WIDTH + 1), PIECE):
+            parts.append(line[at : at + PIECE + WIDTH - 1])
+            owners.append(k)
+    out = np.empty((len(parts), len(ORDER)), np.uint32)
+    at = 0
+    while at < len(parts):
+        stop, size = at, 0
+        while stop < len(parts) and (stop == at or size + len(parts[stop]) <= PIECE):
+            size += len(parts[stop])
+            stop += 1
+        sizes = np.fromiter(map(len, parts[at:stop]), np.int64, stop - at)
+        h = (shingle_hashes(b"".join(parts[at:stop]), sizes) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum(sizes - (WIDTH - 1)) - (sizes - (WIDTH - 1))
+        for k, c in enumerate(ORDER):
+            out[at:stop, k] = np.minimum.reduceat(h ^ np.uint32(c), starts)
+        at = stop
+    return np.minimum.reduceat(out, np.searchsorted(owners, np.arange(len(lines))), axis=0)
+
+
+def _banded(lines: DataFrame) -> DataFrame:
+    """Rows (h1, bytes, keys): the buckets of each different line of WIDTH bytes or more; shorter ones have no similar lines."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def _banded(signatures: DataFrame) -> DataFrame:
-    """Rows (h1, bytes, keys): the buckets of each signature."""
-    keys = [f"xxhash64({k}, whole, {', '.join(f'm{k * DEPTH + j}' for j in range(DEPTH))})" for k in range(BANDS)]
-    return signatures.select("h1", "bytes", F.expr(f"array({', '.join(keys)})").alias("keys"))
+        seen: set = set()
+        for batch in batches:
+            rows = {}
+            for h, size, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), range(batch.num_rows), strict=True):
+                if size >= WIDTH and h not in seen:  # copies nearby are left out here, the others below
+                    rows.setdefault(h, k)
+            seen = set() if len(seen) > 1_000_000 else seen | rows.keys()
+            if not rows:
+                continue
+            picked = batch.take(pa.array(list(rows.values())))
+            m = signatures(picked.column(1).to_pylist()).astype(np.uint64)
+            keys = np.empty((len(m), BANDS), np.uint64)
+            for band in range(BANDS):
+                x = np.full(len(m), band + 1, np.uint64)
+                for k in range(band * DEPTH, (band + 1) * DEPTH):
+                    x = _mixed((x + m[:, k]) * np.uint64(0x9E3779B97F4A7C15))
+                keys[:, band] = x
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(2), lists], ["h1", "bytes", "keys"])
+
+    t = lines.select("h1", F.col("l").cast("binary").alias("l")).select("h1", "l", F.length("l").alias("bytes"))
+    t = t.mapInArrow(run, "h1 long, bytes int, keys array<long>")
+    return t.groupBy("h1").agg(F.max("bytes").alias("bytes"), *[F.max(F.get("keys", F.lit(k))).alias(f"b{k}") for k in range(BANDS)]).select(
+        "h1", "bytes", F.array(*[f"b{k}" for k in range(BANDS)]).alias("keys"))
 
 
 def _buckets(banded: DataFrame) -> DataFrame:
@@ -84,31 +148,15 @@ class Shingled:
         import numpy as np
 
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        total, data = int(sizes.sum()), b"".join(lines) + bytes(16)
-        head, tail = np.empty(total, np.uint64), np.empty(total, np.uint64)
-        for k in range(8):  # eight bytes from every place, and the four after them
-            m = len(range(k, total, 8))
-            head[k::8] = np.frombuffer(data, "<u8", m, k)
-            tail[k::8] = np.frombuffer(data, "<u8", m, k + 8)
-        tail &= np.uint64(0xFFFFFFFF)
-        owner = np.repeat(np.arange(len(lines)), sizes)
-        ends = np.cumsum(sizes)
-        inside = np.arange(total) <= np.repeat(ends, sizes) - WIDTH
-        h = self._mixed(head * np.uint64(0x9E3779B97F4A7C15) ^ self._mixed(tail))[inside]
+        h = shingle_hashes(b"".join(lines), sizes)
+        owner = np.repeat(np.arange(len(lines)), sizes - (WIDTH - 1))
         values, ids = np.unique(h, return_inverse=True)
         self.vocabulary = len(values)
-        pairs = np.unique(owner[inside] * self.vocabulary + ids)
+        pairs = np.unique(owner * self.vocabulary + ids)
         self.owner, self.ids = pairs // self.vocabulary, pairs % self.vocabulary
         self.sizes = np.bincount(self.owner, minlength=len(lines))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    @staticmethod
-    def _mixed(x):
-        import numpy as np
-
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
-
     def of(self, k: int):
         return self.ids[self.starts[k] : self.starts[k] + self.sizes[k]]
 
@@ -214,7 +262,7 @@ def components(lines: DataFrame) -> DataFrame:
     meet all others of it. Lines that share h1 with a different line, one chance in 2**64 for a pair, are left to exact
     matching.
     """
-    banded = written(_banded(_signatures(lines)), "banded")
+    banded = written(_banded(lines), "banded")
     buckets = written(_buckets(banded), "buckets")
     keyed = banded.select("h1", F.explode("keys").alias("bucket"))
     members = written(_near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket").select("bucket", "h1", "chunks"), "members")

@@ -352,7 +352,7 @@ def test_line_dedup_compares_whole_buckets(spark, monkeypatch):
     lines = written(linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
     sets = {h: cut_line(x) for h, x in local(lines, "h1", "l")}
     buckets = {}
-    for h, keys in local(linededup._banded(linededup._signatures(lines)), "h1", "keys"):
+    for h, keys in local(linededup._banded(lines), "h1", "keys"):
         for b in keys:
             buckets.setdefault(b, set()).add(h)
     met = {(u, v) for hs in buckets.values() for u in hs for v in hs if u < v}
@@ -412,23 +412,23 @@ def test_line_dedup_long_line(spark):
     assert kept == {0: long, 1: "short", 3: "same"}
 
 
-def test_line_dedup_signatures_count_all_shingles(spark):
-    """Each place of a signature may take its minimum from hashes of either sign, about as often."""
+def test_line_dedup_signatures(monkeypatch):
+    """Equal sets of shingles have equal signatures, whatever the pieces; places agree as often as lines are similar."""
     rng = random.Random(12)
-    texts = [prose(rng, 18) for _ in range(60)]
-    lines = linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
-    hashes = lines.select("h1", F.expr("explode(transform(sequence(1, length(cast(l as binary)) - 11), i -> hash(substring(cast(l as binary), i, 12))))").alias("h"))
-    sets = dict(local(hashes.groupBy("h1").agg(F.collect_set("h").alias("h")), "h1", "h"))
-    places = range(linededup.BANDS * linededup.DEPTH)
-    signatures = local(linededup._signatures(lines).where("whole"), "h1", *[f"m{k}" for k in places])
-    assert len(signatures) == len(texts)
-    signs = []
-    for k in places:  # the constant of a place is the one that every line allows
-        allowed = [{m[k + 1] ^ h for h in sets[m[0]]} for m in signatures]
-        (c,) = set.intersection(*allowed)
-        assert all(m[k + 1] == min(h ^ c for h in sets[m[0]]) for m in signatures)
-        signs.append(c < 0)
-    assert len(signs) // 3 <= sum(signs) <= 2 * len(signs) // 3
+    texts = [prose(rng, n).encode() for n in (3, 5, 18, 40, 400)] + [b"=" * 12, b"=" * 500, b"=" * 30, b"-+" * 90]
+    whole = linededup.signatures(texts)
+    assert (whole[5] == whole[6]).all() and (whole[5] == whole[7]).all() and not (whole[5] == whole[8]).any()
+    monkeypatch.setattr(linededup, "PIECE", 17)
+    assert (linededup.signatures(texts) == whole).all()
+    monkeypatch.undo()
+    agree = want = 0.0
+    for _ in range(400):
+        a = prose(rng, 40)
+        b = a[: len(a) - rng.randint(1, 60)] + prose(rng, 4)
+        x, y = linededup.signatures([a.encode(), b.encode()])
+        agree += (x == y).mean()
+        want += len(cut_line(a) & cut_line(b)) / len(cut_line(a) | cut_line(b))
+    assert abs(agree - want) < 0.02 * 400
 
 
 def test_license_copies_back_to_back(spark):
