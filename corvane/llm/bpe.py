@@ -17,21 +17,31 @@ Decoding concatenates up the tree.
 from __future__ import annotations
 
 import base64
+from array import array
 from itertools import chain
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Characters of a leaf of the tree over a text, and bytes of a leaf within a match. Leaves and the windows
-#: at borders are encoded by the tiktoken library.
-LEAF_CHARS, LEAF_BYTES = 1 << 15, 256
+#: Characters of a leaf of the tree over a text, and bytes of a leaf within a match. The tiktoken library
+#: encodes the matches of leaves and of the windows at borders.
+LEAF_CHARS, LEAF_BYTES = 512, 256
 #: The pattern looks no further ahead than this: ``'re`` from its start, white space by one beyond its end.
 AHEAD = 3
-#: Pairs of tokens that a worker remembers as checked.
-PAIRS = 300_000
+#: Pairs of tokens that a worker remembers as checked, matches that it remembers with their tokens, and characters of such a match.
+PAIRS, MATCHES, SHORT = 300_000, 300_000, 32
 #: Texts whose tokens a worker holds at a time.
 ROWS = 64
 
 
+class Node(NamedTuple):
+    """A part of a text: its matches, in characters and in tokens each, and all its tokens."""
+
+    sizes: array
+    counts: array
+    ids: array
+
+
 class Bpe:
     """Encoder and decoder for one file of ranks and one pattern."""
 
@@ -43,7 +53,7 @@ class Bpe:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.bytes = {v: k for k, v in table.items()}
-        self.pattern, self.pairs = regex.compile(pattern), {}
+        self.pattern, self.pairs, self.known = regex.compile(pattern), {}, {}
 
     # tokens of one match
 
@@ -80,53 +90,67 @@ class Bpe:
 
     def match_ids(self, match: str) -> list[int]:
         """Tokens of one match of the pattern."""
-        data = match.encode("utf-8", "surrogatepass")
-        return self._leaf(data) if len(data) <= LEAF_BYTES else self._split(data)
+        if (ids := self.known.get(match)) is None:
+            data = match.encode("utf-8", "surrogatepass")
+            ids = self._leaf(data) if len(data) <= LEAF_BYTES else self._split(data)
+            if len(match) <= SHORT:
+                if len(self.known) > MATCHES:
+                    self.known.clear()
+                self.known[match] = ids
+        return ids
 
     # matches of a text
 
-    def _halves(self, text: str, lo: int, hi: int) -> list[str]:
-        """Matches in text[lo:hi], as if it were the whole text."""
+    def _node(self, matches: list[str]) -> Node:
+        tokens = list(map(self.match_ids, matches))
+        return Node(array("i", map(len, matches)), array("i", map(len, tokens)), array("i", chain.from_iterable(tokens)))
+
+    def _halves(self, text: str, lo: int, hi: int) -> Node:
+        """The node of text[lo:hi], as if it were the whole text."""
         if hi - lo <= LEAF_CHARS:
-            return self.pattern.findall(text[lo:hi])
+            return self._node(self.pattern.findall(text[lo:hi]))
         mid = (lo + hi) // 2
-        return self._met(self._halves(text, lo, mid), self._halves(text, mid, hi))
+        return self._met(text, mid, self._halves(text, lo, mid), self._halves(text, mid, hi))
 
-    def _met(self, left: list[str], right: list[str]) -> list[str]:
-        if not left or not right:
-            return left or right
+    def _met(self, text: str, mid: int, left: Node, right: Node) -> Node:
+        """The node of two neighbours that meet at text[mid]."""
         # matches of the left part that end, or look ahead, beyond its end may change
-        cut, beyond = len(left), 0
+        cut, beyond = len(left.sizes), 0
         while cut:
-            beyond += len(left[cut - 1])  # from the start of this match to the end of the left part
-            if beyond >= AHEAD and beyond - len(left[cut - 1]) >= AHEAD - 1:
+            size = left.sizes[cut - 1]
+            beyond += size  # from the start of this match to the end of the left part
+            if beyond >= AHEAD and beyond - size >= AHEAD - 1:
                 break
             cut -= 1
-        open_text, take = "".join(left[cut:]), 8
+        begin, take = mid - sum(left.sizes[cut:]), 8
         while True:
-            window = open_text + "".join(right[:take])
-            whole = take >= len(right)
-            borders, at = {}, len(open_text)  # places where a match of the right part begins
-            for k, m in enumerate(right[:take]):
+            whole = take >= len(right.sizes)
+            borders, at = {}, mid - begin  # places of the window where a match of the right part begins
+            for k, size in enumerate(right.sizes[:take]):
                 borders[at] = k
-                at += len(m)
+                at += size
+            window, skip = text[begin : begin + at], len(right.sizes) if whole else None
             at, new = 0, []
             for m in self.pattern.findall(window):
                 if not whole and (at + AHEAD > len(window) or at + len(m) + AHEAD - 1 > len(window)):
                     break
                 if at in borders:
-                    return left[:cut] + new + right[borders[at] :]
+                    skip = borders[at]
+                    break
                 new.append(m)
                 at += len(m)
-            else:
-                if whole:
-                    return left[:cut] + new
+            if skip is not None:
+                return self._around(left, cut, self._node(new), right, skip)
             take *= 4
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF_CHARS:
-            return self.library.encode_ordinary(text)
-        return list(chain.from_iterable(map(self.match_ids, self._halves(text, 0, len(text)))))
+    @staticmethod
+    def _around(left: Node, cut: int, new: Node, right: Node, skip: int) -> Node:
+        """The matches of *left* before *cut*, *new*, and those of *right* from *skip* on."""
+        keep, gone = len(left.ids) - sum(left.counts[cut:]), sum(right.counts[:skip])
+        return Node(left.sizes[:cut] + new.sizes + right.sizes[skip:], left.counts[:cut] + new.counts + right.counts[skip:], left.ids[:keep] + new.ids + right.ids[gone:])
+
+    def encode(self, text: str) -> array:
+        return self._halves(text, 0, len(text)).ids
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the tokens, concatenated up the tree; an id that has none is an error."""

@@ -91,7 +91,26 @@ def test_bpe_tree(monkeypatch):
     for _ in range(5000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
         ids = own.encode(x)
-        assert ids == library.encode_ordinary(x) and own.decode(ids) == x.encode()
+        assert ids.tolist() == library.encode_ordinary(x) and own.decode(ids) == x.encode()
+
+
+def test_bpe_tree_of_documents(monkeypatch):
+    """Every text above one leaf is joined from leaves, and the tokens are the library's."""
+    import public_tokenizers as P
+    import pyarrow.parquet as pq
+    import tiktoken
+
+    own = bpe.Bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={v: k for k, v in own.bytes.items()}, special_tokens={})
+    joins = []
+    met = own._met
+    monkeypatch.setattr(own, "_met", lambda *a: joins.append(1) or met(*a))
+    texts = [x for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if x]
+    texts += [" " * 3000, "a" * 3000, "\n \n" * 2000, "'re" * 1500, "x'" * 999 + "re", "日本" * 800]
+    for x in texts:
+        joins.clear()
+        assert own.encode(x).tolist() == library.encode_ordinary(x)
+        assert bool(joins) == (len(x) > bpe.LEAF_CHARS)
 
 
 def brute_fingerprint(text, width=4):
