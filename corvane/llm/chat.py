@@ -12,7 +12,7 @@ role names ``<``, ``>``, ``[``, ``]`` and the escape sign itself are written as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Opening marks of the known roles, and the end of a turn (fixed values of the template).
 MARKS = {"system": "<<SYS>>", "user": "[INST]", "assistant": "[/INST]"}
@@ -52,19 +52,19 @@ def formatted(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
     Turns are ordered by turn, then role, then text; null turns come first. Null texts are empty and
     null roles have the name ''. Repeated rows are turns like others. Rows of a null conversation id
-    form one conversation. An empty table gives no rows; further columns are ignored.
+    form one conversation. An empty table gives no rows; further columns are ignored. Long texts stay whole:
+    a conversation is one value, so it must fit the two gigabytes of a string.
     """
     t = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.select("conv", F.struct("turn", "role", F.expr(_mark("role")).alias("mark"), F.expr(escaped("text")).alias("body")).alias("piece"))
-    t = t.groupBy("conv").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    t = t.select("conv", "pieces", F.expr(f"transform(pieces, x -> length(x.mark) + length(x.body) + {len(END)})").alias("sizes"))
-    # where each piece ends, by a running sum
-    t = t.select("conv", "pieces", F.expr("aggregate(sizes, array(0L), (a, n) -> concat(a, array(element_at(a, -1) + n)))").alias("ends"))
+    t = t.select("conv", "turn", "role", "text", F.expr(_mark("role")).alias("mark"), F.expr(escaped("text")).alias("body"))
+    # where each piece stands, by a running sum over the sorted rows of a conversation, which need no further shuffle
+    by = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    t = t.select("conv", "role", "mark", "body", F.row_number().over(by).alias("i"), F.sum(F.expr(f"cast(length(mark) + length(body) + {len(END)} as bigint)")).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    t = t.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("i", F.expr("role = 'assistant'").alias("trained"), "mark", "body", "end"))).alias("pieces"))
     return t.select(
         "conv", F.size("pieces").cast("long").alias("turns"),
         F.expr(f"array_join(transform(pieces, x -> concat(x.mark, x.body, '{END}')), '')").alias("formatted"),
-        F.expr("transform(filter(transform(pieces, (x, i) -> struct(x.role as role, get(ends, i) + length(x.mark) + 1 as start, cast(length(x.body) as bigint) as length)), "
-               "x -> x.role = 'assistant'), x -> struct(x.start as start, x.length as length))").alias("spans"))
+        F.expr(f"transform(filter(pieces, x -> x.trained), x -> struct(x.end - {len(END)} - length(x.body) + 1 as start, cast(length(x.body) as bigint) as length))").alias("spans"))
 
 
 def examples(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -257,6 +257,17 @@ def test_chat(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_ties_and_long_conversations(spark):
+    """Rows of the same turn and role stand in the order of their texts, not of the escaped ones; long ones stay whole."""
+    long = "[x] " * 100_000
+    rows = [(1, 0, "assistant", "Ab"), (1, 0, "assistant", "<a"), (1, 0, "assistant", "Ab"), (1, 0, "assistant", "]")]
+    rows += [(2, k, ["user", "assistant"][k % 2], f"<{k}>") for k in range(4000)] + [(3, 0, "user", long), (3, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    said = {1: "<aAbAb]", 2: "".join(f"<{k}>" for k in range(1, 4000, 2)), 3: long}
+    got = local(chat.digests(df), "conv_id", "n_turns", "loss_chars", "loss_sha256")
+    assert sorted(got) == [(c, n, len(x), hashlib.sha256(x.encode()).hexdigest()) for (c, x), n in zip(said.items(), (4, 4000, 2), strict=True)]
+
+
 def test_urls(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "/es", "allow"), ("b.net", "", "block"), ("b.net", "", "allow"), (None, "/", "block"), ("c.net", "/x/y", "block")]
     urls = [None, "", "nothing", "http://", "http://example.com", "http://Example.COM/en/x?y#z", "https://www.example.com/en/", "http://badexample.com/en/", "http://x.net/es/1", "http://a.net/es/1", "http://a.net/esx", "http://b.net", "http://q.b.net?x", "http://com/a", "http://c.net/x/yz", "http://c.net/x/", "http://c.net/x/y/z/", "ftp://u:p@example.com:80/en/", "http://c.net//x/y"] * 2
