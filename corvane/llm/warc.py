@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import written
+from .common import hot_join, written
 
 #: Bytes of a chunk, and of archive between two places where a reader may begin.
 CHUNK, SPLIT = 1 << 16, 32 << 20
@@ -244,20 +244,26 @@ def planned(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     the others are revisits of it; smaller payloads are all responses. Null payloads are empty. Rows that
     repeat the largest id are all responses; null ids are smaller than all others, and if there is no
     other id they are responses. Null urls give records without a target; other columns are not read.
+
+    Only (id, target, digest, length) takes part in the search for copies, and the commonest payload is spread over
+    tasks. Payloads meet the list of revisits by id and digest, and are cut into chunks where they then are.
     """
     t = pages.select(F.col(id_col).alias("id"), F.col(url).alias("target"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("data"))
     t = t.withColumn("sha", F.unhex(F.sha1("data"))).withColumn("length", F.length("data").cast("long"))
-    copies = pages.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("data")).where(F.length("data") >= least)
-    copies = copies.groupBy(F.unhex(F.sha1("data")).alias("sha")).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    t = t.join(written(copies.select("sha", "first"), "copies"), "sha", "left")
+    slim = written(t.select("id", "target", "sha", "length"), "digests")
+    copies = slim.where(F.col("length") >= least).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    copies = written(copies, "copies")
+    again = hot_join(slim, copies, ["sha"], "n", F.unhex(F.hex(F.xxhash64("id", "target")))).where("first is not null and not (id <=> first)")
+    again = written(again.select("id", "target", "sha", "length", "first"), "revisits")
+    listed = again.select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha")).distinct()
+    own = t.join(listed, F.expr("id <=> r_id and sha = r_sha"), "left_anti")
+    own = own.select("id", "target", "sha", "length", "data", F.explode(F.expr(f"sequence(0, cast(greatest(length - 1, 0) div {CHUNK} as int))")).alias("chunk"))
     name = "concat('urn:corvane:page:', coalesce(cast({} as string), 'null'))"
-    revisit = "(first is not null and not (id <=> first))"
-    t = t.select(
-        F.expr(name.format("id")).alias("record_id"), F.expr(f"if({revisit}, 'revisit', 'response')").alias("record_type"), "target",
-        F.expr(f"if({revisit}, {name.format('first')}, null)").alias("refers_to"), _base32("sha").alias("digest"), "length", "data",
-        F.explode(F.expr(f"if({revisit}, array(0), sequence(0, cast(greatest(length - 1, 0) div {CHUNK} as int)))")).alias("chunk"))
-    data = F.expr(f"if(record_type = 'revisit', cast('' as binary), substring(data, chunk * {CHUNK} + 1, {CHUNK}))")
-    return t.select("record_id", "record_type", "target", "refers_to", "digest", "length", "chunk", data.alias("data"))
+    record = lambda kind, first, chunk, data: (
+        F.expr(name.format("id")).alias("record_id"), F.lit(kind).alias("record_type"), "target", F.expr(first).alias("refers_to"),
+        _base32("sha").alias("digest"), "length", F.expr(chunk).alias("chunk"), F.expr(data).alias("data"))
+    own = own.select(*record("response", "cast(null as string)", "chunk", f"substring(data, chunk * {CHUNK} + 1, {CHUNK})"))
+    return own.union(again.select(*record("revisit", name.format("first"), "0", "cast('' as binary)")))
 
 
 def _base32(sha: str):

@@ -235,6 +235,18 @@ def test_warc(spark):
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_common_payload(spark, monkeypatch):
+    """A payload that most pages have is one response and many revisits, by broadcast or by shuffle."""
+    from corvane.llm import common
+
+    df = spark.createDataFrame([(k, "u", "same" if k % 3 else f"own {k // 6}") for k in range(300)], "page_id long, url string, html string")
+    want = {k: max(j for j in range(300) if (j % 3 > 0) == (k % 3 > 0) and (k % 3 or j // 6 == k // 6)) for k in range(300)}
+    for hot in (1000, 1):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = local(warc.planned(df), "record_id", "refers_to")
+        assert {int(a.split(":")[-1]): int((b or a).split(":")[-1]) for a, b in got} == want and len(got) == 300
+
+
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\l\\\\g", "\\", "a\\", "<<role:x>>", "]]>[", "", None, "line\n<<SYS>>\nend", "\\b[\\", "é[\U0001f600]"]
     rows = [(c, t, role, nasty[(c + t) % len(nasty)]) for c in range(12) for t, role in enumerate(["system", "user", "assistant", "user", "assistant", "tool<x>"])]
