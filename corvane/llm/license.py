@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import LOWER, UPPER, written
+from .common import LOWER, UPPER, hot_join, written
 
 #: Words of a k-gram, farthest neighbouring diagonal, least share of a template's k-grams in a span, and
 #: longest span in template lengths.
@@ -42,6 +42,11 @@ TEMPLATES = (
     Template("cc-by-nc-4.0", False, "licensed under cc by nc 4 0"),
     Template("cc-by-sa-4.0", False, "licensed under cc by sa 4 0"),
     Template("mit", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    Template("mit", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    Template("isc", False, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("zlib", False, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    Template("unlicense", False, "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    Template("lgpl", False, "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     Template("bsd", False, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("mpl-2.0", False, "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("all-rights-reserved", False, "all rights reserved"),
@@ -75,14 +80,15 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
 
     What is found depends on the text alone, so hits are grouped by a 128-bit hash of the text: repeated
     rows and copies are counted once and share the result. Null and empty texts have no words and no label;
-    an empty table gives no rows; other columns stay inside ``row`` and cannot clash.
+    an empty table gives no rows; other columns stay inside ``row`` and cannot clash. Equal spans of two templates
+    are both listed. Long texts are read whole; only their k-grams travel. A text that most rows have is joined back by broadcast.
     """
     key = [F.expr("xxhash64(t)").alias("k1"), F.expr("xxhash64('copy', t)").alias("k2")]
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(*key, F.expr(words("t")).alias("w"))
     places = texts.where(f"size(w) >= {GRAM}").select("k1", "k2", "w", F.explode(F.expr(f"sequence(0, size(w) - {GRAM})")).alias("i"))
-    places = places.select("k1", "k2", "w", "i", _hash("w", "i").alias("h"))
-    hits = places.join(grams(df.sparkSession, templates), "h").where(" and ".join(f"get(w, i + {k}) = get(gram, {k})" for k in range(GRAM)))
-    votes = hits.groupBy("k1", "k2", "template", "label", "base", "template_words", "n_grams", F.expr("i - j").alias("diagonal")).agg(F.collect_set("j").alias("js"))
+    places = places.select("k1", "k2", "i", _hash("w", "i").alias("h"), *[F.expr(f"get(w, i + {k})").alias(f"g{k}") for k in range(GRAM)])
+    hits = places.join(grams(df.sparkSession, templates), "h").where(" and ".join(f"g{k} = get(gram, {k})" for k in range(GRAM)))
+    votes = hits.groupBy("k1", "k2", "template", "label", "base", "template_words", "n_grams", F.expr("i - j").alias("diagonal")).agg(F.collect_set("j").alias("js"), F.count(F.lit(1)).alias("hits"))
     votes = written(votes, "votes")  # read twice below, and far smaller than the texts
     exact = votes.where("base and size(js) = n_grams").select(
         "k1", "k2", "label", "base", F.col("diagonal").alias("start"), F.col("template_words").alias("size"), F.lit(1.0).alias("score"))
@@ -99,6 +105,8 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
     loose = loose.select("k1", "k2", "label", "template_words", "n_grams", F.col("n_").alias("n"), F.col("start_").alias("start"), F.col("stop_").alias("stop"))
     loose = loose.select(
         "k1", "k2", "label", F.lit(False).alias("base"), "start", F.expr(f"stop - start + {GRAM}").alias("size"), F.expr("n / cast(n_grams as double)").alias("score"))
+    # a place of a template has one hit on a diagonal in each row that has the text
+    times = votes.groupBy("k1", "k2").agg(F.max(F.expr("hits div size(js)")).alias("times"))
     found = exact.union(loose).groupBy("k1", "k2").agg(
         F.count_if("base").alias("n_base"), F.min(F.expr("if(base, start, null)")).cast("long").alias("first_word"), F.max(F.expr("if(base, start, null)")).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.expr("if(base, label, null)"))), ",").alias("base_labels"),
@@ -106,7 +114,8 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
         F.sort_array(F.collect_list(F.struct("start", F.col("size").alias("words"), "label", "score"))).alias("spans"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("row", *key, F.expr(f"size({words('t')})").cast("long").alias("n_words"))
-    return rows.join(found, ["k1", "k2"], "left").select(
+    found = written(found.join(times, ["k1", "k2"]), "found")
+    return hot_join(rows, found, ["k1", "k2"], "times", F.xxhash64(F.monotonically_increasing_id())).select(
         "row", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans")
 

@@ -38,7 +38,7 @@ MEASURES = {
     "mean_word_length": "coalesce(try_divide(word_chars, n_words), 0D)",
     "symbols_per_word": "coalesce(try_divide(n_symbols, n_words), 0D)",
     "marks_per_word": "coalesce(try_divide(n_marks, n_words), 0D)",
-    "distinct_stop_words": "n_stop_words",
+    "stop_word_ratio": "coalesce(try_divide(n_stop_words, n_words), 0D)",
     "duplicate_line_ratio": "coalesce(try_divide(n_dup_lines, n_lines), 0D)",
     "cut_line_ratio": "coalesce(try_divide(n_cut_lines, n_lines), 0D)",
     "bullet_line_ratio": "coalesce(try_divide(n_bullet_lines, n_lines), 0D)",
@@ -50,7 +50,7 @@ RULES = (
     Rule("word length", "mean_word_length", 2.0, 12.0),
     Rule("symbols", "symbols_per_word", None, 0.1),
     Rule("marks", "marks_per_word", None, 0.5),
-    Rule("stop words", "distinct_stop_words", 1, None),
+    Rule("stop words", "stop_word_ratio", 0.005, None),
     Rule("repeated lines", "duplicate_line_ratio", None, 0.5),
     Rule("cut lines", "cut_line_ratio", None, 0.3),
     Rule("bullets", "bullet_line_ratio", None, 0.9),
@@ -97,7 +97,7 @@ def _measured(df: DataFrame, text: str, keep: str) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.expr(r"cast(size(filter(lines, x -> rtrim(x) like '%...' or rtrim(x) like '%…')) as bigint)").alias("n_cut_lines"),
         F.expr(r"cast(size(filter(lines, x -> ltrim(x) like '- %' or ltrim(x) like '* %' or ltrim(x) like '• %')) as bigint)").alias("n_bullet_lines"),
-        F.expr(f"cast(size(array_intersect(transform(w, x -> lower(x)), array({stops}))) as bigint)").alias("n_stop_words"),
+        F.expr(f"cast(size(filter(w, x -> lower(x) in ({stops}))) as bigint)").alias("n_stop_words"),
     )
 
 
@@ -109,7 +109,8 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     base_failed: under 50 words, or more than half of the words repeated so. kept: neither base_failed
     nor any rule broken. A null or empty text has no words and fails; repeated rows are judged alike;
     an empty table gives no rows; columns of any name are carried inside ``row`` and cannot clash.
-    Windows are compared by 64-bit hashes inside one text.
+    Windows are compared by 64-bit hashes inside one text; of equal windows and lines all count, so there are no ties to
+    break. Long texts are read whole: a task holds one text's words and windows at a time.
     """
     t = _measured(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("t0")), "t0", "row")
     t = t.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
@@ -118,7 +119,8 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of *df* that :func:`judge` keeps, with the columns of *df*."""
+    """The rows of *df* that :func:`judge` keeps, with the columns of *df*. Null and empty texts go, repeated rows stay
+    or go together, and an empty table stays empty."""
     # inline() keeps the filter above what it filters by, which would else be computed once more for it
     judged = judge(df, text, rules).select("row", F.expr("inline(array(struct(kept as stays)))"))
     return judged.where("stays").select("row.*")
@@ -129,7 +131,7 @@ def _sql_rules() -> str:
     out = []
     for r in RULES:
         value = MEASURES[r.measure]
-        for whole in ("word_chars", "n_symbols", "n_marks", "n_dup_lines", "n_cut_lines", "n_bullet_lines"):
+        for whole in ("word_chars", "n_symbols", "n_marks", "n_stop_words", "n_dup_lines", "n_cut_lines", "n_bullet_lines"):
             for part in ("n_words", "n_lines"):
                 value = value.replace(f"coalesce(try_divide({whole}, {part}), 0D)", f"coalesce({whole}::double / nullif({part}, 0), 0)")
         out += [f"{value} >= {r.low}"] * (r.low is not None) + [f"{value} <= {r.high}"] * (r.high is not None)
@@ -153,7 +155,7 @@ measured as (
          (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words, len(ls) n_lines,
          len(list_filter(ls, lambda x: rtrim(x) like '%...' or rtrim(x) like '%…')) n_cut_lines,
          len(list_filter(ls, lambda x: ltrim(x) like '- %' or ltrim(x) like '* %' or ltrim(x) like '• %')) n_bullet_lines,
-         len(list_intersect(list_transform(w, lambda x: lower(x)), [{", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}])) n_stop_words
+         len(list_filter(w, lambda x: lower(x) in ({", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}))) n_stop_words
   from words left join places using (doc_id)),
 judged as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) base_failed from measured)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -62,6 +62,20 @@ def test_quality(spark, docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_rules(spark):
+    """Each rule is broken by a text made for it; a text of half a million words is measured whole."""
+    good = "the house of a green river stands by itself and nobody has seen its old owner since that winter came over hills "
+    plain = " ".join(w if w in quality.STOP_WORDS else f"{w}{k}" for k in range(4) for w in good.split())
+    texts = {
+        "": plain, "stop words": " ".join(f"word{k}" for k in range(400)), "symbols": plain + " ##### ##### #####", "marks": plain + "!" * 80,
+        "word length": " ".join("the" + "x" * 20 + str(k) for k in range(90)) + " the", "cut lines": "\n".join(f"the line {k}..." for k in range(40)), "bullets": "\n".join(f"- the a{k} b{k} c{k} d{k}" for k in range(40))}
+    df = spark.createDataFrame([(name, x) for name, x in texts.items()], "doc_id string, text string")
+    for name, base, broken, kept in local(quality.judge(df), "row.doc_id", "base_failed", "broken", "kept"):
+        assert not base and broken == [name] * bool(name) and kept == (not name), name
+    long = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(500_000)) + " the of" * 3000)], "doc_id int, text string")
+    assert local(quality.judge(long), "n_words", "n_repeat_words", "n_stop_words") == [(506_000, 6000, 6000)]
+
+
 def test_bpe(spark, docs):
     import public_tokenizers as P
     import tiktoken
@@ -473,6 +487,21 @@ def test_line_dedup_signatures(monkeypatch):
     assert abs(agree - want) < 0.02 * 400
 
 
+def test_license_long_templates_and_common_texts(spark, monkeypatch):
+    """A whole license with words put in and left out is found; a text that most rows have is joined either way."""
+    from corvane.llm import common
+
+    whole = max((t for t in license.TEMPLATES if t.label == "mit"), key=lambda t: len(t.words)).words.split()
+    changed = " ".join(w for k, w in enumerate(whole) if k % 40) .replace("as is", "as is and as available")
+    rows = [(k, "Copyright someone. " + changed) for k in range(40)] + [(40 + k, f"plain text {k}") for k in range(10)] + [(50, None), (51, "x " * 200_000 + " ".join(whole))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1000, 1):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = {r[0]: r[1:] for r in local(license.scan(df), "row.doc_id", "labels", "score", "n_words")}
+        assert len(got) == len(rows) and got[51] == ("mit", 1.0, 200_000 + len(whole)) and got[50] == ("", 0.0, 0)
+        assert all(got[k][0] == "mit" and 0.7 < got[k][1] <= 1 for k in range(40)) and not any(got[k][0] for k in range(40, 50))
+
+
 def test_license_copies_back_to_back(spark):
     notice = "All rights reserved."
     texts = [notice, f"{notice} {notice}", f"{notice} {notice} {notice}", "all rights x y z w rights reserved"]
