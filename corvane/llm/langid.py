@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Buckets of the hashed n-grams, lengths of the n-grams in bytes, centroids per language.
 DIMS, SIZES, CENTROIDS = 8192, (2, 3), 3
-#: Labelled rows that the centroids are fitted on: this many in all, shared equally, but at least
-#: SAMPLE_LEAST of each language. Document frequencies count all labelled rows.
+#: Labelled texts that the centroids are fitted on: this many different ones in all, shared equally, but at least
+#: SAMPLE_LEAST of each language. Document frequencies count all labelled rows. The driver gets the counts of these texts,
+#: made by the executors: at most DIMS * 6 bytes a text, so 200 MB for up to 100 languages, however long the texts are.
 SAMPLE, SAMPLE_LEAST = 4000, 40
 #: A text is rejected below this quantile of the cosines that a centroid's own training texts have, less MARGIN.
 QUANTILE, MARGIN = 0.01, 0.1
@@ -74,11 +75,10 @@ def counts(texts: list[bytes]):
     return out
 
 
-def vectors(texts: list[bytes], idf):
-    """Normalised TF-IDF vectors, TF as 1 + log."""
+def weighted(c, idf):
+    """Normalised TF-IDF vectors of counts, TF as 1 + log."""
     import numpy as np
 
-    c = counts(texts)
     v = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * idf
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
@@ -106,12 +106,26 @@ def clustered(v, k: int, rounds: int = 10):
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def sampled(t: DataFrame, languages: int) -> DataFrame:
+    """Rows (lang, h, t) of the different texts with the smallest hashes of each language, of rows (lang, t, h).
+
+    A bound on the hash, from the number of different texts of a language, lets about twice as many through as are
+    wanted, so what is ranked is small whatever share of the rows a language or a text has.
+    """
+    most = max(SAMPLE_LEAST, SAMPLE // languages)
+    kinds = t.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    limits = kinds.select(F.col("lang").alias("name"), F.expr(f"if(n <= {2 * most}, {2**63 - 1}L, cast({-(2**63)}D + {2 * most} / cast(n as double) * {2**64}D as bigint))").alias("top"))
+    few = t.join(F.broadcast(limits) if languages <= 10_000 else limits, F.expr("lang = name and h <= top"))
+    few = few.groupBy("lang", "h").agg(F.first("t").alias("t"))
+    return few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most).select("lang", "h", "t")
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model | None:
     """A model from the rows of *df* with a language that are not held out; None if there are none."""
     import numpy as np
 
     t = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-    t = t.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(id_col), F.col(lang)).alias("h"))
+    t = t.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(text).cast("binary")).alias("h"))
 
     def frequencies(batches):
         import pyarrow as pa
@@ -129,16 +143,26 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "do
     if not total:
         return None
     idf = np.log((1 + total) / (1 + np.array([seen.get(k, 0) for k in range(DIMS)]))).astype(np.float32) + 1
-    # the rows with the smallest hashes of each language: found by hash alone, then read by that bound
-    languages = t.select("lang").distinct().count()
-    most = max(SAMPLE_LEAST, SAMPLE // languages)
-    ranked = t.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("r")).where(F.col("r") <= most)
-    bounds = ranked.groupBy("lang").agg(F.max("h").alias("top")).collect()
-    limits = df.sparkSession.createDataFrame([(r.lang, r.top) for r in bounds], "lang string, top long")
-    sample = t.join(F.broadcast(limits) if len(bounds) <= 10_000 else limits, "lang").where("h <= top").select("lang", "h", "t").orderBy("lang", "h", "t").collect()
-    names, cents, least = [], [], []
-    for name in sorted({r.lang for r in sample}):
-        v = vectors([bytes(r.t) for r in sample if r.lang == name][:most], idf)
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                c = counts(part.column(2).to_pylist())
+                at = [np.flatnonzero(x) for x in c]
+                dims = pa.array([x.astype(np.int16) for x in at], pa.list_(pa.int16()))
+                values = pa.array([x[i] for x, i in zip(c, at, strict=True)], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), dims, values], ["lang", "h", "dims", "n"])
+
+    sample = sampled(t, t.select("lang").distinct().count()).mapInArrow(counted, "lang string, h long, dims array<short>, n array<float>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    names, cents, least, of = [], [], [], np.array(sample["lang"].to_pylist())
+    for name in sorted(set(of.tolist())):
+        c = np.zeros((int((of == name).sum()), DIMS), np.float32)
+        for row, k in zip(c, np.flatnonzero(of == name), strict=True):
+            row[sample["dims"][int(k)].values.to_numpy()] = sample["n"][int(k)].values.to_numpy()
+        v = weighted(c, idf)
         c = clustered(v, CENTROIDS)
         cosine = v @ c.T
         for j in range(len(c)):
@@ -155,7 +179,8 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", id_col: str
     lang_pred is the language of the nearest centroid, or ``und`` with score 0 for a null text, a text without
     a letter, and everything if there was nothing to learn from. score: the cosine, 0 to 1. rejected: ``und``,
     or farther from the centroid than its training texts. Of equally near centroids the first by name
-    counts. Repeated rows get equal results; an empty table gives no rows; other columns are not read.
+    counts. Repeated rows get equal results; an empty table gives no rows; other columns are not read. Long texts
+    are counted whole, PIECE bytes at a time.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -170,7 +195,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", id_col: str
                 known = [model is not None and has_letter(x) for x in texts]
                 names, scores, off = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if any(known):
-                    cosine = vectors([x or b"" for x in texts], model.idf) @ model.centroids
+                    cosine = weighted(counts([x or b"" for x in texts]), model.idf) @ model.centroids
                     best = np.argmax(cosine, axis=1)
                     top = cosine[np.arange(len(texts)), best]
                     for j in np.flatnonzero(known):

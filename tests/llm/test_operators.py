@@ -348,6 +348,94 @@ def test_language(spark):
     assert langid.predict(df.limit(0), langid.fit(df)).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Document frequencies, sample, centroids, cosines, rejection and ties, recomputed text by text with dictionaries."""
+    import zlib
+    from collections import Counter
+    from math import log, sqrt
+
+    import numpy as np
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    twins = spark.createDataFrame([(10_000 + k, "qux zork blip " * 4, name) for k in range(8) for name in ("zz", "aa")], "doc_id long, text string, lang string")
+    docs = docs.union(twins)
+
+    def grams(text):
+        plain = "".join(chr(c + 32) if 65 <= c <= 90 else chr(c) if 97 <= c <= 122 or c >= 128 else " " for c in text.encode())
+        b = b" " + plain.encode("latin-1") + b" "
+        codes = [int.from_bytes(bytes([n]) + b[i : i + n], "big") & 0xFFFFFFFF for n in langid.SIZES for i in range(len(b) - n + 1)]
+        return Counter((c * 0x9E3779B1 & 0xFFFFFFFF) >> 19 for c in codes)
+
+    rows = local(docs, "doc_id", "text", "lang")
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    learned = [(x, name) for i, x, name in rows if x is not None and name is not None and not held[i]]
+    frequency = Counter(g for x, _ in learned for g in grams(x))
+    idf = {g: log((1 + len(learned)) / (1 + frequency[g])) + 1 for g in range(langid.DIMS)}
+
+    def vector(text):
+        v = {g: (1 + log(n)) * idf[g] for g, n in grams(text).items()}
+        size = sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()}
+
+    def dot(u, v):
+        return sum(x * v.get(g, 0.0) for g, x in u.items())
+
+    def mean(vs):
+        total = Counter()
+        for v in vs:
+            total.update(v)
+        size = sqrt(sum(x * x for x in total.values()))
+        return {g: x / size for g, x in total.items()}
+
+    centroids = []
+    for name in sorted({n for _, n in learned}):
+        order = sorted({x for x, n in learned if n == name}, key=lambda x: (h := xxhash.xxh64_intdigest(x.encode(), 42)) - 2**64 * (h >> 63))
+        vs = [vector(x) for x in order]
+        first = Counter()
+        for v in vs:
+            first.update({g: x / len(vs) for g, x in v.items()})
+        chosen = [first]
+        while len(chosen) < min(langid.CENTROIDS, len(vs)):
+            chosen.append(min(vs, key=lambda v: max(dot(v, c) for c in chosen)))
+        cs = [mean([c]) for c in chosen]
+        for _ in range(10):
+            near = [max(range(len(cs)), key=lambda j, v=v: dot(v, cs[j])) for v in vs]
+            cs = [mean([v for v, k in zip(vs, near, strict=True) if k == j]) if j in near else cs[j] for j in range(len(cs))]
+        near = [max(range(len(cs)), key=lambda j, v=v: dot(v, cs[j])) for v in vs]
+        for j, c in enumerate(cs):
+            own = [dot(v, c) for v, k in zip(vs, near, strict=True) if k == j]
+            centroids.append((name, c, (np.quantile(own, langid.QUANTILE) if own else 0) - langid.MARGIN))
+    got = local(langid.predict(docs, langid.fit(docs)), "id", "lang_pred", "score", "rejected")
+    flags = dict(local(docs.select("doc_id", langid.held_out().alias("h")).distinct(), "doc_id", "h"))
+    assert flags == held and len(got) == len(rows)
+    text = {i: x for i, x, _ in rows}
+    for i, name, score, rejected in got:
+        x = text[i]
+        if x is None or not any(c.isalpha() for c in x):
+            assert (name, score, rejected) == ("und", 0.0, True)
+            continue
+        v = vector(x)
+        scores = [dot(v, c) for _, c, _ in centroids]
+        top = max(scores)
+        assert abs(score - top) < 1e-4
+        assert name in {n for (n, _, _), s in zip(centroids, scores, strict=True) if s > top - 1e-4}
+        least = centroids[max(range(len(scores)), key=scores.__getitem__)][2]
+        assert rejected == (top < least) or abs(top - least) < 1e-4
+    assert {name for i, name, *_ in got if i >= 10_000} == {"aa"}
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """A language, and a text, that hold most rows: the sample has each text once, and at most its share of them."""
+    monkeypatch.setattr(langid, "SAMPLE", 100)
+    rows = [("en", b"same")] * 500 + [("en", b"en %d" % k) for k in range(2000)] + [("de", b"de %d" % k) for k in range(30)]
+    t = spark.createDataFrame(rows, "lang string, t binary").withColumn("h", F.xxhash64("t"))
+    got = local(langid.sampled(t, 2), "lang", "h", "t")
+    hashes = sorted({h for name, h in local(t, "lang", "h") if name == "en"})
+    assert sorted(h for name, h, _ in got if name == "en") == hashes[:50]
+    assert sum(name == "de" for name, *_ in got) == 30
+
+
 def brute_lines(rows):
     """Lines that go, as (id, text, place), and the least Jaccard similarity by which any goes."""
     def cut(x):
