@@ -16,14 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .common import finished, hot_join, written
-from .components import connected_components
+from .similar import distinct_buckets, linked, near
 
-#: Bytes of a shingle, bands, minima of a band, least Jaccard similarity.
-WIDTH, BANDS, DEPTH, SIMILARITY = 12, 6, 3, 0.8
+#: Bytes of a shingle, bands, minima of a band.
+WIDTH, BANDS, DEPTH = 12, 6, 3
 #: Bytes of lines whose shingles are hashed at a time.
 PIECE = 1 << 16
-#: Lines, and bytes of them, in a chunk of a bucket; a task compares two chunks at a time.
-CHUNK, CHUNK_BYTES = 1024, 2 << 20
 #: What the 32-bit hashes are XORed with for each place of a signature, over the whole range.
 ORDER = [(k * 0x9E3779B9 + 0xA43F6A88) % 2**32 for k in range(BANDS * DEPTH)]
 
@@ -120,177 +118,26 @@ def _banded(lines: DataFrame) -> DataFrame:
         "h1", "bytes", F.array(*[f"b{k}" for k in range(BANDS)]).alias("keys"))
 
 
-def _buckets(banded: DataFrame) -> DataFrame:
-    """Rows (bucket, chunks) of buckets with several lines, one of each set of lines; chunks: into how many its lines are dealt."""
-    b = banded.select("h1", "bytes", F.explode("keys").alias("bucket")).groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64(F.lit("x"), "h1")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "h1")).alias("y"))
-    b = b.where("n > 1").groupBy("n", "bytes", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return b.select("bucket", F.expr(f"greatest(ceil(n / {CHUNK}D), ceil(bytes / {CHUNK_BYTES}D))").alias("chunks"))
-
-
-def _near(df: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """The rows of *df* whose *key*, a long, may be one of *nodes* (one column *key*, a written table).
-
-    A bitmap of a bounded number of bits, sent to all executors, keeps most others out of the shuffle that follows.
-    """
-    bits = 1 << min(28, max(20, (8 * nodes.count()).bit_length()))
-    spot = F.expr(f"pmod({key}, {bits}L)")
-    maps = nodes.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bm"))
-    t = df.withColumn("p", spot).join(F.broadcast(maps), F.bitmap_bucket_number("p") == F.col("part"))
-    byte = "cast(conv(hex(substring(bm, cast(bitmap_bit_position(p) div 8 + 1 as int), 1)), 16, 10) as int)"
-    return t.where(f"(shiftright({byte}, cast(bitmap_bit_position(p) % 8 as int)) & 1) = 1").select(*df.columns)
-
-
-class Shingled:
-    """The shingles of several lines, of WIDTH bytes or more each, as sorted sets of numbers."""
-
-    def __init__(self, lines: list[bytes]) -> None:
-        import numpy as np
-
-        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        h = shingle_hashes(b"".join(lines), sizes)
-        owner = np.repeat(np.arange(len(lines)), sizes - (WIDTH - 1))
-        values, ids = np.unique(h, return_inverse=True)
-        self.vocabulary = len(values)
-        pairs = np.unique(owner * self.vocabulary + ids)
-        self.owner, self.ids = pairs // self.vocabulary, pairs % self.vocabulary
-        self.sizes = np.bincount(self.owner, minlength=len(lines))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def of(self, k: int):
-        return self.ids[self.starts[k] : self.starts[k] + self.sizes[k]]
-
-    def similar(self, k: int, ids, starts, sizes):
-        """Which of the sets *ids*, cut at *starts*, have at least SIMILARITY with line *k*."""
-        import numpy as np
-
-        mark = np.zeros(self.vocabulary, np.uint8)
-        mark[self.of(k)] = 1
-        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
-        return both >= SIMILARITY * (self.sizes[k] + sizes - both) - 1e-9
-
-
-def _spanning(names: list[int], lines: list[bytes]) -> tuple[list, list]:
-    """Links that connect all lines which single linkage connects: a search with one link each."""
-    import numpy as np
-
-    s, a, b = Shingled(lines), [], []
-    left, ids, starts, sizes, queue = np.arange(len(lines)), s.ids, s.starts, s.sizes, []
-
-    def without(gone):
-        stay = ~gone
-        return left[stay], ids[np.repeat(stay, sizes)], np.cumsum(sizes[stay]) - sizes[stay], sizes[stay]
-
-    while len(left):
-        if queue:
-            at = queue.pop()
-        else:
-            at = int(left[0])
-            left, ids, starts, sizes = without(left == at)
-        if len(left):
-            near = s.similar(at, ids, starts, sizes)
-            if near.any():
-                found = left[near].tolist()
-                a += [names[at]] * len(found)
-                b += [names[x] for x in found]
-                queue += found
-                left, ids, starts, sizes = without(near)
-    return a, b
-
-
-def _between(names: list[int], lines: list[bytes], roots: list[int], few: list[bool]) -> tuple[list, list]:
-    """Links from each line of *few* to others that its root does not yet reach, one for each root."""
+def _hashes(lines: list[bytes]) -> tuple:
     import numpy as np
 
-    s, a, b, root = Shingled(lines), [], [], np.asarray(roots, np.int64)
-    for k in np.flatnonzero(few).tolist():
-        near = s.similar(k, s.ids, s.starts, s.sizes) & (root != root[k])
-        for other in np.unique(root[near]).tolist():
-            a.append(names[k])
-            b.append(names[int(np.flatnonzero(near & (root == other))[0])])
-            root[root == other] = root[k]
-    return a, b
-
-
-def _searched(rows: DataFrame, between: bool) -> DataFrame:
-    """Links (u, v) within each group g of *rows*: (g, h1, l), and root, few if *between*.
-
-    Rows are sorted by group and streamed, so a task holds one group at a time.
-    """
-    columns = ["g", "h1", "l", *(["root", "few"] if between else [])]
-
-    def search(batches):
-        import pyarrow as pa
-
-        def links(part):
-            seen = dict(zip(part["h1"], range(len(part["h1"])), strict=True))  # two equal groups may share a name
-            pick = [k for h, k in seen.items() if len(part["l"][k]) >= WIDTH]
-            if len(pick) < 2:
-                return [], []
-            names, lines = [part["h1"][k] for k in pick], [part["l"][k] for k in pick]
-            return _between(names, lines, [part["root"][k] for k in pick], [part["few"][k] for k in pick]) if between else _spanning(names, lines)
-
-        group, now = {c: [] for c in columns}, None
-        out = [], []
-        for batch in batches:
-            values = {c: batch.column(c).to_pylist() for c in columns}
-            at, g = 0, values["g"]
-            while at < len(g):
-                stop = at
-                if g[at] != now:
-                    for x, y in zip(out, links(group), strict=True):
-                        x += y
-                    group, now = {c: [] for c in columns}, g[at]
-                while stop < len(g) and g[stop] == now:
-                    stop += 1
-                for c in columns:
-                    group[c] += values[c][at:stop]
-                at = stop
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
-            out = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(group)], ["u", "v"])
-
-    rows = rows.select(*[F.col(c).cast("binary") if c == "l" else F.col(c) for c in columns])
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(search, "u long, v long").distinct()
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    return shingle_hashes(b"".join(lines), sizes), sizes - (WIDTH - 1)
 
 
 def components(lines: DataFrame) -> DataFrame:
     """Rows (h1, root) of lines that are similar to others but not equal, as comparing all pairs of each bucket would give.
 
-    Lines are dealt out in chunks by a hash. First each chunk of a bucket is searched together with the next one, which is
-    linear in the bucket and links most of what is similar; then the lines outside a bucket's largest component
-    meet all others of it. Lines that share h1 with a different line, one chance in 2**64 for a pair, are left to exact
-    matching.
+    Lines that share h1 with a different line, one chance in 2**64 for a pair, are left to exact matching.
     """
     banded = written(_banded(lines), "banded")
-    buckets = written(_buckets(banded), "buckets")
-    keyed = banded.select("h1", F.explode("keys").alias("bucket"))
-    members = written(_near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket").select("bucket", "h1", "chunks"), "members")
+    keyed = banded.select("h1", "bytes", F.explode("keys").alias("bucket"))
+    buckets = written(distinct_buckets(keyed), "buckets")
+    members = written(near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket").select("bucket", "h1", "chunks"), "members")
     nodes = written(members.select("h1").distinct(), "nodes")
-    texts = _near(lines.select("h1", "h2", "l"), nodes, "h1").groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
+    texts = near(lines.select("h1", "h2", "l"), nodes, "h1").groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
     texts = written(texts.where("a = b").select("h1", "l").join(nodes, "h1"), "texts")
-    dealt = members.withColumn("p", F.expr("pmod(xxhash64('chunk', h1), chunks)"))
-    rows = dealt.select("bucket", "h1", F.explode(F.expr("if(chunks <= 2, array(0L), array(p, pmod(p + 1, chunks)))")).alias("p"))
-    links = written(_searched(rows.join(texts, "h1").select(F.xxhash64("bucket", "p").alias("g"), "h1", "l"), False), "links")
-    roots = written(connected_components(links, "u", "v"), "linked")
-    if not buckets.where("chunks > 2").isEmpty():
-        found = written(_searched(_apart(dealt.where("chunks > 2"), roots).join(texts, "h1"), True), "links")
-        if not found.isEmpty():
-            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found), "u", "v")
-    return roots.select(F.col("node").alias("h1"), "root")
-
-
-def _apart(dealt: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (g, h1, root, few): the lines outside the largest component of their bucket (few), in groups with each of its chunks."""
-    m = dealt.join(roots, F.col("h1") == F.col("node"), "left").select("bucket", "h1", "p", "chunks", F.coalesce("root", "h1").alias("root"))
-    sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    sizes = sizes.where("top.n < n").select("bucket", F.col("top.root").alias("top"), F.expr("(n - top.n) / cast(n as double)").alias("share"))
-    m = m.join(sizes, "bucket").withColumn("us", F.expr("cast(ceil(share * chunks) as bigint)")).withColumn("few", F.expr("root <> top"))
-    u = m.where("few").select("bucket", "h1", "root", "few", F.expr("pmod(xxhash64('few', h1), us)").alias("q"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"))
-    v = m.select("bucket", "h1", "root", F.lit(False).alias("few"), F.explode(F.expr("sequence(0L, us - 1)")).alias("q"), "p")
-    # a line of a group's own chunk may come from both sides: it counts as one of the few
-    both = u.select("bucket", "p", "q", "h1", "root", "few").union(v.select("bucket", "p", "q", "h1", "root", "few"))
-    return both.groupBy(F.xxhash64("bucket", "p", "q").alias("g"), "h1").agg(F.first("root").alias("root"), F.max("few").alias("few"))
+    return linked(members, texts, _hashes, WIDTH).select(F.col("node").alias("h1"), "root")
 
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

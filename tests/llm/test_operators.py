@@ -11,7 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, components, decontaminate, langid, license, linededup, quality, simhash, urlfilter, warc
+from corvane.llm import bpe, chat, components, decontaminate, langid, license, linededup, quality, similar, simhash, urlfilter, warc
 from corvane.llm.common import new_path, written
 
 DOCS = "doc_id long, text string, lang string, row string, t string, k int"
@@ -166,6 +166,64 @@ def test_simhash(spark, docs):
     assert simhash.classes(docs.limit(0)).count() == 0
 
 
+def five(text):
+    w = space_words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_texts(a, b):
+    return bool(a) and len(a & b) >= similar.SIMILARITY * len(a | b)
+
+
+def test_simhash_similar(spark, docs):
+    """Near copies of 0.8 or more, some only just, against comparing all pairs: nearly all are found, and no others."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    texts = []
+    for k in range(300):
+        n = (45, 120, 400)[k % 3]
+        words = [vocabulary[min(int(rng.paretovariate(0.6)), 4999)] for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(1 + k % 2):
+            copy = list(words)
+            for i in rng.sample(range(n), max(1, round(n * rng.choice([0.005, 0.012, 0.022, 0.03])))):
+                copy[i] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.select("doc_id", "text"))
+    rows = table.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.col("text").alias("t"))
+    sets = {h: five(t) for h, t in local(rows, "h1", "t")}
+    pairs = [(u, v) for u in sets for v in sets if u < v and similar_texts(sets[u], sets[v])]
+    root = dict(local(simhash.similar(rows), "node", "root"))
+    found = sum(root.get(u, u) == root.get(v, v) for u, v in pairs)
+    assert len(pairs) > 150 and found >= 0.95 * len(pairs)
+    near = set(pairs)
+    whole = classes_of(sorted(sets), lambda u, v: (min(u, v), max(u, v)) in near)
+    assert all(whole[h] == whole[r] for h, r in root.items())
+    kept = simhash.deduplicated_similar(table.withColumn("h1", F.lit("h1")).withColumn("row", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "h1", "row"]
+    ids = local(kept, "doc_id", "text")
+    assert len(ids) == len({root.get(h, h) for h in sets}) and len(set(ids)) == len(ids)
+    order = lambda i, h: (i is None, i or 0, h)
+    best = {}
+    for i, h in local(table.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id", "h"):
+        c = root.get(h, h)
+        best[c] = min(best.get(c, order(i, h)), order(i, h))
+    assert sorted(best.values()) == sorted(order(i, h) for i, h in local(kept.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id", "h"))
+    assert simhash.deduplicated_similar(table.limit(0)).count() == 0
+
+
+def test_simhash_similar_in_a_large_group(spark, monkeypatch):
+    """Many near copies of one text, beyond LIMIT and the chunks: one component."""
+    rng = random.Random(22)
+    words = [f"w{rng.randint(0, 999)}" for _ in range(200)]
+    texts = [" ".join(words[:k] + ["zzz", str(k)] + words[k + 2 :]) for k in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "h1 long, t string")
+    for limit, chunk in ((4096, 1024), (5, 1024), (4096, 9)):
+        monkeypatch.setattr(simhash, "LIMIT", limit)
+        monkeypatch.setattr(similar, "CHUNK", chunk)
+        assert dict(local(simhash.similar(rows), "node", "root")) == dict.fromkeys(range(150), 0)
+
+
 def test_simhash_links_are_whole(spark):
     rng = random.Random(2)
     centre = rng.getrandbits(64)
@@ -448,7 +506,7 @@ def brute_lines(rows):
             if space_words(x):
                 places.setdefault(x, []).append((i is None, i or 0, text, n))
     sets = {x: cut(x) for x in places}
-    root = classes_of(sorted(places), lambda a, b: len(sets[a] & sets[b]) >= linededup.SIMILARITY * len(sets[a] | sets[b]))
+    root = classes_of(sorted(places), lambda a, b: len(sets[a] & sets[b]) >= similar.SIMILARITY * len(sets[a] | sets[b]))
     return places, root
 
 
@@ -484,7 +542,7 @@ def cut_line(x):
 
 
 def similar_lines(u, v):
-    return len(u & v) >= linededup.SIMILARITY * len(u | v)
+    return len(u & v) >= similar.SIMILARITY * len(u | v)
 
 
 def test_line_dedup_compares_whole_buckets(spark, monkeypatch):
@@ -504,7 +562,7 @@ def test_line_dedup_compares_whole_buckets(spark, monkeypatch):
     want = classes_of(sorted(sets), lambda u, v: (u, v) in near or (v, u) in near)
     assert len(met) > 5 * len(near)
     for chunk in (1024, 7):
-        monkeypatch.setattr(linededup, "CHUNK", chunk)
+        monkeypatch.setattr(similar, "CHUNK", chunk)
         got = dict(local(linededup.components(lines), "h1", "root"))
         assert {h: got.get(h, h) for h in want} == want
 
@@ -526,7 +584,7 @@ def test_line_dedup_recall_on_boilerplate(spark, shared, own):
         matrix[k, [place[g] for g in cut_line(x)]] = 1
     both = matrix @ matrix.T
     sizes = matrix.sum(axis=1)
-    near = both >= linededup.SIMILARITY * (sizes[:, None] + sizes - both)
+    near = both >= similar.SIMILARITY * (sizes[:, None] + sizes - both)
     want = classes_of(range(len(names)), lambda u, v: near[u, v])
     got = dict(local(linededup.components(lines), "h1", "root"))
     merges = len(names) - len(set(want.values()))
