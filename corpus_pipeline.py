@@ -15,7 +15,8 @@ from corvane.session import ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. In every stage null texts count as empty, rows that repeat others are treated like them, an empty
+    table stays empty, long texts are read whole, and other columns, of whatever name, are carried along."""
     return quality.kept_rows(docs)
 
 
@@ -25,9 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, fingerprints at most 4 bits apart."""
+    """One document of each group of near copies: a Jaccard similarity of 0.8 or more over five-word shingles, found by blocks of fingerprints."""
     ship(spark)
-    return simhash.deduplicated(docs, width=5)
+    return simhash.deduplicated_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
