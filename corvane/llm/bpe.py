@@ -29,7 +29,7 @@ LEAF_CHARS, LEAF_BYTES = 512, 256
 #: The pattern looks no further ahead than this: ``'re`` from its start, white space by one beyond its end.
 AHEAD = 3
 #: Pairs of tokens that a worker remembers as checked, matches that it remembers with their tokens, and characters of such a match.
-PAIRS, MATCHES, SHORT = 300_000, 300_000, 32
+PAIRS, MATCHES, SHORT = 50_000, 50_000, 32
 #: Texts whose tokens a worker holds at a time.
 ROWS = 64
 
@@ -175,22 +175,32 @@ def encoded(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: st
     """*df* with a further column *ids*, array<int>: the tokens of each whole text, without special tokens.
 
     *ranks* is a file that every executor has under that path. Null and empty texts give an empty array.
-    Rows are encoded one by one, so repeated rows are encoded alike, and an empty table stays empty.
-    If a column has that name already, the new one's name gets underscores until it is free.
+    Rows are encoded one by one, so repeated rows are encoded alike, and an empty table stays empty. A long text is
+    held once, with twelve bytes for each of its matches. If a column has that name already, the new one's name gets underscores
+    until it is free.
     """
-    return _mapped(df, text, ids, "array<int>", ranks, pattern, "encode")
+    return _mapped(df, text, {ids: "array<int>"}, ranks, pattern)
 
 
 def decoded(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """*df* with a further column *data*, binary: the bytes of the tokens in *ids* (null: no bytes). A name
     that is taken gets underscores, as in :func:`encoded`."""
-    return _mapped(df, ids, data, "binary", ranks, pattern, "decode")
+    return _mapped(df, ids, {data: "binary"}, ranks, pattern)
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: str, ranks: str, pattern: str, what: str) -> DataFrame:
-    while target.lower() in {c.lower() for c in df.columns}:
-        target += "_"
-    place = df.columns.index(source)
+def encoded_and_decoded(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """Both in one pass over the texts: *ids*, and *data* decoded from them."""
+    return _mapped(df, text, {ids: "array<int>", data: "binary"}, ranks, pattern)
+
+
+def _mapped(df: DataFrame, source: str, targets: dict[str, str], ranks: str, pattern: str) -> DataFrame:
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in targets:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    place, kinds = df.columns.index(source), list(targets.values())
 
     def run(batches):
         import pyarrow as pa
@@ -198,15 +208,16 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, ranks: str, patt
         bpe = loaded(ranks, pattern)
         for whole in batches:
             for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
-                column = b.column(place)
-                if what == "encode":
-                    new = _arrow_lists([bpe.encode(x.as_py() or "") for x in column])
-                else:
+                column, new = b.column(place), []
+                if kinds[0] == "array<int>":
+                    column = _arrow_lists([bpe.encode(x.as_py() or "") for x in column])
+                    new.append(column)
+                if kinds[-1] == "binary":
                     flat, at = column.values.to_numpy(), column.offsets.to_numpy()
-                    new = pa.array([bpe.decode(flat[at[k] : at[k + 1]].tolist()) if column[k].is_valid else b"" for k in range(len(column))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, target])
+                    new.append(pa.array([bpe.decode(flat[at[k] : at[k + 1]].tolist()) if column[k].is_valid else b"" for k in range(len(column))], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{target}` {kind}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
     return df.mapInArrow(run, schema)
 
 
@@ -221,4 +232,4 @@ def _arrow_lists(rows: list[list[int]]):
 def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, ids, decoded): each text's tokens, and the bytes that these give."""
     t = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    return decoded(encoded(t, ranks, pattern, "t").select("id", "ids"), ranks, pattern)
+    return encoded_and_decoded(t, ranks, pattern, "t").select("id", "ids", "decoded")
