@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    t = bpe.decoded(bpe.encoded(t, ranks, pattern), ranks, pattern)
+    t = bpe.encoded_and_decoded(t, ranks, pattern)
     taken, names = {c.lower() for c in docs.columns}, []
     for name in ("token_ids", "n_tokens", "intact"):
         while name in taken:
