@@ -91,9 +91,13 @@ def contains_words(outer: str, inner: str) -> str:
 def join_adjacent(first: str, second: str) -> str:
     """Two texts as one: the longest run of words that ends the first and begins the second stands once."""
     a, b = (rf"array_remove(split({x}, '\\s+', -1), '')" for x in (first, second))
-    n = f"coalesce(array_max(filter(sequence(1, greatest(1, least(size({a}), size({b})))), n -> n <= least(size({a}), size({b})) and slice({a}, -n, n) = slice({b}, 1, n))), 0)"
-    rest = f"array_join(slice({b}, {n} + 1, greatest(size({b}), 1)), ' ')"
-    return f"case when {rest} = '' then trim({first}) when trim({first}) = '' then {rest} else concat(trim({first}), '\\n\\n', {rest}) end"
+    # bound to names by a lambda over one row, so that each is computed once; most lengths fail at their outer words
+    most = "least(size(p.a), size(p.b))"
+    fits = f"n <= {most} and get(p.a, size(p.a) - n) = get(p.b, 0) and get(p.b, n - 1) = get(p.a, size(p.a) - 1) and slice(p.a, -n, n) = slice(p.b, 1, n)"
+    n = f"coalesce(array_max(filter(sequence(1, greatest(1, {most})), n -> {fits})), 0)"
+    rest = f"array_join(slice(p.b, {n} + 1, greatest(size(p.b), 1)), ' ')"
+    bound = f"transform(array(named_struct('f', trim({first}), 'a', {a}, 'b', {b})), p -> named_struct('f', p.f, 'r', {rest}))"
+    return f"element_at(transform({bound}, q -> case when q.r = '' then q.f when q.f = '' then q.r else concat(q.f, '\\n\\n', q.r) end), 1)"
 
 
 def clean(t: str, folded: bool = True) -> str:
@@ -131,6 +135,11 @@ def sensitive(field: str) -> str:
     return f"lower({field}) rlike '(^|_)({'|'.join(SENSITIVE)})$'"
 
 
+def is_sensitive(field: str) -> bool:
+    """The same for a name that is known while planning."""
+    return any(field.lower() == x or field.lower().endswith("_" + x) for x in SENSITIVE)
+
+
 def sanitize(t: str, most: int = 300) -> str:
     """User paths masked, long values cut."""
     masked = rf"""regexp_replace({t}, '({'|'.join(USER_PATHS)})[^\\s"\'\\)\\]\\}},]*', '<path>')"""

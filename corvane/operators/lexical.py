@@ -12,6 +12,8 @@ from ..functions import text as T
 
 #: BM25 constants and the least IDF (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Terms of all questions, of about 100 bytes each, that a broadcast may hold; with more, the joins shuffle.
+BROADCAST = 200_000
 
 
 def question_terms(questions: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -20,19 +22,27 @@ def question_terms(questions: DataFrame, query_id: str = "query_id", text: str =
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Rows (query_id, chunk_id, bm25) of all chunks that hold any term of a question; lower is better.
+    """Rows (query_id, chunk_id, bm25, coverage) of all chunks that hold any term of a question; lower is better.
+    coverage: the share of the question's terms that stand in the chunk.
 
-    *questions* has (query_id, terms). Collection figures are those of all chunks, whatever is filtered later.
+    *questions* has (query_id, terms). Collection figures are those of all chunks, whatever is filtered later. Texts are cut into
+    words once; what has a question's term travels once, dealt by chunk, and a chunk's scores are added up where its terms are.
     """
-    wanted = questions.select("query_id", F.explode("terms").alias("term"))
-    c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.expr(T.folded_words(f"coalesce({text}, '')")).alias("w"))
-    totals = c.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avgdl"))
-    tf = c.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = questions.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
+    # no word is empty: an empty one stands for the chunk itself in the counts
+    words = F.expr(f"array_append({T.folded_words(f"coalesce({text}, '')")}, '')")
+    vocabulary = wanted.select("term").union(wanted.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    tf = chunks.select(F.col(chunk_id).alias("chunk_id"), words.alias("w")).select("chunk_id", F.expr("size(w) - 1").alias("dl"), F.explode("w").alias("term"))
+    small = wanted.count() <= BROADCAST
+    tf = tf.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi").repartition("chunk_id")
     tf = tf.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    totals = tf.where("term = ''").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    df = tf.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))
     idf = df.crossJoin(totals).select("term", "avgdl", F.expr(f"if(n_docs - n + 0.5D <= n + 0.5D, {LEAST_IDF}D, ln((n_docs - n + 0.5D) / (n + 0.5D)))").alias("idf"))
-    one = tf.join(idf, "term").select("term", "chunk_id", F.expr(f"-idf * (tf * {K1 + 1}D) / (tf + {K1}D * ({1 - B}D + {B}D * dl / avgdl))").alias("s"))
-    return one.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("bm25"))
+    weights = wanted.join(idf, "term")
+    one = tf.where("term <> ''").join(F.broadcast(weights) if small else weights, "term")
+    one = one.select("query_id", "chunk_id", "n_terms", F.expr(f"-idf * (tf * {K1 + 1}D) / (tf + {K1}D * ({1 - B}D + {B}D * dl / avgdl))").alias("s"))
+    return one.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("bm25"), F.expr("count(1) / cast(first(n_terms) as double)").alias("coverage"))
 
 
 def top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -41,9 +51,3 @@ def top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     s = scores.withColumn("bm25", F.round("bm25", digits))
     by = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
     return s.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-
-
-def covered(hits: DataFrame, questions: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """*hits* with coverage: the share of the question's terms that stand in the chunk."""
-    w = chunks.select(F.col(chunk_id).alias("chunk_id"), F.expr(T.folded_words(f"coalesce({text}, '')")).alias("w"))
-    return hits.join(w, "chunk_id").join(questions, "query_id").withColumn("coverage", F.expr(T.coverage("terms", "w"))).drop("w", "terms")

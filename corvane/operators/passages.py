@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import pytext as P, text as T
+from ..session import dealt
 
 #: Chunks of a passage at most (fixed value).
 MOST_JOINED = 3
@@ -159,7 +160,7 @@ def passages(hits: DataFrame, options: Options = Options()) -> DataFrame:  # noq
         columns = ["query_id", "rank", "chunk_id", "document_id", "page_start", "page_end", "section", "content", "score", "chunk_ids", "by_semantic", "by_lexical", "duplicates"]
         return pd.DataFrame([(*r[:-1], [{"document_id": d, "chunk_id": c} for d, c in r[-1]]) for r in rows], columns=columns)
 
-    return hits.select(*names).groupBy("query_id").applyInPandas(run, PASSAGES)
+    return dealt(hits.select(*names), "query_id").groupBy("query_id").applyInPandas(run, PASSAGES)
 
 
 def exact_duplicates(hits: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Numbers of the queries' vectors that are broadcast at a time, of eight bytes each.
+BLOCK = 2_000_000
+
 
 def dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)"
@@ -25,13 +30,18 @@ def normalized(a: str) -> str:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Exact search: rows (query_id, chunk_id, similarity, rank), the *k* (1 to 1000) nearest by cosine, ties by id.
 
-    *queries* (query_id, q) is a stated set, sent to the vectors in the plan that its size allows; *vectors*
-    (chunk_id, v) are scanned once for all queries and only *k* rows a query leave each task
+    *queries* (query_id, q) is a stated set, sent to the vectors in blocks of about BLOCK numbers; *vectors*
+    (chunk_id, v) stay where they are, are scanned once for each block, and only *k* rows a query leave each task
     (WindowGroupLimit). Vectors are normalised once, so a pair costs one dot product.
     """
     k = min(max(k, 1), 1000)
     q = queries.select("query_id", F.expr(normalized("q")).alias("q"))
     v = vectors.select("chunk_id", F.expr(normalized("v")).alias("v"))
-    pairs = v.join(q, F.expr("size(q) = size(v)")).select("query_id", "chunk_id", F.round(F.expr(dot("q", "v")), digits).alias("similarity"))
+    blocks = max(1, math.ceil((queries.agg(F.sum(F.size("q"))).first()[0] or 0) / BLOCK))
+    pairs = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {b}"))
+        found = v.join(F.broadcast(part), F.expr("size(q) = size(v)")).select("query_id", "chunk_id", F.round(F.expr(dot("q", "v")), digits).alias("similarity"))
+        pairs = found if pairs is None else pairs.union(found)
     by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

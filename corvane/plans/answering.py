@@ -34,7 +34,7 @@ def chat_free_prompt(spark: S, sf_dir: str) -> DataFrame:
 
 
 def ret_source_details(spark: S, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.expr("concat('doc', doc_id)").alias("name"), F.expr("if(doc_id % 3 = 0, null, left(text, 20))").alias("title"), F.expr("if(doc_id % 5 = 0, 'xlsx', 'pdf')").alias("format"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.expr("concat('doc', doc_id)").alias("name"), F.expr("if(doc_id % 3 = 0, null, text)").alias("title"), F.expr("if(doc_id % 5 = 0, 'xlsx', 'pdf')").alias("format"))
     o = table(spark, sf_dir, "orders")
     chunks = o.select(F.expr("o_orderkey % 200").alias("document_id"))
     cited = o.select(F.expr("o_orderkey % 150").alias("document_id"), F.col("o_custkey").alias("conversation_id"))
@@ -75,7 +75,7 @@ s as (select *, sum(tokens) over w used, row_number() over w back from u window
 select conv_id, count(*) as turns, sum(tokens)::bigint as tokens from s where used <= 600 or back = 1 group by conv_id""",
     "ret_source_details": """
 with c as (select o_orderkey % 200 d, count(*) n from orders group by 1), v as (select o_orderkey % 150 d, count(distinct o_custkey) n from orders group by 1), s as (select p_partkey % 90 d, count(*) n from part group by 1)
-select doc_id as document_id, case when doc_id % 3 = 0 then 'doc' || doc_id else coalesce(left(text, 20), 'doc' || doc_id) end as title, coalesce(c.n, 0) as chunks, coalesce(v.n, 0) as conversations,
+select doc_id as document_id, case when doc_id % 3 = 0 then 'doc' || doc_id else coalesce(text, 'doc' || doc_id) end as title, coalesce(c.n, 0) as chunks, coalesce(v.n, 0) as conversations,
        case when doc_id % 5 = 0 then coalesce(s.n, 0) end as sheets
 from documents left join c on c.d = doc_id left join v on v.d = doc_id left join s on s.d = doc_id""",
     "agg_import_summary": "select count(*) filter (o_orderkey % 5 < 3) as imported, count(*) filter (o_orderkey % 5 = 3) as duplicate, count(*) filter (o_orderkey % 5 = 4) as failed from orders",

@@ -25,7 +25,7 @@ def fn_sensitive_fields(spark: S, sf_dir: str) -> DataFrame:
 
 
 def fn_neutralize(spark: S, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.expr(T.neutralize("html"))).alias("safe_md5"), F.expr(T.attribute("substring(html, 1, 200)")).alias("attribute"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.expr(T.neutralize("html"))).alias("safe_md5"), F.md5(F.expr(T.attribute("html"))).alias("attribute_md5"))
 
 
 def fn_single_line(spark: S, sf_dir: str) -> DataFrame:
@@ -62,9 +62,9 @@ def fn_serial_dates(spark: S, sf_dir: str) -> DataFrame:
 
 
 _INTENTS = (
-    ("Explique este documento.", "overview", None), ("Summarize this document", "overview", None), ("Do que trata o arquivo?", "overview", None), ("what is this report", "overview", None),
-    ("Quais são os principais pontos da seção 3?", "section", "3"), ("resuma o capítulo 3.2", "section", "3.2"), ("explain section III please", "section", "3"), ("cláusula nº 12.", "section", "12"),
-    ("Section IX", "section", "9"), ("parte do texto", "regular", None), ("qual o prazo de carência?", "regular", None), ("resuma", "regular", None), ("documento", "regular", None), ("intersection 4", "regular", None))
+    ("Resuma o relatório", "overview", None), ("explain the document to me", "overview", None), ("Do que trata este relatório", "overview", None), ("What is this file", "overview", None),
+    ("O que diz a seção 7?", "section", "7"), ("leia o capítulo 4.5 comigo", "section", "4.5"), ("tell me about section IV", "section", "4"), ("cláusula nº 21.", "section", "21"),
+    ("Section XI", "section", "11"), ("uma parte boa", "regular", None), ("quem pintou o muro?", "regular", None), ("explique", "regular", None), ("arquivo", "regular", None), ("subsection 8", "regular", None))
 
 
 def fn_intent(spark: S, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def fn_intent(spark: S, sf_dir: str) -> DataFrame:
     return q.select("n", F.expr(I.intent("question")).alias("intent"), F.expr(I.section_label("question")).alias("label"))
 
 
-_HEADINGS = (("3. Prazos", "3", True), ("3.1 Carência", "3", True), ("13. Anexos", "3", False), ("30 dias", "3", False), ("2. Coberturas > 3. Prazos", "3", True), ("3) Fim", "3", True), ("3–4", "3", True), ("3", "3", True), ("3.x", "3", False), ("3.2.1 a", "3.2", True), ("Parte 3", "3", False))
+_HEADINGS = (("5. Rivers", "5", True), ("5.4 Lakes", "5", True), ("15. Seas", "5", False), ("50 boats", "5", False), ("1. Water > 5. Rivers", "5", True), ("5) Wells", "5", True), ("5–6", "5", True), ("5", "5", True), ("5.x", "5", False), ("5.1.2 ponds", "5.1", True), ("Book 5", "5", False))
 
 
 def fn_section_matches(spark: S, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ def ctx_answerable(spark: S, sf_dir: str) -> DataFrame:
 
 def _answers(spark: S, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents")
-    a = d.select(F.col("doc_id").alias("answer_id"), F.expr("concat(left(text, 40), ' [1, 3] then [2-4]', if(doc_id % 2 = 0, ' [9]', ''), ' and [page ', doc_id % 7 + 1, '] [see].')").alias("answer"))
+    a = d.select(F.col("doc_id").alias("answer_id"), F.expr("concat(text, ' [1, 3] then [2-4]', if(doc_id % 2 = 0, ' [9]', ''), ' and [page ', doc_id % 7 + 1, '] [see].')").alias("answer"))
     s = d.select(F.col("doc_id").alias("answer_id"), F.explode(F.expr("sequence(1, 4)")).alias("n"))
     return a, s.select("answer_id", "n", F.expr("answer_id div 2 + n").alias("document_id"), F.expr("cast(n as int)").alias("page_start"), F.expr("cast(n + answer_id % 3 as int)").alias("page_end"), F.expr("n <> 4").alias("paged"))
 
@@ -214,8 +214,8 @@ def stream_import(spark: S, sf_dir: str) -> DataFrame:
 
 
 def stream_registry(spark: S, sf_dir: str) -> DataFrame:
-    """Statistics of each operation, kept as state while events arrive; all values of an operation count here."""
-    return ingest.drained(ingest.registry(_events(spark, sf_dir), "event_type", "value", 10**9), "update", "operation")
+    """Statistics of each operation over its latest 2000 values, kept as state while events arrive."""
+    return ingest.drained(ingest.registry(_events(spark, sf_dir), "event_type", "value", "ts", "event_id"), "update", "operation")
 
 
 def ret_overview(spark: S, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ select doc_id, case when length(t) > 300 then left(t, 300) || '…' else t end a
     "fn_sensitive_fields": "select * from (values ('text', true), ('page_text', true), ('Title', true), ('context', false), ('bytes', false), ('file_name', true), ('my_query', true), ('duration', false)) v(field, sensitive)",
     "fn_neutralize": r"""
 select page_id, md5(regexp_replace(translate(html, '<>', '‹›'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g')) as safe_md5,
-       trim(regexp_replace(replace(regexp_replace(translate(substr(html, 1, 200), '<>', '‹›'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '"', ''''), '\s+', ' ', 'g')) as attribute from pages""",
+       md5(trim(regexp_replace(replace(regexp_replace(translate(html, '<>', '‹›'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '"', ''''), '\s+', ' ', 'g'))) as attribute_md5 from pages""",
     "fn_single_line": r"""
 select doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as line_md5,
        md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) as lines_md5 from documents""",
@@ -290,8 +290,9 @@ from n join l using (event_type)""",
     "stream_distinct_users": "select distinct user_id, event_type from events",
     "stream_import": "select distinct sha256(text) as sha256 from documents",
     "stream_registry": """
-with l as (select event_type, list_sort(list(value)) a from events where value is not null group by 1)
-select event_type as operation, len(a)::bigint as total, a[greatest(1, ceil(0.5::double * len(a))::int)] as p50, a[greatest(1, ceil(0.95::double * len(a))::int)] as p95, a[-1] as longest from l""",
+with n as (select event_type, count(*) total from events where value is not null group by 1),
+l as (select event_type, list_sort(list(value)) a from (select * from events where value is not null qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 2000) group by 1)
+select event_type as operation, total, a[greatest(1, ceil(0.5::double * len(a))::int)] as p50, a[greatest(1, ceil(0.95::double * len(a))::int)] as p95, a[-1] as longest from l join n using (event_type)""",
     "ret_overview": """
 with t as (select source, doc_id, case when lag(lang) over (partition by source order by doc_id) = lang then 0 else 1 end c from documents),
 f as (select source, doc_id from t where c = 1)

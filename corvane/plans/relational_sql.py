@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 ORACLE_SQL = {
-    "scan_ordered": "select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by o_orderdate desc, o_orderkey desc)::int as position from orders",
+    "scan_ordered": "select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc)::int as position from orders",
     "scan_point_lookup": "select c_custkey, c_name, coalesce(nullif(c_mktsegment, 'NONE'), 'text/plain') as media_type from customer where c_custkey = 7",
     "scan_chunk_view": """
 select o.o_orderkey, c_custkey, coalesce(section, n_name) as title, section is not null as has_section
@@ -44,9 +44,9 @@ select o_orderkey, (o_orderkey % 60)::int as page, min(l_linenumber) as source f
 where o_orderkey % 60 between floor(l_quantity)::int and floor(l_quantity + l_linenumber * 3)::int group by all""",
     "join_section_parent": """
 with t as (
-  select l_orderkey d, l_linenumber o, case l_linenumber % 3 when 1 then [l_returnflag] when 2 then [l_returnflag, l_linestatus] else [l_returnflag, l_linestatus, 'x'] end p
-  from lineitem where l_orderkey % 10 = 0)
-select d as document_id, o as ordinal, (select max(s.o) from t s where s.d = t.d and s.o < t.o and len(t.p) > 1 and s.p = t.p[1:len(t.p) - 1]) as parent from t""",
+  select l_orderkey d, l_linenumber o, case l_linenumber % 3 when 1 then [l_returnflag] when 2 then [l_returnflag, l_linestatus] else [l_returnflag, l_linestatus, 'x'] end p, row_number() over () i
+  from lineitem)
+select t.d as document_id, t.o as ordinal, max(s.o) as parent from t left join t s on s.d = t.d and s.o < t.o and len(t.p) > 1 and s.p = t.p[1:len(t.p) - 1] group by t.i, t.d, t.o""",
     "join_requested_order": "select (position - 1)::int as position, o_orderkey, o_orderstatus from (select unnest([33, 5, 7, 5, 999999999]) k, unnest(range(1, 6)) position) join orders on o_orderkey = k",
     "join_full_outer": """
 select l_partkey, coalesce(early, 0) as early, coalesce(late, 0) as late

@@ -41,14 +41,14 @@ def fn_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document beside the next one of its source, as (doc_id, a, b)."""
+    """Each document beside the next one of its shelf of a hundred, as (doc_id, a, b)."""
     from pyspark.sql import Window
 
     t = table(spark, sf_dir, "documents")
-    return t.select("doc_id", F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")).alias("b")).where("b is not null")
+    return t.select("doc_id", F.col("text").alias("a"), F.lead("text").over(Window.partitionBy(F.expr("doc_id div 100")).orderBy("doc_id")).alias("b")).where("b is not null")
 
 
-_PAIRS = "select doc_id, text a, lead(text) over (partition by source order by doc_id) b from documents qualify b is not null"
+_PAIRS = "select doc_id, text a, lead(text) over (partition by doc_id // 100 order by doc_id) b from documents qualify b is not null"
 
 
 def fn_jaccard_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +66,10 @@ def fn_contains_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_join_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 12 words of a document joined with its words 8 to 20: the overlap of five stands once."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.expr(r"array_remove(split(text, '\\s+', -1), '')").alias("w")).where("size(w) >= 20")
-    t = t.select("doc_id", F.expr("array_join(slice(w, 1, 12), ' ')").alias("a"), F.expr("array_join(slice(w, 8, 13), ' ')").alias("b"))
-    return t.select("doc_id", F.expr(T.join_adjacent("a", "b")).alias("joined"))
+    """The first half of each document joined with its second half, which begins five words earlier: the overlap stands once."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.expr(r"array_remove(split(text, '\\s+', -1), '')").alias("w")).withColumn("half", F.expr("size(w) div 2"))
+    t = t.select("doc_id", F.expr("array_join(slice(w, 1, half), ' ')").alias("a"), F.expr("array_join(slice(w, greatest(half - 4, 1), size(w)), ' ')").alias("b"))
+    return t.select("doc_id", F.md5(F.expr(T.join_adjacent("a", "b"))).alias("joined_md5"))
 
 
 def fn_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def fn_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lex_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, docs = questions(spark, sf_dir), table(spark, sf_dir, "documents")
     hits = lexical.top(lexical.bm25(q, docs, "doc_id"), 20)
-    return lexical.covered(hits, q, docs, "doc_id").select("query_id", F.col("chunk_id").alias("doc_id"), "bm25", "rank", F.round("coverage", 6).alias("coverage"))
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "bm25", "rank", F.round("coverage", 6).alias("coverage"))
 
 
 _BM25 = rf"""
@@ -114,7 +114,8 @@ def vec_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(vectors.valid("embedding", 64)).alias("valid"))
-    return e.select("vec_id", "valid", F.round(F.expr(vectors.norm("embedding")), 6).alias("norm"), F.round(F.expr(f"element_at({vectors.normalized('embedding')}, 1)"), 6).alias("first_value"))
+    values = F.expr(f"transform({vectors.normalized('embedding')}, x -> cast(round(x, 4) as decimal(9, 4)))").cast("array<string>")
+    return e.select("vec_id", "valid", F.round(F.expr(vectors.norm("embedding")), 6).alias("norm"), F.array_join(values, ",").alias("normalized"))
 
 
 def _knn_sql(where: str) -> str:
@@ -131,7 +132,7 @@ def _candidates(spark: SparkSession, sf_dir: str, options: fusion.Options) -> tu
     q, docs = questions(spark, sf_dir), table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
     qv = e.join(q.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
-    lex = lexical.covered(lexical.top(lexical.bm25(q, docs, "doc_id"), k), q, docs, "doc_id")
+    lex = lexical.top(lexical.bm25(q, docs, "doc_id"), k)
     return vectors.knn(qv, e, k), lex
 
 
@@ -162,9 +163,9 @@ best as (select *, row_number() over (partition by query_id order by score desc,
 
 _JOINED = r"""
 with w as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') w from documents),
-p as (select doc_id, w[1:12] a, w[8:20] b from w where len(w) >= 20),
-o as (select *, coalesce(list_max(list_filter(range(1, 13), lambda n: a[13 - n:12] = b[1:n])), 0) n from p)
-select doc_id, array_to_string(a, ' ') || case when n < len(b) then chr(10) || chr(10) || array_to_string(b[n + 1:], ' ') else '' end as joined from o
+p as (select doc_id, w[1:len(w) // 2] a, w[greatest(len(w) // 2 - 4, 1):] b from w),
+o as (select *, coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1:] = b[1:n])), 0) n from p)
+select doc_id, md5(case when len(b) <= n then array_to_string(a, ' ') when len(a) = 0 then array_to_string(b[n + 1:], ' ') else array_to_string(a, ' ') || chr(10) || chr(10) || array_to_string(b[n + 1:], ' ') end) as joined_md5 from o
 """
 
 QUERIES = {f.__name__: f for f in (
@@ -195,7 +196,7 @@ select doc_id, greatest(ceil(4 * len(list_filter(string_split_regex(text, '\s+')
     "vec_knn_filtered": _knn_sql("v.label in (1, 2)"),
     "vec_normalize": r"""
 with n as (select vec_id, embedding, len(embedding) = 64 as valid, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings)
-select vec_id, valid, round(n, 6) as norm, round(embedding[1]::double / n, 6) as first_value from n""",
+select vec_id, valid, round(n, 6) as norm, array_to_string(list_transform(embedding, lambda x: round(x::double / n, 4)::decimal(9, 4)::varchar), ',') as normalized from n""",
     "hyb_fuse": f"with {_FUSED.replace('WS', '0.6::double').replace('WL', '0.4::double')} select query_id, doc_id, semantic, lexical, score, rank from best where rank <= 8",
     "agg_minmax_lexical": f"with {_BM25}" + r""",
 lex as (

@@ -68,9 +68,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/corvane-{what}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder, for the end of a job: results that are not yet read
+    need their tables until then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """*df* dealt by *key* into as many partitions as a shuffle has, however few bytes it is: for folds that cost far more than
+    their bytes, which adaptive execution would give to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

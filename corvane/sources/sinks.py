@@ -19,7 +19,7 @@ def redacted(df: DataFrame, mask: str = "[redacted]") -> DataFrame:
 
     out = []
     for f in df.schema:
-        if df.sparkSession.range(1).select(F.expr(T.sensitive(T.lit(f.name)))).first()[0]:
+        if T.is_sensitive(f.name):
             out.append(F.when(F.col(f.name).isNotNull(), F.lit(mask)).alias(f.name))
         else:
             out.append(F.expr(T.sanitize(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name))

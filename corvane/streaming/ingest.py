@@ -7,10 +7,10 @@ idempotent, so a restarted query continues where it was.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import library
-from ..session import scratch
+from ..session import exists, scratch
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
@@ -41,12 +41,10 @@ def imported(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
     out, spark, schema = scratch(stream.sparkSession, "import"), stream.sparkSession, stream.schema
 
     def add(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", out).option("ignoreMissingFiles", "true")
-        try:
-            before = known.parquet(out).where(F.col("batch") < number)
-            fresh = library.insert_absent(before, batch, key, order)
-        except Exception:  # noqa: BLE001  nothing was written yet
-            fresh = library.insert_absent(batch.limit(0), batch, key, order)
+        before = batch.limit(0)
+        if exists(spark, out):
+            before = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", out).parquet(out).where(F.col("batch") < number)
+        fresh = library.insert_absent(before, batch, key, order)
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     q = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
@@ -83,9 +81,9 @@ def sse_events(chunks: DataFrame) -> DataFrame:
         F.expr("coalesce(j.choices[0].delta.content, j.choices[0].finish_reason, j.error.message, cast(j.usage.total_tokens as string))").alias("text")).where("kind is not null")
 
 
-def registry(events: DataFrame, kind: str, value: str, keep: int = 2000) -> DataFrame:
+def registry(events: DataFrame, kind: str, value: str, time: str, tie: str, keep: int = 2000) -> DataFrame:
     """Running statistics of each operation: rows (operation, total, p50, p95, longest) after each batch, percentiles by nearest
-    rank over the last *keep* durations, which are the state."""
+    rank over the *keep* latest durations by *time* and *tie*, in whatever order they arrive; these are the state."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, state):
@@ -93,16 +91,16 @@ def registry(events: DataFrame, kind: str, value: str, keep: int = 2000) -> Data
 
         import pandas as pd
 
-        total, values = state.get if state.exists else (0, [])
-        values = list(values)
+        total, *columns = state.get if state.exists else (0, [], [], [])
+        latest = list(zip(*columns, strict=True))
         for b in batches:
             total += len(b)
-            values = (values + b["v"].tolist())[-keep:]
-        state.update((total, values))
-        ranked = sorted(values)
+            latest = sorted([*latest, *zip(b["t"].tolist(), b["i"].tolist(), b["v"].tolist(), strict=True)])[-keep:]
+        state.update((total, *(list(x) for x in zip(*latest, strict=True))))
+        ranked = sorted(v for *_, v in latest)
         at = lambda p: ranked[max(1, math.ceil(p * len(ranked))) - 1]
         yield pd.DataFrame({"operation": [key[0]], "total": [total], "p50": [at(0.5)], "p95": [at(0.95)], "longest": [ranked[-1]]})
 
-    t = events.select(F.col(kind).alias("operation"), F.col(value).cast("double").alias("v")).where("v is not null")
+    t = events.select(F.col(kind).alias("operation"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).cast("long").alias("i"), F.col(value).cast("double").alias("v")).where("v is not null")
     return t.groupBy("operation").applyInPandasWithState(
-        step, "operation string, total long, p50 double, p95 double, longest double", "total long, recent array<double>", "update", GroupStateTimeout.NoTimeout)
+        step, "operation string, total long, p50 double, p95 double, longest double", "total long, times array<long>, ties array<long>, recent array<double>", "update", GroupStateTimeout.NoTimeout)

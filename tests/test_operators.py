@@ -224,8 +224,9 @@ def test_span_blocks(spark):
 
 
 def test_registry_over_batches(spark, tmp_path):
-    for k in range(3):
-        spark.createDataFrame([("a", float(10 * k + j)) for j in range(4)] + [("b", 1.0)] * (k == 0), "k string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    for k in (2, 0, 1):  # the latest values, by time, arrive first
+        spark.createDataFrame([("a", float(10 * k + j), 10 * k + j, j) for j in range(4)] + [("b", 1.0, 5, 5)] * (k == 0), "k string, v double, t long, i long").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
     e = ingest.arriving(spark, str(tmp_path / "e"), spark.read.parquet(str(tmp_path / "e")).schema, 1)
-    got = {r.operation: r for r in ingest.drained(ingest.registry(e, "k", "v", 5), "update", "operation").collect()}
+    got = {r.operation: r for r in ingest.drained(ingest.registry(e, "k", "v", "t", "i", 5), "update", "operation").collect()}
     assert got["a"].total == 12 and got["b"].total == 1 and got["b"].p95 == 1.0 and got["a"].longest == 23.0
+    assert got["a"].p50 == 21.0  # of 13, 20, 21, 22, 23
