@@ -9,7 +9,7 @@ from ..operators import chunking, citations, fusion, passages, prompts, telemetr
 from ..sources import markup, tabular
 from ..streaming import ingest
 from ..session import table
-from .retrieval import _candidates, questions
+from .retrieval import _BM25, _candidates, questions
 
 S = SparkSession
 
@@ -276,6 +276,15 @@ with t as (select substr(source, 4)::bigint query_id, doc_id, array_to_string({_
 g as (select query_id, k, min(doc_id) kept, list_sort(list(doc_id)) l from t group by query_id, k)
 select query_id, kept, array_to_string(l[2:], ',') as others from g""",
     "ctx_budget": "select item_id, least(3500, floor(greatest(0, 4096 - 900 - ceil(length(text) / 3::double)) * 0.9::double))::int as budget from benchmark",
+    "ctx_answerable": f"with {_BM25}" + r""",
+lex as (
+  select query_id, case when hi - lo > 2.220446049250313e-16 then (-bm25 - lo) / (hi - lo) else 1::double end * coverage * coverage as lexical
+  from (select *, max(-bm25) over (partition by query_id) hi, min(-bm25) over (partition by query_id) lo from cov where rank <= 32))
+select query_id, max(round(0.5::double * lexical, 6)) >= 0.28 as answerable from lex group by query_id""",
+    "cite_resolve": r"""
+with a as (select doc_id, text, doc_id % 7 + 1 p, len(list_filter([1, 2, 3], lambda n: n <= doc_id % 7 + 1 and doc_id % 7 + 1 <= n + doc_id % 3)) > 0 hit from documents)
+select doc_id as answer_id, md5(regexp_replace(text || ' [1][3] then [2][3][4] and ' || case when hit then '[page ' || p || ']' else 'page ' || p end || ' [see].', '^\s+', '')) as cleaned_md5,
+       '1,3,2,3,4' as cited, case when doc_id % 2 = 0 then '9' else '' end as invalid, hit::int as page_refs, (not hit)::int as unresolved from a""",
     "cite_documents": """
 with c as (select doc_id a, unnest([1, 2, 3, 4]) n from documents),
 s as (select a, a // 2 + n document_id, case when n <> 4 then range(n, n + (a % 3)::int + 1) else [] end pages from c)
