@@ -113,9 +113,10 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"),
         F.sort_array(F.collect_list(F.struct("start", F.col("size").alias("words"), "label", "score"))).alias("spans"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("row", *key, F.expr(f"size({words('t')})").cast("long").alias("n_words"))
+    hashable = [F.col(f"row.`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = rows.select("row", *key, F.expr(f"size({words('t')})").cast("long").alias("n_words"), F.xxhash64(*hashable).alias("spread"))
     found = written(found.join(times, ["k1", "k2"]), "found")
-    return hot_join(rows, found, ["k1", "k2"], "times", F.xxhash64(F.monotonically_increasing_id())).select(
+    return hot_join(rows, found, ["k1", "k2"], "times", F.col("spread")).select(
         "row", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans")
 
