@@ -77,4 +77,5 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], times: str, spr
     t = t.withColumn("hot_at", F.when(F.col("hot_found").isNull(), F.col(keys[0])).otherwise(spread))
     rest = "".join(f" and {k} = cold_{k}" for k in keys[1:])
     t = t.join(cold, F.expr(f"hot_found is null and hot_at = cold_{keys[0]}{rest}"), "left")
-    return t.select(*rows.columns, F.coalesce("hot_found", "cold_found").alias("hot_found")).select(*rows.columns, "hot_found.*")
+    # field by field, so that what is not asked of a struct in *rows* is left out before the joins
+    return t.select(*rows.columns, *[F.coalesce(F.col("hot_found").getField(c), F.col("cold_found").getField(c)).alias(c) for c in found])
