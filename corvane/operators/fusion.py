@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -53,3 +55,31 @@ def fuse(semantic: DataFrame, lexical: DataFrame, options: Options = Options(),
     both = both.select("query_id", "chunk_id", F.round("semantic", digits).alias("semantic"), F.round("lexical", digits).alias("lexical"), F.round(score, digits).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.coalesce("semantic", F.lit(-1.0))), "chunk_id")
     return both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= o.top_k)
+
+
+class Retrieved(NamedTuple):
+    """What a search gives: hits (None if nothing was searched), its mode, and what went wrong on the way."""
+
+    hits: DataFrame | None
+    mode: str
+    warnings: tuple[str, ...]
+
+
+def retrieve(semantic: Callable[[], DataFrame], lexical: Callable[[], DataFrame], options: Options = Options()) -> Retrieved:  # noqa: B008
+    """Fused hits of both mechanisms, or of the one that works. A mechanism of weight zero is skipped; one that cannot be
+    planned, say because its table is missing, counts with weight zero and a warning. If none is left, that is an error,
+    unless both were only skipped or empty."""
+    o = options.checked()
+    found, warnings = {}, []
+    for name, weight, make in (("semantic", o.semantic_weight, semantic), ("lexical", o.lexical_weight, lexical)):
+        if weight > 0:
+            try:
+                found[name] = make()
+            except (PySparkException, OSError) as e:
+                warnings.append(f"{name} search failed: {type(e).__name__}")
+    if not found:
+        raise RuntimeError("; ".join(warnings))
+    some = next(iter(found.values()))
+    none = some.sparkSession.createDataFrame([], "query_id long, chunk_id long, similarity double, bm25 double, coverage double")
+    used = o._replace(semantic_weight=o.semantic_weight if "semantic" in found else 0.0, lexical_weight=o.lexical_weight if "lexical" in found else 0.0)
+    return Retrieved(fuse(found.get("semantic", none), found.get("lexical", none), used), "hybrid" if len(found) == 2 else next(iter(found)), tuple(warnings))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import pytext as P
 
@@ -76,6 +76,21 @@ def sources(passages: DataFrame, budgets: DataFrame, most: int = Budget().passag
     return t.groupBy("query_id").applyInPandas(run, SOURCES)
 
 
+def fitted(sources: DataFrame, limit: int, retries: int = 4) -> DataFrame:
+    """*sources* (query_id, n, score, tokens, base) with kept and fits: while the exact count, base plus the tokens of what is
+    kept, is over *limit*, the source of the lowest score goes (ties: the first), at most *retries* times and never the last.
+    fits: whether the prompt of the question is within the limit in the end; if not, it is an error and nothing is kept.
+    """
+    by = Window.partitionBy("query_id").orderBy("score", "n")
+    all_ = Window.partitionBy("query_id")
+    t = sources.withColumn("_k", F.row_number().over(by) - 1).withColumn("_total", F.col("base") + F.sum("tokens").over(all_))
+    # what the count is once the sources before this one have gone
+    t = t.withColumn("_left", F.col("_total") - F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    enough = F.min(F.when((F.col("_left") <= limit) & (F.col("_k") <= retries), F.col("_k"))).over(all_)
+    t = t.withColumn("_gone", enough).withColumn("fits", F.col("_gone").isNotNull())
+    return t.withColumn("kept", F.col("fits") & (F.col("_k") >= F.col("_gone"))).drop("_k", "_total", "_left", "_gone")
+
+
 def found(passages: DataFrame, least: float = 0.28) -> DataFrame:
     """Questions whose best passage is relevant enough to be asked at all."""
     return passages.groupBy("query_id").agg(F.max("score").alias("best")).select("query_id", (F.col("best") >= least).alias("answerable"))

@@ -19,3 +19,9 @@ def operation_stats(events: DataFrame, name: str = "event_type", time: str = "ts
         name, F.expr(nearest_rank("a", 0.5)).alias("p50"), F.expr(nearest_rank("a", 0.95)).alias("p95"), F.expr("try_element_at(a, -1)").alias("longest"))
     n = events.groupBy(name).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr(failed)).alias("failed"))
     return n.join(d, name, "left").withColumn("error_rate", F.round(F.col("failed") / F.col("total"), 6))
+
+
+def throughput(events: DataFrame, name: str = "event_type", units: str = "1", ms: str = "value") -> DataFrame:
+    """Units a second of each operation, over all its time; null if it took none. *units* and *ms* are SQL."""
+    t = events.groupBy(name).agg(F.sum(F.expr(f"cast({units} as bigint)")).alias("units"), F.sum(F.expr(ms)).alias("ms"))
+    return t.select(name, "units", F.round(F.expr("if(ms > 0, units * 1000 / ms, null)"), 4).alias("per_second"))
