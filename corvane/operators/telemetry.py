@@ -24,4 +24,4 @@ def operation_stats(events: DataFrame, name: str = "event_type", time: str = "ts
 def throughput(events: DataFrame, name: str = "event_type", units: str = "1", ms: str = "value") -> DataFrame:
     """Units a second of each operation, over all its time; null if it took none. *units* and *ms* are SQL."""
     t = events.groupBy(name).agg(F.sum(F.expr(f"cast({units} as bigint)")).alias("units"), F.sum(F.expr(ms)).alias("ms"))
-    return t.select(name, "units", F.round(F.expr("if(ms > 0, units * 1000 / ms, null)"), 4).alias("per_second"))
+    return t.select(name, "units", F.round(F.expr("if(ms > 0, units * 1000 / ms, null)"), 3).alias("per_second"))

@@ -179,7 +179,7 @@ def tele_op_stats(spark: S, sf_dir: str) -> DataFrame:
 
 
 def tele_throughput(spark: S, sf_dir: str) -> DataFrame:
-    return telemetry.throughput(table(spark, sf_dir, "events"), ms="cast(abs(value) as decimal(18, 6))")
+    return telemetry.throughput(table(spark, sf_dir, "events"), ms="abs(value)")
 
 
 def ret_lexical_fallback(spark: S, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def ret_semantic_only(spark: S, sf_dir: str) -> DataFrame:
 def ctx_fitted(spark: S, sf_dir: str) -> DataFrame:
     """Orders as prompts whose exact counts must fit: lineitems are their sources, quantities their tokens."""
     li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("query_id"), F.expr("l_linenumber * 1000000 + l_partkey").alias("n"), F.expr("cast(l_discount * 100 as int)").alias("score"), F.expr("cast(l_quantity as bigint)").alias("tokens"), F.lit(20).alias("base"))
+        F.col("l_orderkey").alias("query_id"), F.expr("l_linenumber * 1000000 + l_partkey").alias("n"), F.expr("cast(round(l_discount * 100) as int)").alias("score"), F.expr("cast(l_quantity as bigint)").alias("tokens"), F.lit(20).alias("base"))
     li = li.groupBy("query_id", "n").agg(F.max("score").alias("score"), F.max("tokens").alias("tokens"), F.max("base").alias("base"))
     return prompts.fitted(li, 120).select("query_id", "n", "fits", "kept")
 
@@ -303,7 +303,7 @@ g as (select query_id, k, min(doc_id) kept, list_sort(list(doc_id)) l from t gro
 select query_id, kept, array_to_string(l[2:], ',') as others from g""",
     "ctx_budget": "select item_id, least(3500, floor(greatest(0, 4096 - 900 - ceil(length(text) / 3::double)) * 0.9::double))::int as budget from benchmark",
     "tele_throughput": """
-select event_type, count(*) as units, round(case when sum(abs(value)::decimal(18, 6)) > 0 then count(*) * 1000 / sum(abs(value)::decimal(18, 6))::double end, 4) as per_second from events group by 1""",
+select event_type, count(*) as units, round(case when sum(abs(value)) > 0 then count(*) * 1000 / sum(abs(value)) end, 3) as per_second from events group by 1""",
     "ret_lexical_fallback": f"with {_BM25}" + r""",
 lex as (
   select query_id, doc_id, case when hi - lo > 2.220446049250313e-16 then (-bm25 - lo) / (hi - lo) else 1::double end * coverage * coverage as lexical
@@ -311,11 +311,11 @@ lex as (
 best as (select query_id, doc_id, round(0.4::double * lexical / 0.4::double, 6) as score, row_number() over (partition by query_id order by round(0.4::double * lexical / 0.4::double, 6) desc, doc_id)::int as rank from lex)
 select *, 'lexical' as mode, 1 as warnings from best where rank <= 8""",
     "ret_semantic_only": f"with {_FUSED.replace('WS', '1::double').replace('WL', '0::double')}" + """,
-only as (select query_id, doc_id, round(similarity, 6) as score from sem),
-ranked_only as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from only)
-select *, 'semantic' as mode, 0 as warnings from ranked_only where rank <= 8""",
+alone as (select query_id, doc_id, round(similarity, 6) as score from sem),
+ranked_alone as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from alone)
+select *, 'semantic' as mode, 0 as warnings from ranked_alone where rank <= 8""",
     "ctx_fitted": """
-with s as (select l_orderkey query_id, l_linenumber * 1000000 + l_partkey n, max((l_discount * 100)::int) score, max(l_quantity::bigint) tokens from lineitem group by 1, 2),
+with s as (select l_orderkey query_id, l_linenumber * 1000000 + l_partkey n, max(round(l_discount * 100)::int) score, max(l_quantity::bigint) tokens from lineitem group by 1, 2),
 k as (select *, row_number() over w - 1 k, 20 + sum(tokens) over (partition by query_id) - coalesce(sum(tokens) over (w rows between unbounded preceding and 1 preceding), 0) rest
       from s window w as (partition by query_id order by score, n)),
 g as (select query_id, min(k) filter (rest <= 120 and k <= 4) gone from k group by 1)
