@@ -208,7 +208,7 @@ def contained(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
 
     Null and empty texts contain nothing and are contained nowhere; null ids are carried like others;
     repeated documents and repeated items each give rows of their own; empty tables give no rows;
-    other columns are not read.
+    other columns are not read. Long texts are searched whole, PIECE bytes at a time.
     """
     kind, item_kind = df.schema[id_col].dataType.simpleString(), items.schema[item].dataType
     schema, found = f"id {kind}, item {item_kind.simpleString()}, containment double", None
@@ -231,7 +231,8 @@ def contained(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
 
 
 def clean(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of *df* that contain no item, with all columns; nothing is shuffled."""
+    """The rows of *df* that contain no item, with all columns; nothing is shuffled. Null and empty texts contain nothing and stay,
+    rows that repeat others stay or go together, empty tables change nothing, and long texts are searched whole."""
     place, schema = df.columns.index(text), df.schema
     for block in _blocks(items, item, item_text):
 

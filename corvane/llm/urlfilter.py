@@ -57,7 +57,8 @@ def verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default: str
     Each distinct URL is judged once and the verdict joined back, so a host or URL that holds most of
     the rows costs one row before the join; expansion stops at the depth that the rules reach.
     Null urls have empty parts and the default verdict; repeated rows are judged alike; empty tables
-    give no rows, no rules give the default for all; other columns stay inside ``row``.
+    give no rows, no rules give the default for all; other columns stay inside ``row``. A long URL is expanded no further
+    than the rules reach, so it costs its length once for each of their levels.
     """
     table = compiled(rules)
     facts = table.agg(F.max(F.expr("size(split(rule_host, '[.]'))")), F.max(F.expr("size(split(stem, '/'))")), F.sum(F.expr("200 + 2 * length(rule_host) + 2 * length(rule_path)"))).first()

@@ -243,7 +243,7 @@ def planned(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     Of pages with equal payloads of at least *least* bytes, that with the largest id is a response and
     the others are revisits of it; smaller payloads are all responses. Null payloads are empty. Rows that
     repeat the largest id are all responses; null ids are smaller than all others, and if there is no
-    other id they are responses. Null urls give records without a target; other columns are not read.
+    other id they are responses. An empty table gives no records; a long payload crosses in chunks of CHUNK bytes. Null urls give records without a target; other columns are not read.
 
     Only (id, target, digest, length) takes part in the search for copies, and the commonest payload is spread over
     tasks. Payloads meet the list of revisits by id and digest, and are cut into chunks where they then are.
