@@ -3,6 +3,9 @@ one projection and stay in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 #: Letters that folding maps to ASCII, and what they become (fixed values).
 ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucn"
@@ -49,6 +52,23 @@ def fold(t: str) -> str:
     return f"translate(lower({t}), '{ACCENTED}', '{PLAIN}')"
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """Every lower-case letter of the Latin, Greek and Cyrillic blocks that decomposes, and what is left without its marks."""
+    pairs = []
+    for c in map(chr, (*range(0x80, 0x530), *range(0x1E00, 0x2000))):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if c.isalpha() and c == c.lower() and bare != c and len(bare) == 1:
+            pairs.append((c, bare))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+def search_fold(t: str) -> str:
+    """Lower case without any diacritic, composed or not: how the search index reads words."""
+    accented, plain = _plain_letters()
+    return rf"translate(regexp_replace(lower({t}), '\\p{{Mn}}', ''), '{accented}', '{plain}')"
+
+
 def words(t: str) -> str:
     """Runs of letters and digits."""
     return rf"array_remove(split({t}, '[^\\p{{L}}\\p{{N}}]+', -1), '')"
@@ -58,6 +78,10 @@ def folded_words(t: str) -> str:
     return words(fold(t))
 
 
+def search_words(t: str) -> str:
+    return words(search_fold(t))
+
+
 def terms(t: str) -> str:
     """Search terms in order of first use: lower case, no stop words, no single letters."""
     return rf"array_distinct(filter({words(f'lower({t})')}, w -> (char_length(w) > 1 or w rlike '^[0-9]$') and not array_contains({array(STOPWORDS)}, w)))"

@@ -17,8 +17,8 @@ BROADCAST = 200_000
 
 
 def question_terms(questions: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """Rows (query_id, terms): the search terms, folded."""
-    return questions.select(F.col(query_id).alias("query_id"), F.expr(f"array_distinct(transform({T.terms(T.normalize_query(text))}, t -> {T.fold('t')}))").alias("terms"))
+    """Rows (query_id, terms): the search terms, without any diacritic, as the texts' words are."""
+    return questions.select(F.col(query_id).alias("query_id"), F.expr(f"array_distinct(transform({T.terms(T.normalize_query(text))}, t -> {T.search_fold('t')}))").alias("terms"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id", te
     """
     wanted = questions.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
     # no word is empty: an empty one stands for the chunk itself in the counts
-    words = F.expr(f"array_append({T.folded_words(f"coalesce({text}, '')")}, '')")
+    words = F.expr(f"array_append({T.search_words(f"coalesce({text}, '')")}, '')")
     vocabulary = wanted.select("term").union(wanted.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     tf = chunks.select(F.col(chunk_id).alias("chunk_id"), words.alias("w")).select("chunk_id", F.expr("size(w) - 1").alias("dl"), F.explode("w").alias("term"))
     small = wanted.count() <= BROADCAST

@@ -261,7 +261,7 @@ def ret_section(spark: S, sf_dir: str) -> DataFrame:
 def lex_explain_terms(spark: S, sf_dir: str) -> DataFrame:
     """How many documents hold each question term: its document frequency."""
     w = questions(spark, sf_dir).select(F.explode("terms").alias("term")).distinct()
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.expr(T.folded_words("text")))).alias("term"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.expr(T.search_words("text")))).alias("term"))
     return d.join(w, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -356,7 +356,7 @@ i as (select *, c_custkey - row_number() over (partition by query_id, section or
 p as (select *, (row_number() over (partition by query_id, section, island order by c_custkey) - 1) // 3 part from i)
 select query_id, section, min(c_custkey) as ordinal, count(*)::int as chunks from p group by query_id, section, island, part""",
     "lex_explain_terms": rf"""
-with w as (select distinct unnest(list_transform({_TERMS}, lambda t: translate(lower(t), '{T.ACCENTED}', '{T.PLAIN}'))) term from benchmark),
-d as (select doc_id, unnest(list_distinct({_FOLDED})) term from documents)
+with w as (select distinct unnest(list_transform({_TERMS}, lambda t: strip_accents(lower(t)))) term from benchmark),
+d as (select doc_id, unnest(list_distinct({_FOLDED.replace(f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')", "strip_accents(lower(text))")})) term from documents)
 select term, count(*) as documents from d semi join w using (term) group by term""",
 }

@@ -51,6 +51,12 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "select doc_id, text a, lead(text) over (partition by doc_id // 100 order by doc_id) b from documents qualify b is not null"
 
 
+def fn_search_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as the search index reads them, here with marks that stand alone and letters beyond the usual ones."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.expr(r"concat(text, ' Łódź Ǻ ő ṩ ệ A\u030A')").alias("t"))
+    return t.select("doc_id", F.md5(F.expr(f"array_join({T.search_words('t')}, ' ')")).alias("folded_md5"))
+
+
 def fn_jaccard_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _neighbours(spark, sf_dir).select("doc_id", F.expr(T.folded_words("a")).alias("wa"), F.expr(T.folded_words("b")).alias("wb"))
     t = t.select("doc_id", "wa", "wb", F.expr(T.trigrams("wa")).alias("ga"), F.expr(T.trigrams("wb")).alias("gb"))
@@ -83,9 +89,9 @@ def lex_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BM25 = rf"""
-q as (select item_id query_id, list_distinct(list_transform({_TERMS}, lambda t: {_fold('t')})) terms from benchmark),
+q as (select item_id query_id, list_distinct(list_transform({_TERMS}, lambda t: strip_accents(lower(t)))) terms from benchmark),
 wanted as (select query_id, unnest(terms) term from q),
-d as (select doc_id, {_words(_fold("coalesce(text, '')"))} w from documents),
+d as (select doc_id, {_words("strip_accents(lower(coalesce(text, '')))")} w from documents),
 totals as (select count(*)::double n_docs, avg(len(w)::double) avgdl from d),
 tf as (select doc_id, dl, term, count(*) tf from (select doc_id, len(w) dl, unnest(w) term from d) semi join wanted using (term) group by all),
 idf as (select term, avgdl, case when n_docs - n + 0.5::double <= n + 0.5::double then 1e-6::double else ln((n_docs - n + 0.5::double) / (n + 0.5::double)) end idf
@@ -169,7 +175,7 @@ select doc_id, md5(case when len(b) <= n then array_to_string(a, ' ') when len(a
 """
 
 QUERIES = {f.__name__: f for f in (
-    fn_normalize_query, fn_lexical_terms, fn_fold, fn_jaccard_trigrams, fn_contains_content, fn_token_counts, lex_bm25_topk,
+    fn_normalize_query, fn_lexical_terms, fn_fold, fn_search_fold, fn_jaccard_trigrams, fn_contains_content, fn_token_counts, lex_bm25_topk,
     vec_knn_topk, vec_knn_filtered, vec_normalize, hyb_fuse, agg_minmax_lexical)} | {"fn_join_adjacent": fn_join_adjacent}
 
 ORACLE_SQL = {
@@ -177,6 +183,7 @@ ORACLE_SQL = {
     "fn_lexical_terms": rf"""
 with t as (select doc_id, {_TERMS} l from documents)
 select doc_id, len(list_distinct(l))::bigint as n_terms, l[1] as first_term, md5(array_to_string(list_sort(list_distinct(l)), ' ')) as terms_md5 from t""",
+    "fn_search_fold": rf"""select doc_id, md5(array_to_string({_words("strip_accents(lower(text || ' Łódź Ǻ ő ṩ ệ A' || chr(778)))")}, ' ')) as folded_md5 from documents""",
     "fn_fold": rf"select doc_id, md5({_fold('text')}) as folded_md5, len({_words(_fold('text'))})::bigint as n_words from documents",
     "fn_jaccard_trigrams": rf"""
 with p as ({_PAIRS}), w as (select doc_id, {_words(_fold('a'))} wa, {_words(_fold('b'))} wb from p),

@@ -89,10 +89,10 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """*df* dealt by *key* into as many partitions as a shuffle has, however few bytes it is: for folds that cost far more than
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """*df* dealt by *keys* into as many partitions as a shuffle has, however few bytes it is: for folds that cost far more than
     their bytes, which adaptive execution would give to one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,10 @@ from ..functions.pytext import nfc
 from . import markup, office, plain, tabular
 from .decode import ParseError, decode, format_of
 
+#: Versions of the stages that a processed document records; a change of what a stage gives changes its number.
+VERSIONS = {"parser": 1, "normalizer": 1, "chunker": 1}
+#: Formats whose places are pages.
+PAGED = ("pdf",)
 PARSED = (
     "path string, format string, sha256 string, title string, blocks array<struct<path: array<string>, kind: string, text: string, first: int, last: int>>, "
     "warnings array<string>, error string")
@@ -46,8 +50,9 @@ def parse(format: str, data: bytes, name: str = "") -> tuple[str | None, list[di
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """PARSED for rows (path, content) such as ``binaryFile`` gives."""
-    t = files.select("path", format_of(F.col("path")).alias("format"), F.sha2("content", 256).alias("sha256"), "content")
+    """PARSED for rows (path, content) such as ``binaryFile`` gives; a column media_type, if there is one, decides the format first."""
+    media = F.col("media_type") if "media_type" in files.columns else None
+    t = files.select("path", format_of(F.col("path"), media).alias("format"), F.sha2("content", 256).alias("sha256"), "content")
 
     def run(batches):
         import pandas as pd
@@ -70,3 +75,27 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return parsed(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
+
+
+def violations(parsed_files: DataFrame) -> DataFrame:
+    """Blocks that no parser may give, as rows (path, n, problem): without text, in a place that ends before it begins or does not
+    exist, or, when the blocks name the format of their places (place), in a place of another format. Characters count from 0
+    and end behind the last one, all other places count from 1. *parsed_files* has path, format, blocks."""
+    has_place = "place" in parsed_files.schema["blocks"].dataType.elementType.names
+    t = parsed_files.select("path", "format", F.posexplode("blocks").alias("n", "b"))
+    chars = F.col("format").isin("text", "note")
+    least, empty = F.when(chars, 0).otherwise(1), chars & (F.col("b.last") <= F.col("b.first"))
+    problem = F.when(F.col("b.place") != F.col("format"), "other_format") if has_place else F.when(F.lit(False), "")
+    problem = problem.when(F.trim(F.coalesce("b.text", F.lit(""))) == "", "no_text")
+    problem = problem.when(F.col("b.first").isNull() | F.col("b.last").isNull() | (F.col("b.first") < least) | (F.col("b.last") < F.col("b.first")) | empty, "invalid_place")
+    return t.select("path", "n", problem.alias("problem")).where("problem is not null")
+
+
+def processed(parsed_files: DataFrame) -> DataFrame:
+    """*parsed_files* with needs_ocr, the error of files without text, blocks to chunk (none if text has to be recognised first)
+    and the versions of the stages: a paged document without text needs OCR, any other is an error, empty."""
+    text = F.expr("exists(blocks, b -> trim(coalesce(b.text, '')) <> '')")
+    paged = F.col("format").isin(*PAGED)
+    fine = F.col("error").isNull()
+    t = parsed_files.withColumn("needs_ocr", fine & paged & ~text).withColumn("error", F.when(fine & ~paged & ~text, "empty").otherwise(F.col("error")))
+    return t.withColumn("blocks", F.expr("if(needs_ocr or error is not null, slice(blocks, 1, 0), blocks)")).withColumn("versions", F.struct(*[F.lit(v).alias(k) for k, v in VERSIONS.items()]))

@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import dealt
 
 #: Share of a page's height that is margin at either end (fixed value).
 BAND = 0.08
+#: Lines back that a span may still join (fixed value).
+REACH = 3
 
 
 def rotated(x: str, y: str, width: str, height: str, degrees: str) -> tuple[Column, Column]:
@@ -18,17 +21,48 @@ def rotated(x: str, y: str, width: str, height: str, degrees: str) -> tuple[Colu
         F.expr(f"case pmod({degrees}, 360) when 90 then {x} when 180 then {height} - {y} when 270 then {width} - {x} else {y} end"))
 
 
+def fold_lines(spans: list) -> list[list]:
+    """The spans of a page as lines, in order of their tops and then from the left: a span joins the latest of the last REACH
+    lines whose centre is nearer than half the smaller font (one point at least). Spans without text do not count."""
+    lines: list[list] = []
+    for s in sorted((s for s in spans if s.text and s.text.strip()), key=lambda s: (s.top, s.left)):
+        centre = (s.top + s.bottom) / 2
+        for line in lines[: -REACH - 1 : -1]:
+            middle = (min(x.top for x in line) + max(x.bottom for x in line)) / 2
+            if abs(middle - centre) < max(min(s.font_size, max(x.font_size for x in line)), 1.0) / 2:
+                line.append(s)
+                break
+        else:
+            lines.append([s])
+    return lines
+
+
 def lines(spans: DataFrame) -> DataFrame:
-    """Rows (document_id, page, line, text, left, top, right, bottom, size, bold, chars). In order of their centres, a span
-    continues a line if its centre is within half the smaller font of the span before."""
-    c = spans.withColumn("centre", (F.col("top") + F.col("bottom")) / 2)
-    by = Window.partitionBy("document_id", "page").orderBy("centre", "left", "text")
-    far = F.col("centre") - F.lag("centre").over(by) > F.least(F.col("font_size"), F.lag("font_size").over(by)) / 2
-    c = c.withColumn("_new", F.coalesce(far.cast("int"), F.lit(1))).withColumn("line", F.sum("_new").over(by))
-    return c.groupBy("document_id", "page", "line").agg(
-        F.expr(T.collapse("array_join(transform(array_sort(collect_list(struct(left, text))), x -> x.text), ' ')")).alias("text"),
-        F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
-        F.max_by("font_size", F.struct(F.length("text"), "font_size")).alias("size"), F.bool_and("bold").alias("bold"), F.sum(F.length("text")).alias("chars"))
+    """Rows (document_id, page, line, text, left, top, right, bottom, size, bold, chars): size is the largest font, bold
+    whether most characters are. A page is one fold, for a line's extent decides what joins it next."""
+    kind = spans.schema["document_id"].dataType.simpleString()
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = []
+        for n, line in enumerate(fold_lines(list(pdf.itertuples(index=False))), 1):
+            line.sort(key=lambda s: s.left)
+            texts = [" ".join(s.text.split()) for s in line]
+            chars, bold = sum(map(len, texts)), sum(len(t) for t, s in zip(texts, line, strict=True) if s.bold)
+            edges = [f(getattr(s, k) for s in line) for f, k in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"), (max, "font_size"))]
+            rows.append((pdf["document_id"].iloc[0], pdf["page"].iloc[0], n, " ".join(texts), *edges, bold * 2 > chars, chars))
+        return pd.DataFrame(rows, columns=["document_id", "page", "line", "text", "left", "top", "right", "bottom", "size", "bold", "chars"])
+
+    by_page = dealt(spans.select("document_id", F.col("page").cast("int").alias("page"), "text", "left", "top", "right", "bottom", "font_size", "bold"), "document_id", "page")
+    return by_page.groupBy("document_id", "page").applyInPandas(run, f"document_id {kind}, page int, line int, text string, left double, top double, right double, bottom double, size double, bold boolean, chars long")
+
+
+def drafts(blocks: DataFrame) -> DataFrame:
+    """*blocks* (page, text, boxes, an array of structs with page) with page_start and page_end, those of its boxes or else its
+    own page, and content_hash."""
+    pages = "transform(boxes, b -> b.page)"
+    return blocks.select("*", F.expr(f"coalesce(array_min({pages}), page)").alias("page_start"), F.expr(f"coalesce(array_max({pages}), page)").alias("page_end"), F.sha2("text", 256).alias("content_hash"))
 
 
 def body_style(page_lines: DataFrame) -> DataFrame:
