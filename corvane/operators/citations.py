@@ -111,3 +111,19 @@ def cited_documents(resolved_answers: DataFrame, sources: DataFrame) -> DataFram
 def answer_status(cancelled: str, not_found: str, n_cited: str) -> str:
     """SQL for the outcome: cancelled before not found before answered, and whether it is grounded."""
     return f"case when {cancelled} then 'cancelled' when {not_found} then 'not_found' when {n_cited} = 0 then 'answered_ungrounded' else 'answered' end"
+
+
+def answer_warnings(dropped: str, truncated: str, invalid: str, cut: str, unresolved: str, status: str, grounded: str) -> str:
+    """SQL for the warnings of an answer, an array in the order in which they arise: passages left out for the budget, passages cut,
+    citations of no passage (*invalid*, an array of numbers), an answer that the limit cut, pages of no document, and an answer that cites nothing."""
+    numbers = f"array_join(transform({invalid}, n -> concat('[', n, ']')), ', ')"
+    found = (
+        (dropped, "'some passages did not fit'"), (truncated, "'long passages were shortened'"), (f"size({invalid}) > 0", f"concat('citations of no passage removed: ', {numbers})"),
+        (cut, "'the answer was cut at the limit'"), (unresolved, "'page references of no document'"), (f"{status} = 'answered' and not {grounded}", "'the answer cites no passage'"))
+    return "filter(array(" + ", ".join(f"if({test}, {text}, null)" for test, text in found) + "), w -> w is not null)"
+
+
+def stored_sources(sources: DataFrame, cited: DataFrame) -> DataFrame:
+    """*sources* (answer_id, n and more) with cited: whether the answer cites that number. *cited* has (answer_id, n); an answer that no
+    model gave keeps its sources, none of them cited."""
+    return sources.join(cited.select("answer_id", "n").distinct().withColumn("cited", F.lit(True)), ["answer_id", "n"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))

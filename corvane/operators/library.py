@@ -120,3 +120,47 @@ def snapshot(documents: DataFrame, status: str, chunks: str) -> DataFrame:
     return documents.agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(F.col(status).isin(*UNFINISHED)).alias("reading"), F.count_if(F.col(status) == "failed").alias("failed"),
         F.sum(F.when(F.col(status) == "embedding", F.col(chunks)).otherwise(0)).alias("pending_chunks"), F.sum(F.when(F.col(status) == "ready", F.col(chunks)).otherwise(0)).alias("embedded_chunks"))
+
+
+def removed(tables: dict[str, DataFrame], documents: str, gone: DataFrame, key: str = "document_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, refused): *tables* without the documents in *gone* and whatever refers to them by *key*. A document that is still
+    being read (its status is one of UNFINISHED) is refused and stays with all that is its own."""
+    asked = tables[documents].join(gone.select(key).distinct(), key, "left_semi")
+    busy = F.coalesce(F.col("status").isin(*UNFINISHED), F.lit(False))
+    leaving = asked.where(~busy).select(key).distinct()
+    return {name: t.join(leaving, key, "left_anti").select(*t.columns) for name, t in tables.items()}, asked.where(busy).select(key)
+
+
+def replaced_sources(documents: DataFrame, incoming: DataFrame) -> DataFrame:
+    """*documents* (path, sha256, status and more) with the new content of known paths: the row and its id stay, the status is queued
+    again. *incoming* has (path, sha256); of several contents for a path the largest hash counts. Other paths change nothing."""
+    new = incoming.groupBy("path").agg(F.max("sha256").alias("_sha256"))
+    t = documents.join(new, "path", "left")
+    other = F.col("_sha256").isNotNull() & ~F.col("_sha256").eqNullSafe(F.col("sha256"))
+    return t.withColumn("status", F.when(other, "queued").otherwise(F.col("status"))).withColumn("sha256", F.when(other, F.col("_sha256")).otherwise(F.col("sha256"))).select(*documents.columns)
+
+
+def resolved_filter(documents: DataFrame, chunks: DataFrame, ids: DataFrame | None = None, collections: DataFrame | None = None, pages: tuple[int, int] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(documents, chunks) that a search may see, as tables of ids; None where nothing restricts them. Documents are
+    restricted by a list of ids or of collections only, chunks by a page range only."""
+    found = None
+    if ids is not None or collections is not None:
+        found = documents
+        if ids is not None:
+            found = found.join(ids.select("document_id").distinct(), "document_id", "left_semi")
+        if collections is not None:
+            found = found.join(collections.select("collection_id").distinct(), "collection_id", "left_semi")
+        found = found.select("document_id")
+    inside = retrieval_filter(chunks, found, pages=pages).select("chunk_id") if pages is not None else None
+    return found, inside
+
+
+#: Share of an import that is done when embedding begins (fixed value).
+EMBED_START = 0.6
+
+
+def embedding_progress(chunks: DataFrame, batch: int = 32) -> DataFrame:
+    """Rows (document_id, batch, fraction): what a document reports after each batch of *batch* chunks. *chunks*: document_id, n."""
+    n = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"))
+    b = n.select("document_id", "total", F.explode(F.expr(f"sequence(1L, (total + {batch - 1}) div {batch})")).alias("batch"))
+    return b.select("document_id", "batch", F.expr(f"round({EMBED_START}D + {1 - EMBED_START}D * least(batch * {batch}, total) / total, 6)").alias("fraction"))

@@ -17,6 +17,8 @@ from ..session import dealt
 
 #: Chunks of a passage at most (fixed value).
 MOST_JOINED = 3
+#: Search results that may join the passages of a section (fixed value).
+EXTRAS = 3
 HITS = "query_id long, chunk_id long, document_id long, ordinal int, section string, page_start int, page_end int, text string, score double, semantic double, lexical double"
 PASSAGES = (
     "query_id long, rank int, chunk_id long, document_id long, page_start int, page_end int, section string, content string, score double, chunk_ids array<long>, "
@@ -198,3 +200,18 @@ def of_section(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     t = conversations.groups_of(t, "_key", "ordinal", "section", MOST_JOINED)
     return t.groupBy("query_id", "document_id", "section", "island", "part").agg(
         F.min("ordinal").alias("ordinal"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids")).select("query_id", "document_id", "section", "ordinal", "chunk_ids", F.lit(1.0).alias("score"))
+
+
+def with_extras(questions: DataFrame, sections: DataFrame, found: DataFrame, least: float = 0.28, most: int = EXTRAS) -> DataFrame:
+    """Rows (query_id, chunk_ids, rank, kind): what answers a question about a section. The passages of the section (sections: query_id,
+    ordinal, chunk_ids) come first (section), then the best *most* of the search (found: query_id, rank, score, chunk_ids) that are relevant
+    and share no chunk with them (extra); a question without a section gets all that the search found (search)."""
+    asked = questions.select("query_id").distinct()
+    s = sections.join(asked, "query_id", "left_semi").select("query_id", "ordinal", "chunk_ids")
+    own = s.select("query_id", "chunk_ids", F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal", "chunk_ids")).alias("rank"), F.lit("section").alias("kind"))
+    f = found.join(asked, "query_id", "left_semi").select("query_id", "rank", "score", "chunk_ids")
+    rest = f.join(s.select("query_id"), "query_id", "left_anti").select("query_id", "chunk_ids", "rank", F.lit("search").alias("kind"))
+    known = s.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("chunk_ids"))).alias("_known"))
+    new = f.where(F.col("score") >= least).join(known, "query_id").where("not arrays_overlap(chunk_ids, _known)")
+    new = new.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_ids"))).where(F.col("rank") <= most)
+    return own.unionByName(new.select("query_id", "chunk_ids", "rank", F.lit("extra").alias("kind"))).unionByName(rest)

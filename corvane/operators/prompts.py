@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import pytext as P
+from ..functions import labels, pytext as P, text as T
 
 SOURCES = "query_id long, n int, rank int, document_id long, chunk_id long, content string, truncated boolean, reason string"
 SYSTEM = "Answer from the numbered passages only, cite them as [n], and say that nothing was found if they do not hold the answer."
@@ -94,3 +94,21 @@ def fitted(sources: DataFrame, limit: int, retries: int = 4) -> DataFrame:
 def found(passages: DataFrame, least: float = 0.28) -> DataFrame:
     """Questions whose best passage is relevant enough to be asked at all."""
     return passages.groupBy("query_id").agg(F.max("score").alias("best")).select("query_id", (F.col("best") >= least).alias("answerable"))
+
+
+def header(n: str, document: str, place: str, section: str) -> str:
+    """SQL for the line above a numbered passage: pages and section for page formats, format and label of the place for others. *place* is
+    a location as in ``functions.labels``."""
+    quoted = lambda x: T.attribute(x)
+    pages = f"if({place}.page_end > {place}.page_start, concat('pages ', {place}.page_start, '-', {place}.page_end), concat('page ', {place}.page_start))"
+    paged = f"concat(' where=\"', {pages}, '\"', if(coalesce({section}, '') = '', '', concat(' section=\"', {quoted(section)}, '\"')))"
+    other = f"concat(' type=\"', {place}.kind, '\" where=\"', {quoted(f"coalesce({labels.location_label(place)}, '')")}, '\"')"
+    return f"concat('<passage n=\"', {n}, '\" document=\"', {quoted(document)}, '\"', if({place}.kind = 'pdf', {paged}, {other}), '>')"
+
+
+def assembled(passages: DataFrame, questions: DataFrame, system: str = SYSTEM) -> DataFrame:
+    """Rows (query_id, prompt): the whole prompt of each question (query_id, question): instructions, passages (query_id, n, header, content)
+    by number, and the question, with what could pass for markup made harmless. A budget bounds the passages of a question before."""
+    b = F.expr(f"concat(header, '\\n', {T.neutralize('content')}, '\\n</passage>\\n')")
+    p = passages.select("query_id", "n", b.alias("block")).groupBy("query_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(n, block))), x -> x.block), '')").alias("blocks"))
+    return questions.join(p, "query_id", "left").select("query_id", F.concat(F.lit(system + "\n\n"), F.coalesce("blocks", F.lit("")), F.lit("\nQuestion: "), F.expr(T.neutralize("question"))).alias("prompt"))

@@ -45,3 +45,47 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> Data
         pairs = found if pairs is None else pairs.union(found)
     by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def spaces(vectors: DataFrame) -> DataFrame:
+    """Rows (model, revision, dims, vectors, consistent), a row for each space of *vectors* (model, revision, v): a space is a model in
+    a revision, and all its vectors must have one length; where they have not, dims is null."""
+    s = vectors.groupBy("model", "revision").agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most"))
+    one = F.expr("least = most and least > 0")
+    return s.select("model", "revision", F.when(one, F.col("least")).alias("dims"), "vectors", one.alias("consistent"))
+
+
+def with_space(known: DataFrame, model: str, revision: str, dims: int) -> DataFrame:
+    """*known* (model, revision, dims) with that space; nothing changes if it is there, and another length is an error."""
+    found = known.where((F.col("model") == model) & (F.col("revision") == revision)).select("dims").head()
+    if found is None:
+        return known.unionByName(known.sparkSession.createDataFrame([(model, revision, dims)], "model string, revision string, dims int"))
+    if found.dims != dims:
+        raise ValueError(f"vectors of {model} {revision} have {found.dims} numbers, not {dims}")
+    return known
+
+
+def stored(vectors: DataFrame, batches: DataFrame, dims: int) -> DataFrame:
+    """*vectors* (chunk_id, v) with those of *batches* (batch, chunk_id, v) in place of their own: a batch with any vector that is
+    not valid is refused whole. Of several vectors for a chunk that of the highest batch counts."""
+    bad = batches.where(~F.coalesce(F.expr(valid("v", dims)), F.lit(False))).select("batch").distinct()
+    new = batches.join(bad, "batch", "left_anti").groupBy("chunk_id").agg(F.max_by("v", F.struct("batch", "v")).alias("v"))
+    return vectors.join(new.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "v").union(new.select("chunk_id", "v"))
+
+
+def rebuilt(vectors: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, relations) of the chunks that have both."""
+    return vectors.join(relations.select("chunk_id"), "chunk_id", "left_semi"), relations.join(vectors.select("chunk_id"), "chunk_id", "left_semi")
+
+
+def relations(known: DataFrame, chunks: DataFrame) -> DataFrame:
+    """*known* (chunk_id, content_hash) brought up to *chunks* (chunk_id, text), with stale: whether the vector of a chunk is missing
+    or was made from another text. Chunks that are gone have no row."""
+    now = chunks.select("chunk_id", F.sha2("text", 256).alias("content_hash"))
+    return now.join(known.select("chunk_id", F.col("content_hash").alias("_known")), "chunk_id", "left").select("chunk_id", "content_hash", (~F.col("_known").eqNullSafe(F.col("content_hash"))).alias("stale"))
+
+
+def embedding_input(section: str, text: str, purpose: str = "passage") -> str:
+    """SQL for what a model embeds: a prefix for its purpose (passage or query), and for passages the section on its own line."""
+    body = f"if({section} is null, {text}, concat({section}, '\\n', {text}))" if purpose == "passage" else text
+    return f"concat('{purpose}: ', {body})"

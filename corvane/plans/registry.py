@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answering, composites, parsing, relational, retrieval
+from . import answering, composites, parsing, relational, retrieval, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries; each has QUERIES and ORACLE_SQL.
-_MODULES: list = [retrieval, relational, composites, answering, parsing]
+_MODULES: list = [retrieval, relational, composites, answering, parsing, upkeep]
 
 
 def queries() -> dict[str, Query]:
