@@ -145,6 +145,11 @@ def kept_lines(t: str) -> str:
     return rf"array_join(array_remove(transform(split({clean(t)}, '\n', -1), x -> {collapse('x')}), ''), '\n')"
 
 
+def block_text(kind: str, t: str) -> str:
+    """A block's text by its kind: code keeps its spacing, records and tables keep their lines, all else is one line."""
+    return f"case when {kind} = 'code' then {clean(t, False)} when {kind} in ('record', 'table') then {kept_lines(t)} else {single_line(t)} end"
+
+
 def neutralize(t: str) -> str:
     """Angle brackets become guillemets, controls but line feed and tab go."""
     return rf"regexp_replace(translate({t}, '<>', '‹›'), '[\\p{{Cc}}&&[^\\n\\t]]', '')"

@@ -81,7 +81,9 @@ def fn_section_matches(spark: S, sf_dir: str) -> DataFrame:
 
 
 def fn_sentences(spark: S, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"cast(size({T.sentences('text')}) as bigint)").alias("sentences"))
+    """Sentences of each document, counted, and their texts with one space between words."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.expr(T.sentences("text")).alias("s"))
+    return t.select("doc_id", F.size("s").cast("long").alias("sentences"), F.expr(r"md5(array_join(transform(s, x -> regexp_replace(x, '\\s+', ' ')), '|'))").alias("sentences_md5"))
 
 
 def scan_xhtml_blocks(spark: S, sf_dir: str) -> DataFrame:
@@ -297,6 +299,11 @@ p as (select o_orderkey, case when d > 60 then date '1899-12-30' else date '1899
 select o_orderkey, strftime(a, '%Y-%m-%d') || c as date_1900, strftime(b, '%Y-%m-%d') || c as date_1904 from p""",
     "fn_intent": f"select n::bigint as n, intent, label from (values {_ROWS([(k, x[1], x[2]) for k, x in enumerate(_INTENTS)])}) v(n, intent, label)",
     "fn_section_matches": f"select n::bigint as n, matches from (values {_ROWS([(k, x[2]) for k, x in enumerate(_HEADINGS)])}) v(n, matches)",
+    "fn_sentences": rf"""
+with w as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') w from documents),
+e as (select doc_id, list_transform(w, lambda x: regexp_matches(x, '[.!?…]$') and not regexp_matches(lower(x), '^(\pL|{"|".join(a.replace(".", "[.]") for a in T.ABBREVIATIONS)})[.]$')) e, w from w),
+s as (select doc_id, w, e, list_transform(w, lambda x, i: case when i = len(w) then x when e[i] then x || '|' else x || ' ' end) p from e)
+select doc_id, case when len(w) = 0 then 0 else 1 + len(list_filter(e[:-2], lambda x: x)) end::bigint as sentences, md5(array_to_string(p, '')) as sentences_md5 from s""",
     "ret_dedup_exact": rf"""
 with t as (select substr(source, 4)::bigint query_id, doc_id, array_to_string({_FOLDED}, ' ') k from documents),
 g as (select query_id, k, min(doc_id) kept, list_sort(list(doc_id)) l from t group by query_id, k)

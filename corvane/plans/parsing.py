@@ -87,6 +87,21 @@ def scan_markdown_files(spark: S, sf_dir: str) -> DataFrame:
     return _blocks(files)
 
 
+def scan_outline(spark: S, sf_dir: str) -> DataFrame:
+    """What a viewer lists of Markdown files with two customers' headings below each other."""
+    t = _shelves(spark, sf_dir, F.col("c_name").alias("name"))
+    item = r"concat(if(i % 2 = 0, '# ', '## '), x.name, '\n\ntext\n\n')"
+    files = t.select(F.expr("concat(shelf, '.md')").alias("path"), F.encode(F.expr(_joined(item)), "UTF-8").alias("content"))
+    return reader.outline(reader.parsed(files)).select(F.expr("cast(split(path, '[.]')[0] as bigint)").alias("shelf"), "position", "level", "title", "first")
+
+
+def scan_normalized(spark: S, sf_dir: str) -> DataFrame:
+    """Documents as one block each, of four kinds by turns."""
+    b = F.expr("array(named_struct('path', array('p'), 'kind', element_at(array('paragraph', 'code', 'record', 'table'), cast(doc_id % 4 + 1 as int)), 'text', text, 'first', 1, 'last', 1))")
+    t = reader.normalized(table(spark, sf_dir, "documents").select("doc_id", b.alias("blocks")))
+    return t.select("doc_id", F.md5(F.expr("coalesce(blocks[0].text, '')")).alias("text_md5"), F.size("blocks").alias("blocks"))
+
+
 def scan_csv_files(spark: S, sf_dir: str) -> DataFrame:
     """A delimited file for each shelf, with quoted delimiters and line ends; every seventh record is blank: numbered but skipped."""
     t = _shelves(spark, sf_dir, F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
@@ -188,6 +203,13 @@ with {_SHELF}
 select shelf, 0 as n, 'heading' as kind, 'Customers' as section, 'Customers' as text, 4 as first, 4 as last from c where p = 1
 union all select shelf, (2 * p - 1)::int, 'heading', 'Customers > ' || c_mktsegment, c_mktsegment, (4 + 2 * p)::int, (4 + 2 * p)::int from c
 union all select shelf, (2 * p)::int, 'list_item', 'Customers > ' || c_mktsegment, c_name || ' is number ' || c_custkey, (5 + 2 * p)::int, (5 + 2 * p)::int from c""",
+    "scan_outline": f"""
+with {_SHELF}
+select shelf, (p - 1)::int as position, ((p - 1) % 2 + 1)::int as level, c_name as title, (4 * p - 3)::int as first from c""",
+    "scan_normalized": r"""
+with t as (select doc_id, case when doc_id % 4 = 1 then text when doc_id % 4 >= 2 then array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))
+    else trim(regexp_replace(text, '\s+', ' ', 'g')) end x from documents)
+select doc_id, md5(coalesce(x, '')) as text_md5, (coalesce(x, '') <> '')::int as blocks from t""",
     "scan_csv_files": f"""
 with {_SHELF}
 select shelf, (row_number() over (partition by shelf order by p) - 1)::int as n, 'record' as kind, '' as section,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 #: Extensions and media types of each format, the first media type being its own (fixed values).
@@ -36,23 +39,51 @@ def format_of(path: Column, media_type: Column | None = None) -> Column:
     return F.coalesce(*known, F.lit("unsupported"))
 
 
+def encoding_of(windows: Iterable[bytes]) -> tuple[str, int]:
+    """(encoding, bytes of its mark) of a file that comes in windows of any size; a letter may lie on their border. Without a mark
+    it is UTF-8 or, from the first byte on that is not, Windows-1252; with the mark of UTF-8 such a byte is an error."""
+    head, mark, valid = b"", None, True
+    check = codecs.getincrementaldecoder("utf-8")()
+    for w in windows:
+        if mark is None:
+            head += w
+            if len(head) < 3:
+                continue
+            w, mark = head, _mark(head)
+        if mark.startswith("utf-16"):
+            return mark, 2
+        if mark == "" and b"\0" in w:
+            raise ParseError("invalid", "binary data")
+        if valid:
+            try:
+                check.decode(w)
+            except UnicodeDecodeError:
+                valid = False
+                if mark:
+                    raise ParseError("encoding") from None
+    if mark is None:
+        mark = _mark(head)
+        if mark.startswith("utf-16"):
+            return mark, 2
+        if b"\0" in head:
+            raise ParseError("invalid", "binary data")
+    try:
+        check.decode(b"" if head == b"" or len(head) >= 3 else head, True)
+    except UnicodeDecodeError:
+        valid = False
+        if mark:
+            raise ParseError("encoding") from None
+    return ("utf-8" if valid else "cp1252"), 3 if mark else 0
+
+
+def _mark(head: bytes) -> str:
+    return "utf-8" if head.startswith(b"\xef\xbb\xbf") else {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(head[:2], "")
+
+
 def decode(data: bytes, most: int = MOST) -> tuple[str, bool]:
     """Text with line ends ``\\n``, and whether the bytes had to be read as Windows-1252."""
     if len(data) > most:
         raise ParseError("too_large")
-    fallback = False
-    if data.startswith(b"\xef\xbb\xbf"):
-        try:
-            text = data[3:].decode("utf-8")
-        except UnicodeDecodeError:
-            raise ParseError("encoding") from None
-    elif data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        text = data[2:].decode("utf-16-le" if data[0] == 0xFF else "utf-16-be", "replace")
-    else:
-        if b"\0" in data:
-            raise ParseError("invalid", "binary data")
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            text, fallback = data.decode("cp1252", "replace"), True
-    return text.replace("\r\n", "\n").replace("\r", "\n"), fallback
+    encoding, mark = encoding_of([data])
+    text = data[mark:].decode(encoding, "strict" if encoding == "utf-8" else "replace")
+    return text.replace("\r\n", "\n").replace("\r", "\n"), encoding == "cp1252"

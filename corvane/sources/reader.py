@@ -3,8 +3,11 @@ becomes an error row and does not stop the others."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
 from ..functions.pytext import nfc
 from . import markup, office, plain, tabular
 from .decode import ParseError, decode, format_of
@@ -18,41 +21,64 @@ PARSED = (
     "warnings array<string>, error string")
 
 
-def parse(format: str, data: bytes, name: str = "") -> tuple[str | None, list[dict], list[str]]:
+Parser = Callable[[bytes, str], tuple[str | None, list[dict], list[str]]]
+
+
+def _text(data: bytes, name: str) -> tuple:
+    text, fallback = decode(data)
+    return None, plain.paragraphs(text), ["fallback_encoding"] * fallback
+
+
+def _note(data: bytes, name: str) -> tuple:
+    text, fallback = decode(data)
+    text = plain.cleaned_note(text)
+    return plain.note_title(text), plain.paragraphs(text), ["fallback_encoding"] * fallback
+
+
+def _markdown(data: bytes, name: str) -> tuple:
+    text, fallback = decode(data)
+    meta, blocks = plain.markdown(text)
+    return meta.get("title"), blocks, ["fallback_encoding"] * fallback
+
+
+def _csv(data: bytes, name: str) -> tuple:
+    dataset, blocks = tabular.records(data, name.rpartition(".")[2])
+    return None, blocks, ["fallback_encoding"] * dataset["fallback"] + {"absent": ["no_header_row"], "uncertain": ["uncertain_header"]}.get(dataset["header"], [])
+
+
+def _epub(data: bytes, name: str) -> tuple:
+    meta, blocks, skipped = markup.epub(data)
+    return meta.get("title"), blocks, [f"skipped_unit {n}" for n in skipped]
+
+
+def _docx(data: bytes, name: str) -> tuple:
+    meta, blocks = office.docx(data)
+    return meta.get("title"), blocks, []
+
+
+def _xlsx(data: bytes, name: str) -> tuple:
+    meta, blocks, hidden = office.xlsx(data)
+    return meta.get("title"), blocks, [f"hidden_sheet {n}" for n in hidden]
+
+
+#: The parser of each format: (title, blocks, warnings) of the bytes and name of a file.
+PARSERS: dict[str, Parser] = {"text": _text, "note": _note, "markdown": _markdown, "csv": _csv, "epub": _epub, "docx": _docx, "xlsx": _xlsx}
+
+
+def parse(format: str, data: bytes, name: str = "", parsers: dict[str, Parser] = PARSERS) -> tuple[str | None, list[dict], list[str]]:
     """(title, blocks, warnings) of one file."""
-    warnings: list[str] = []
-    title = None
-    if format in ("text", "note", "markdown"):
-        text, fallback = decode(data)
-        warnings += ["fallback_encoding"] * fallback
-        if format == "markdown":
-            meta, blocks = plain.markdown(text)
-            title = meta.get("title")
-        else:
-            text = plain.cleaned_note(text) if format == "note" else text
-            title = plain.note_title(text) if format == "note" else None
-            blocks = plain.paragraphs(text)
-    elif format == "csv":
-        dataset, blocks = tabular.records(data, name.rpartition(".")[2])
-        warnings += ["fallback_encoding"] * dataset["fallback"] + {"absent": ["no_header_row"], "uncertain": ["uncertain_header"]}.get(dataset["header"], [])
-    elif format == "epub":
-        meta, blocks, skipped = markup.epub(data)
-        title, warnings = meta.get("title"), [f"skipped_unit {n}" for n in skipped]
-    elif format == "docx":
-        meta, blocks = office.docx(data)
-        title = meta.get("title")
-    elif format == "xlsx":
-        meta, blocks, hidden = office.xlsx(data)
-        title, warnings = meta.get("title"), [f"hidden_sheet {n}" for n in hidden]
-    else:
+    if format not in parsers:
         raise ParseError("unsupported", format)
+    title, blocks, warnings = parsers[format](data, name)
     return title, [{**b, "text": nfc(b["text"])} for b in blocks], warnings
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """PARSED for rows (path, content) such as ``binaryFile`` gives; a column media_type, if there is one, decides the format first."""
+def parsed(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """PARSED for rows (path, content) such as ``binaryFile`` gives; a column media_type, if there is one, decides the format first.
+    *parsers* are more parsers by format, or others in place of PARSERS."""
     media = F.col("media_type") if "media_type" in files.columns else None
     t = files.select("path", format_of(F.col("path"), media).alias("format"), F.sha2("content", 256).alias("sha256"), "content")
+    known = PARSERS | (parsers or {})
 
     def run(batches):
         import pandas as pd
@@ -62,7 +88,7 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = []
             for r in b.itertuples(index=False):
                 try:
-                    title, blocks, warnings = parse(r.format, bytes(r.content), r.path)
+                    title, blocks, warnings = parse(r.format, bytes(r.content), r.path, known)
                     rows.append((r.path, r.format, r.sha256, title, [{k: x[k] for k in keys} for x in blocks], warnings, None))
                 except ParseError as e:
                     rows.append((r.path, r.format, r.sha256, None, [], [], e.kind))
@@ -77,6 +103,18 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return parsed(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
 
 
+def normalized(parsed_files: DataFrame) -> DataFrame:
+    """*parsed_files* with the texts of their blocks normalized by kind and blank blocks dropped; doing it again changes nothing."""
+    return parsed_files.withColumn("blocks", F.expr(
+        f"filter(transform(blocks, b -> named_struct('path', b.path, 'kind', b.kind, 'text', {T.block_text('b.kind', 'b.text')}, 'first', b.first, 'last', b.last)), b -> b.text <> '')"))
+
+
+def outline(parsed_files: DataFrame) -> DataFrame:
+    """Rows (path, position, level, title, first): the headings of each file in order, which a viewer lists."""
+    h = parsed_files.select("path", F.posexplode(F.expr("filter(blocks, b -> b.kind = 'heading')")).alias("position", "b"))
+    return h.select("path", "position", F.size("b.path").alias("level"), F.col("b.text").alias("title"), F.col("b.first").alias("first"))
+
+
 def violations(parsed_files: DataFrame) -> DataFrame:
     """Blocks that no parser may give, as rows (path, n, problem): without text, in a place that ends before it begins or does not
     exist, or, when the blocks name the format of their places (place), in a place of another format. Characters count from 0

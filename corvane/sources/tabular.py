@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import values as V
-from .decode import ParseError, decode
+from .decode import ParseError, decode, encoding_of
 
 #: Delimiters in order of preference, records looked at, share of a kind, shape of header cells, rows (fixed values).
 DELIMITERS, SAMPLE, SHARE, NAME_CHARS, NAME_WORDS, MOST_ROWS = ",;\t|", 50, 80, 40, 4, 250_000
+#: Characters that a file is judged by, bytes of a window, and rows and bytes of a file that is streamed (fixed values).
+HEAD, WINDOW, STREAM_ROWS, STREAM_BYTES = 256 << 10, 64 << 10, 5_000_000, 1 << 30
 
 
 def _rows(text: str, delimiter: str):
@@ -86,34 +91,66 @@ def header_of(rows: list[list[str]]) -> str:
     return "uncertain" if len(names) > 1 and fits else "absent"
 
 
-def records(data: bytes, extension: str = "csv", most: int = MOST_ROWS) -> tuple[dict, list[dict]]:
-    """(dataset, blocks): a block per record with its fields, numbered without the header; blank records are numbered
-    but skipped, further cells are named by their place."""
-    text, fallback = decode(data)
-    d = delimiter_of(text, extension)
-    rows = sample(text, d)
+def head_of(text: str, more: bool) -> str:
+    """What a file is judged by: its first HEAD characters, up to the last whole line if there is *more*."""
+    if len(text) <= HEAD and not more:
+        return text
+    cut = text[:HEAD]
+    return cut[: cut.rfind("\n") + 1] or cut
+
+
+def dataset_of(head: str, extension: str = "csv") -> dict:
+    """Columns, kinds, delimiter and header of a file by its head."""
+    d = delimiter_of(head, extension)
+    rows = sample(head, d)
     if not rows:
         raise ParseError("empty")
     header = header_of(rows)
-    width = max(map(len, rows))
-    names = [(rows[0][k] if header != "absent" and k < len(rows[0]) else "") or f"Column {k + 1}" for k in range(width)]
-    kinds = kinds_of(rows[1:] if header != "absent" else rows, width)
-    out, n = [], 0
-    for r in _rows(text, d):
-        if not r:
-            continue
-        n += 1
-        row = n - (header != "absent")
+    names = [(rows[0][k] if header != "absent" and k < len(rows[0]) else "") or f"Column {k + 1}" for k in range(max(map(len, rows)))]
+    return {"columns": names, "kinds": kinds_of(rows[1:] if header != "absent" else rows, len(names)), "delimiter": d, "header": header}
+
+
+def _blocks(rows: Iterable[list[str]], dataset: dict, most: int) -> Iterator[tuple[int, dict | None]]:
+    """(row, block) of each record behind the header; blank ones have no block."""
+    names, first = dataset["columns"], dataset["header"] != "absent"
+    for row, r in enumerate((r for r in rows if r), 1 - first):
         if row == 0:
             continue
         if row > most:
             raise ParseError("too_large")
-        cells = [c.strip() for c in r]
-        fields = [{"name": names[k] if k < width else f"Column {k + 1}", "value": c} for k, c in enumerate(cells)]
-        if any(cells):
-            readable = "\n".join([f"Record {row}", *(f"{f['name']}: {f['value']}" for f in fields if f["value"])])
-            out.append({"path": [], "kind": "record", "text": readable, "first": row, "last": row, "fields": fields})
-    return {"columns": names, "kinds": kinds, "delimiter": d, "header": header, "fallback": fallback, "rows": n - (header != "absent")}, out
+        fields = [{"name": names[k] if k < len(names) else f"Column {k + 1}", "value": c.strip()} for k, c in enumerate(r)]
+        readable = "\n".join([f"Record {row}", *(f"{f['name']}: {f['value']}" for f in fields if f["value"])])
+        yield row, {"path": [], "kind": "record", "text": readable, "first": row, "last": row, "fields": fields} if any(f["value"] for f in fields) else None
+
+
+def records(data: bytes, extension: str = "csv", most: int = MOST_ROWS) -> tuple[dict, list[dict]]:
+    """(dataset, blocks): a block per record with its fields, numbered without the header; blank records are numbered
+    but skipped, further cells are named by their place."""
+    text, fallback = decode(data)
+    dataset = dataset_of(head_of(text, False), extension)
+    found = list(_blocks(_rows(text, dataset["delimiter"]), dataset, most))
+    return dataset | {"fallback": fallback, "rows": found[-1][0] if found else 0}, [b for _, b in found if b]
+
+
+def streamed(file: BinaryIO, extension: str = "csv", most: int = STREAM_ROWS, most_bytes: int = STREAM_BYTES) -> Iterator[dict]:
+    """The blocks of ``records``, one at a time, from a file that can be read twice: once in windows for its encoding, once for its
+    records. Only a window and the head are held in memory."""
+    size = file.seek(0, 2)
+    if size > most_bytes:
+        raise ParseError("too_large")
+    file.seek(0)
+    encoding, mark = encoding_of(iter(lambda: file.read(WINDOW), b""))
+    errors = "strict" if encoding == "utf-8" else "replace"
+    file.seek(mark)
+    # the head may end within a letter, which an incremental decoder leaves out
+    head = codecs.getincrementaldecoder(encoding)(errors).decode(file.read(4 * HEAD)).replace("\r\n", "\n").replace("\r", "\n")
+    dataset = dataset_of(head_of(head, size > 4 * HEAD), extension)
+    file.seek(mark)
+    lines = io.TextIOWrapper(file, encoding=encoding, errors=errors, newline=None)
+    try:
+        yield from (b for _, b in _blocks(csv.reader(lines, delimiter=dataset["delimiter"]), dataset, most) if b)
+    finally:
+        lines.detach()
 
 
 def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:

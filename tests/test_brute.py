@@ -51,7 +51,7 @@ def cut_sentences(x):
 
 
 def test_sentences(spark, texts):
-    assert dict(run(spark, "fn_sentences")) == {i: len(cut_sentences(x)) for i, x in texts.items()}
+    assert {r[0]: r[1] for r in run(spark, "fn_sentences")} == {i: len(cut_sentences(x)) for i, x in texts.items()}
 
 
 def test_embed_words(spark, texts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections import namedtuple
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import conversations, lexical, library, passages, vectors
-from corvane.sources import packages, reader, spans
+from corvane.sources import packages, reader, spans, tabular
+from corvane.sources.decode import ParseError, decode, encoding_of
 from corvane.streaming.work import Busy, Work
 
 FILE = "path string, format string, error string, blocks array<struct<text: string, first: int, last: int>>"
@@ -102,3 +104,45 @@ def test_questions_wait_for_answers(spark):
     q = spark.createDataFrame([(1, " c "), (1, "d"), (2, "new"), (3, " "), (4, None)], "conv_id long, question string")
     got = conversations.pending(conversations.asked(m, q)).collect()
     assert sorted(tuple(r) for r in got) == [(1, 3, "c"), (2, 1, "new")]
+
+
+@pytest.mark.parametrize("data", [b"", b"a", "é".encode(), "é".encode()[:1], b"\xef\xbb\xbfab", "aé€😀b".encode() * 9, "é".encode("cp1252") * 5, b"\xff\xfea\0", b"\xfe\xff\0a", b"ab\xc3"])
+@pytest.mark.parametrize("window", [1, 2, 3, 7])
+def test_encoding_by_windows(data, window):
+    assert encoding_of([data[k : k + window] for k in range(0, len(data), window)]) == encoding_of([data])
+
+
+def test_encoding_errors_by_windows():
+    for data, kind in ((b"\xef\xbb\xbfok\xff", "encoding"), (b"abc\0", "invalid"), (b"\xef\xbb\xbfok\xc3", "encoding")):
+        for window in (1, 4):
+            with pytest.raises(ParseError) as e:
+                encoding_of([data[k : k + window] for k in range(0, len(data), window)])
+            assert e.value.kind == kind
+    assert decode(b"ab\xc3") == ("abÃ", True)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252", "utf-16"])
+def test_streamed_records_are_the_collected_ones(encoding):
+    data = ("name;valor\r\n" + "".join(f'é{k};"{k}\r\n,5"\r\n' if k % 5 else ";\r\n" for k in range(3000))).encode(encoding)
+    assert list(tabular.streamed(io.BytesIO(data))) == tabular.records(data)[1]
+    for limits in ({"most": 10}, {"most_bytes": 10}):
+        with pytest.raises(ParseError):
+            list(tabular.streamed(io.BytesIO(data), **limits))
+
+
+def test_head_ends_at_a_line():
+    text = "a,b\n" * (tabular.HEAD // 3)
+    assert tabular.head_of(text, False).endswith("\n") and len(tabular.head_of(text, False)) <= tabular.HEAD and tabular.head_of("a,b", False) == "a,b" and tabular.head_of("a\nb", True) == "a\n"
+
+
+def test_parsers_can_be_registered(spark):
+    mine = lambda data, name: ("T", [{"path": [], "kind": "paragraph", "text": name, "first": 1, "last": 1}], [])
+    t = spark.createDataFrame([("x.pdf", b"?"), ("y.txt", b"one")], "path string, content binary")
+    assert {r.path: (r.title, r.blocks[0].text) for r in reader.parsed(t, {"pdf": mine}).collect()} == {"x.pdf": ("T", "x.pdf"), "y.txt": (None, "one")}
+
+
+def test_normalized_blocks(spark):
+    b = [([], "code", "a\u00a0  b\n\nc", 1, 1), ([], "table", " a  b \n\n c", 1, 1), (["p"], "paragraph", "a\n b", 1, 1), ([], "paragraph", " \u200b", 1, 1)]
+    t = spark.createDataFrame([("x", b)], "path string, blocks array<struct<path: array<string>, kind: string, text: string, first: int, last: int>>")
+    once = reader.normalized(t)
+    assert [x.text for x in once.head().blocks] == ["a\u00a0  b\n\nc", "a b\nc", "a b"] and reader.normalized(once).head() == once.head()
