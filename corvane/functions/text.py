@@ -10,6 +10,9 @@ from functools import cache
 ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucn"
 
+#: Marks that combine with the letter before them.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
 #: Words that lexical search ignores (fixed values).
 STOPWORDS = (
     "a o as os um uma de do da dos das em no na nos nas e ou que qual quais é são se por para com sem ao aos à às como "
@@ -64,9 +67,10 @@ def _plain_letters() -> tuple[str, str]:
 
 
 def search_fold(t: str) -> str:
-    """Lower case without any diacritic, composed or not: how the search index reads words."""
+    """Lower case without any diacritic, composed or not: how the search index reads words. One pass: letters are replaced, and
+    combining marks, to which nothing corresponds, are dropped."""
     accented, plain = _plain_letters()
-    return rf"translate(regexp_replace(lower({t}), '\\p{{Mn}}', ''), '{accented}', '{plain}')"
+    return f"translate(lower({t}), '{accented}{MARKS}', '{plain}')"
 
 
 def words(t: str) -> str:
