@@ -1,29 +1,39 @@
 """Line dedup across documents: exact copies by hash, fuzzy ones by MinHash over character shingles.
 
-Signatures are minima of one shingle hash under many orders (h XOR a constant). Bands of them are the keys of
-buckets; of buckets with equal members one stays. Within a bucket a search from line to line, by exact Jaccard
-similarity, keeps one link for each line reached, and large buckets are dealt out in chunks. Distributed
-union-find turns links into components, and the first line of each component, in document order, stays.
-
-Lines, buckets, union-find and the choice of what stays are DataFrame functions. Signatures and the search
-within buckets run in Arrow batches: with exploded shingles and pairs of lines as rows, the native form that came
-before did not fit the limits with whole results (figures in the README). Texts move between machines only for lines that
-share a bucket with another.
+Signatures are minima of one shingle hash under many orders (h XOR a constant), taken while Spark aggregates
+exploded shingles inside generated code. Bands of them are the keys of buckets; of buckets with equal members one
+stays. Members of large buckets first meet a few leaders, as long as that links many; then all that no links connect yet is compared
+by exact Jaccard similarity, in the condition of a join, so that only links become rows. Large buckets are dealt out in chunks.
+Distributed union-find turns links into components, and the first line of each component, in document order, stays.
+
+Built-in functions only. Texts move between machines only for lines that share a bucket with another.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from .common import finished, hot_join, written
-from .similar import distinct_buckets, linked, near
+from . import similar
+from .common import dropped, finished, hot_join, written
+from .components import connected_components
+from .similar import distinct_buckets, near
 
 #: Bytes of a shingle, bands, minima of a band.
 WIDTH, BANDS, DEPTH = 12, 6, 3
-#: Bytes of lines whose shingles are hashed at a time.
+#: Bytes of a line whose shingles are exploded at a time.
 PIECE = 1 << 16
 #: What the 32-bit hashes are XORed with for each place of a signature, over the whole range.
 ORDER = [(k * 0x9E3779B9 + 0xA43F6A88) % 2**32 for k in range(BANDS * DEPTH)]
+#: Size in bytes from which a line's minima leave out hashes that do not begin like any of ORDER. A minimum differs by that only if none
+#: of the hashes begins like its own constant (one in 57 at this size), and then it is one over fewer shingles.
+LARGE = 256
+#: Bits that tell how a hash begins, and the beginnings of ORDER as a set of bits.
+START = 6
+STARTS = sum({1 << (c >> (32 - START)) for c in ORDER})
+#: Members from which a bucket gets leaders, and how many at a time.
+MANY, LEADERS = 16, 4
 
 BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
 
@@ -35,94 +45,77 @@ def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return t.select("k", "n", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit("line"), "l").alias("h2"), "l")
 
 
-def shingle_hashes(data: bytes, sizes):
-    """Hashes of the shingles of lines of WIDTH bytes or more, which *data* holds one after the other, line by line."""
-    import numpy as np
-
-    total, data = len(data), data + bytes(16)
-    head, tail = np.empty(total, np.uint64), np.empty(total, np.uint64)
-    for k in range(8):  # eight bytes from every place, and the four after them
-        m = len(range(k, total, 8))
-        head[k::8] = np.frombuffer(data, "<u8", m, k)
-        tail[k::8] = np.frombuffer(data, "<u8", m, k + 8)
-    tail &= np.uint64(0xFFFFFFFF)
-    inside = np.ones(total + 1, bool)
-    ends = np.cumsum(sizes)
-    for k in range(1, WIDTH):  # places too near the end of their line
-        inside[ends - k] = False
-    return _mixed(head * np.uint64(0x9E3779B97F4A7C15) ^ _mixed(tail))[inside[:total]]
-
-
-def _mixed(x):
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def signatures(lines: list[bytes]):
-    """Minima of each line, len(lines) x BANDS * DEPTH. Lines have WIDTH bytes or more; longer ones than PIECE go piece by piece."""
-    import numpy as np
-
-    parts, owners = [], []
-    for k, line in enumerate(lines):
-        for at in range(0, max(1, len(line) - WIDTH + 1), PIECE):
-            parts.append(line[at : at + PIECE + WIDTH - 1])
-            owners.append(k)
-    out = np.empty((len(parts), len(ORDER)), np.uint32)
-    at = 0
-    while at < len(parts):
-        stop, size = at, 0
-        while stop < len(parts) and (stop == at or size + len(parts[stop]) <= PIECE):
-            size += len(parts[stop])
-            stop += 1
-        sizes = np.fromiter(map(len, parts[at:stop]), np.int64, stop - at)
-        h = (shingle_hashes(b"".join(parts[at:stop]), sizes) >> np.uint64(32)).astype(np.uint32)
-        starts = np.cumsum(sizes - (WIDTH - 1)) - (sizes - (WIDTH - 1))
-        for k, c in enumerate(ORDER):
-            out[at:stop, k] = np.minimum.reduceat(h ^ np.uint32(c), starts)
-        at = stop
-    return np.minimum.reduceat(out, np.searchsorted(owners, np.arange(len(lines))), axis=0)
+def _minima(lines: DataFrame) -> DataFrame:
+    """Rows (h1, bytes, m0, m1, ...): the signature of each different line of WIDTH bytes or more; shorter ones have no similar lines."""
+    t = lines.select("h1", F.col("l").cast("binary").alias("l")).select("h1", "l", F.length("l").alias("bytes")).where(f"bytes >= {WIDTH}")
+    t = t.select("h1", "bytes", "l", F.explode(F.expr(f"sequence(0, bytes - {WIDTH}, {PIECE})")).alias("at"))
+    t = t.select("h1", "bytes", F.expr(f"substring(l, at + 1, {PIECE + WIDTH - 1})").alias("l"))
+    t = t.select("h1", "bytes", "l", F.explode(F.expr(f"sequence(1, length(l) - {WIDTH - 1})")).alias("i"))
+    t = t.select("h1", "bytes", F.expr(f"hash(substring(l, i, {WIDTH}))").alias("h"))
+    mask = STARTS - 2**64 if STARTS >= 2**63 else STARTS
+    t = t.where(f"bytes < {LARGE} or (shiftright({mask}L, shiftrightunsigned(h, {32 - START})) & 1L) = 1")
+    # the sign bit is flipped, so that signed minima are those of unsigned numbers
+    return t.groupBy("h1").agg(F.max("bytes").alias("bytes"), *[F.min(F.expr(f"h ^ {(c ^ 2**31) - 2**32 * (c < 2**31)}")).alias(f"m{k}") for k, c in enumerate(ORDER)])
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """Rows (h1, bytes, keys): the buckets of each different line of WIDTH bytes or more; shorter ones have no similar lines."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        seen: set = set()
-        for batch in batches:
-            rows = {}
-            for h, size, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), range(batch.num_rows), strict=True):
-                if size >= WIDTH and h not in seen:  # copies nearby are left out here, the others below
-                    rows.setdefault(h, k)
-            seen = set() if len(seen) > 1_000_000 else seen | rows.keys()
-            if not rows:
-                continue
-            picked = batch.take(pa.array(list(rows.values())))
-            m = signatures(picked.column(1).to_pylist()).astype(np.uint64)
-            keys = np.empty((len(m), BANDS), np.uint64)
-            for band in range(BANDS):
-                x = np.full(len(m), band + 1, np.uint64)
-                for k in range(band * DEPTH, (band + 1) * DEPTH):
-                    x = _mixed((x + m[:, k]) * np.uint64(0x9E3779B97F4A7C15))
-                keys[:, band] = x
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(2), lists], ["h1", "bytes", "keys"])
-
-    t = lines.select("h1", F.col("l").cast("binary").alias("l")).select("h1", "l", F.length("l").alias("bytes"))
-    t = t.mapInArrow(run, "h1 long, bytes int, keys array<long>")
-    return t.groupBy("h1").agg(F.max("bytes").alias("bytes"), *[F.max(F.get("keys", F.lit(k))).alias(f"b{k}") for k in range(BANDS)]).select(
-        "h1", "bytes", F.array(*[f"b{k}" for k in range(BANDS)]).alias("keys"))
-
-
-def _hashes(lines: list[bytes]) -> tuple:
-    import numpy as np
-
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    return shingle_hashes(b"".join(lines), sizes), sizes - (WIDTH - 1)
+    """Rows (h1, bytes, keys): the buckets of each different line of WIDTH bytes or more."""
+    keys = [f"xxhash64({k}, {', '.join(f'm{k * DEPTH + j}' for j in range(DEPTH))})" for k in range(BANDS)]
+    return _minima(lines).select("h1", "bytes", F.expr(f"array({', '.join(keys)})").alias("keys"))
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """Rows (h1, size, s): of each line of *texts* (h1, l), the set of its shingles as 32-bit hashes."""
+    t = texts.select("h1", F.col("l").cast("binary").alias("l"))
+    # in an array of its own, so that a line's bytes are not fetched again for each shingle
+    s = f"array_distinct(get(transform(array(l), x -> transform(sequence(1, length(x) - {WIDTH - 1}), i -> hash(substring(x, i, {WIDTH})))), 0))"
+    return t.select("h1", F.expr(s).alias("s")).select("h1", F.size("s").alias("size"), "s")
+
+
+def _alike() -> str:
+    """Whether the sets of u and v have at least SIMILARITY; sizes tell most others apart."""
+    least = similar.SIMILARITY
+    return (f"least(u_size, v_size) >= {least}D * greatest(u_size, v_size) - 1e-9D "
+            f"and {1 + least}D * size(array_intersect(u_s, v_s)) >= {least}D * (u_size + v_size) - 1e-9D")
+
+
+def _side(name: str, t: DataFrame, keys: list[str]) -> DataFrame:
+    return t.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c not in keys])
+
+
+def _led(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Links (u, v) of members (bucket, h1, chunks, p) of large buckets to leaders. Who has none meets other leaders next time, as long as
+    that finds a tenth of them; the others are left to :func:`_apart`."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MANY}")
+    left, links = written(members.join(sizes.select("bucket"), "bucket"), "left"), []
+    n = left.count()
+    while n:
+        heads = left.groupBy("bucket", "chunks", F.expr(f"pmod(xxhash64('leader', h1), {LEADERS})").alias("k")).agg(F.min("h1").alias("h1"))
+        heads = heads.join(texts, "h1").select("bucket", "h1", "size", "s", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"))
+        u, v = _side("u", left.join(texts, "h1"), ["bucket", "p"]), _side("v", heads, ["bucket", "p"])
+        found = written(u.join(v, ["bucket", "p"]).where(f"u_h1 <> v_h1 and {_alike()}").select("bucket", F.col("u_h1").alias("u"), F.col("v_h1").alias("v")), "links")
+        links.append(found.select("u", "v"))
+        gone = found.select("bucket", F.col("u").alias("h1")).union(found.select("bucket", "v")).distinct()
+        left = written(left.join(gone, ["bucket", "h1"], "left_anti"), "left")
+        before, n = n, left.count()
+        if 10 * (before - n) < before:
+            break
+    return links
+
+
+def _apart(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between members of a bucket that *roots* (node, root) does not connect yet: those outside the bucket's largest
+    component meet all others of it, chunk by chunk. The join itself compares them, so that other pairs are never rows.
+    """
+    m = members.join(roots, F.col("h1") == F.col("node"), "left").select("bucket", "h1", "chunks", "p", F.coalesce("root", "h1").alias("root"))
+    sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    sizes = sizes.where("top.n < n").select("bucket", F.col("top.root").alias("top"), F.expr("n - top.n = 1").alias("one"), F.expr("(n - top.n) / cast(n as double)").alias("share"))
+    m = m.join(sizes, "bucket").select("bucket", "h1", "root", "chunks", "p", "one", F.expr("root = top").alias("most"), F.expr("cast(ceil(share * chunks) as bigint)").alias("us"))
+    m = written(m, "apart").join(texts, "h1")
+    keys, rest = ["bucket", "p", "q"], ["h1", "root", "most", "size", "s"]
+    u = _side("u", m.where("not most").select("bucket", F.expr("pmod(xxhash64('few', h1), us)").alias("q"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"), *rest), keys)
+    v = _side("v", m.where("most or not one").select("bucket", F.explode(F.expr("sequence(0L, us - 1)")).alias("q"), "p", *rest), keys)
+    return u.join(v, keys).where(f"u_root <> v_root and (v_most or u_h1 < v_h1) and {_alike()}").select(F.col("u_h1").alias("u"), F.col("v_h1").alias("v")).distinct()
 
 
 def components(lines: DataFrame) -> DataFrame:
@@ -133,11 +126,18 @@ def components(lines: DataFrame) -> DataFrame:
     banded = written(_banded(lines), "banded")
     keyed = banded.select("h1", "bytes", F.explode("keys").alias("bucket"))
     buckets = written(distinct_buckets(keyed), "buckets")
-    members = written(near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket").select("bucket", "h1", "chunks"), "members")
+    members = near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket")
+    members = written(members.select("bucket", "h1", "chunks", F.expr("pmod(xxhash64('chunk', h1), chunks)").alias("p")), "members")
+    dropped(banded)
     nodes = written(members.select("h1").distinct(), "nodes")
     texts = near(lines.select("h1", "h2", "l"), nodes, "h1").groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
-    texts = written(texts.where("a = b").select("h1", "l").join(nodes, "h1"), "texts")
-    return linked(members, texts, _hashes, WIDTH).select(F.col("node").alias("h1"), "root")
+    texts = written(_shingled(texts.where("a = b").select("h1", "l").join(nodes, "h1")), "texts")
+    links = _led(members, texts)
+    roots = members.select(F.col("h1").alias("node"), F.col("h1").alias("root")).limit(0)
+    if links:
+        roots = written(connected_components(reduce(DataFrame.union, links), "u", "v"), "linked")
+    found = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_apart(members, roots, texts))
+    return connected_components(found, "u", "v").select(F.col("node").alias("h1"), "root")
 
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,7 +151,7 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     lines = _lines(df, id_col, text)
     roots = finished(lambda: components(lines), "roots")
-    places = lines.select("k", "n", "h1", "h2")
+    places = written(lines.select("k", "n", "h1", "h2"), "places")
     kinds = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "n")).alias("first"))
     kinds = written(kinds.join(roots, "h1", "left").where("times > 1 or root is not null"), "kinds")
     alike = kinds.where("root is not null")
@@ -174,3 +174,51 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     rows = rows.select("row", "gone", F.expr(f"if(gone is null, t, array_join(transform({stay}, i -> get(ls, i)), '\n'))").alias("l"))
     rows = rows.where(f"gone is null or not ({BLANK})")
     return rows.select(*[F.col("l").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def shingle_hashes(data: bytes, sizes):
+    """Spark's ``hash`` of the shingles of lines of WIDTH bytes or more, which *data* holds one after the other, line by line."""
+    import numpy as np
+
+    total, data, u = len(data), data + bytes(WIDTH + 4), np.uint32
+    words = np.empty(total + WIDTH, u)  # four bytes from every place
+    for k in range(4):
+        words[k::4] = np.frombuffer(data, "<u4", len(range(k, total + WIDTH, 4)), k)
+    turned = lambda x, by: (x << u(by)) | (x >> u(32 - by))
+    h = np.full(total, 42, u)
+    for at in range(0, WIDTH, 4):
+        h = turned(h ^ turned(words[at : at + total] * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+    h ^= u(WIDTH)
+    for by, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> u(by))) * u(times)
+    inside = np.ones(total + 1, bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, WIDTH):  # places too near the end of their line
+        inside[ends - k] = False
+    return (h ^ (h >> u(16)))[inside[:total]]
+
+
+def signatures(lines: list[bytes]):
+    """The minima of each line over all its shingles, len(lines) x BANDS * DEPTH: what the query takes in Spark, as a model for tests.
+    Lines have WIDTH bytes or more; longer ones than PIECE go piece by piece."""
+    import numpy as np
+
+    parts, owners = [], []
+    for k, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - WIDTH + 1), PIECE):
+            parts.append(line[at : at + PIECE + WIDTH - 1])
+            owners.append(k)
+    out = np.empty((len(parts), len(ORDER)), np.uint32)
+    at = 0
+    while at < len(parts):
+        stop, size = at, 0
+        while stop < len(parts) and (stop == at or size + len(parts[stop]) <= PIECE):
+            size += len(parts[stop])
+            stop += 1
+        sizes = np.fromiter(map(len, parts[at:stop]), np.int64, stop - at)
+        h = shingle_hashes(b"".join(parts[at:stop]), sizes)
+        starts = np.cumsum(sizes - (WIDTH - 1)) - (sizes - (WIDTH - 1))
+        for k, c in enumerate(ORDER):
+            out[at:stop, k] = np.minimum.reduceat(h ^ np.uint32(c), starts)
+        at = stop
+    return np.minimum.reduceat(out, np.searchsorted(owners, np.arange(len(lines))), axis=0)

@@ -657,3 +657,43 @@ def test_license_copies_back_to_back(spark):
         assert by[k][:2] == ("all-rights-reserved", 1.0)
         assert [(x.start, x.words, x.score) for x in by[k][2]] == [(by[0][2][0].start + 3 * i, 3, 1.0) for i in range(k + 1)]
     assert by[3][0] == ""
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Line dedup is DataFrame functions only, with small buckets, large ones and chunks of them, whoever finds the links."""
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    rows = [(k, f"{base} {chr(97 + k % 26)}{chr(97 + k // 26)}\n{prose(rng, 25)}") for k in range(40)]
+    pair = prose(rng, 50)
+    rows += [(40, pair + " x"), (41, pair + " y"), (42, prose(rng, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, lambda *a, **k: pytest.fail("Python on the executors"))
+    want = {(k, 0, 0) for k in range(1, 40)} | {(41, 0, 40)}
+    for chunk, many in ((1024, linededup.MANY), (1024, 10**6), (7, linededup.MANY)):
+        monkeypatch.setattr(similar, "CHUNK", chunk)
+        monkeypatch.setattr(linededup, "MANY", many)
+        got = linededup.duplicates(df)
+        assert set(local(got, "k.id", "n", "keeper.k.id")) == want
+        assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_line_dedup_minima(spark, monkeypatch):
+    """The signatures that Spark takes are those of the model; in large lines, which leave hashes out, nearly all places are."""
+    rng = random.Random(13)
+    texts = [prose(rng, n) for n in (2, 3, 5, 18, 30)] + ["=" * 12, "=" * 500, "é" * 20] + [prose(rng, rng.randint(60, 200)) for _ in range(60)]
+    lines = written(linededup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    names = {h: x.encode() for h, x in local(lines, "h1", "l") if len(x.encode()) >= linededup.WIDTH}
+    whole = dict(zip(names, linededup.signatures(list(names.values())).astype("int64").tolist(), strict=True))
+
+    def made():
+        return {r[0]: [x + 2**31 for x in r[2:]] for r in linededup._minima(lines).collect()}
+
+    part = made()
+    assert part.keys() == whole.keys() and all(part[h] == whole[h] for h, x in names.items() if len(x) < linededup.LARGE)
+    large = [a == b for h, x in names.items() if len(x) >= linededup.LARGE for a, b in zip(part[h], whole[h], strict=True)]
+    assert len(large) > 900 and sum(large) > 0.98 * len(large)
+    monkeypatch.setattr(linededup, "LARGE", 1 << 30)
+    for piece in (1 << 16, 17):
+        monkeypatch.setattr(linededup, "PIECE", piece)
+        assert made() == whole
