@@ -1,4 +1,4 @@
-"""Lines or documents that share buckets, linked by exact Jaccard similarity of their shingles.
+"""Documents that share buckets, linked by exact Jaccard similarity of their shingles; line dedup uses the buckets and limits.
 
 A search from member to member keeps one link for each member reached instead of all pairs; large buckets are dealt
 out in chunks. Distributed union-find turns links into components.

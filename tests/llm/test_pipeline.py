@@ -106,3 +106,14 @@ def test_stages_with_hard_rows(spark, folder):
         texts = {r.text for r in got.select("text").collect()}
         assert long in texts, name
     assert stage(spark, docs, where).where("not intact_").count() == 0
+
+
+def test_line_stage_runs_no_python(spark, folder, monkeypatch):
+    """The line stage is DataFrame functions only, in what it writes on the way and in its result."""
+    where, *_ = folder
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, lambda *a, **k: pytest.fail("Python on the executors"))
+    got = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, where)
+    assert 0 < got.count() < docs.count()
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
