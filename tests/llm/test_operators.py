@@ -670,9 +670,8 @@ def test_line_dedup_runs_no_python(spark, monkeypatch):
     for name in ("mapInArrow", "mapInPandas"):
         monkeypatch.setattr(type(df), name, lambda *a, **k: pytest.fail("Python on the executors"))
     want = {(k, 0, 0) for k in range(1, 40)} | {(41, 0, 40)}
-    for chunk, many in ((1024, linededup.MANY), (1024, 10**6), (7, linededup.MANY)):
-        monkeypatch.setattr(similar, "CHUNK", chunk)
-        monkeypatch.setattr(linededup, "MANY", many)
+    for name, value in (("CHUNK", 1024), ("CHUNK", 7), ("MANY", 10**6)):
+        monkeypatch.setattr(similar if name == "CHUNK" else linededup, name, value)
         got = linededup.duplicates(df)
         assert set(local(got, "k.id", "n", "keeper.k.id")) == want
         assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
