@@ -34,8 +34,10 @@ START = 6
 STARTS = sum({1 << (c >> (32 - START)) for c in ORDER})
 #: Members from which a bucket gets leaders, and how many at a time.
 MANY, LEADERS = 16, 4
+#: Words of a sketch, 64 bits each, and how many shingles enter it at a time.
+WORDS, STEP = 16, 4
 
-BLANK = r"trim(both ' \t\n\u000b\u000c\r' from l) = ''"
+BLANK = r"trim(leading ' \t\n\u000b\u000c\r' from l) = ''"
 
 
 def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -65,18 +67,34 @@ def _banded(lines: DataFrame) -> DataFrame:
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """Rows (h1, size, s): of each line of *texts* (h1, l), the set of its shingles as 32-bit hashes."""
-    t = texts.select("h1", F.col("l").cast("binary").alias("l"))
+    """Rows (h1, buckets, size, s): of each line of *texts* (h1, l, buckets), the set of its shingles as 32-bit hashes."""
+    t = texts.select("h1", "buckets", F.col("l").cast("binary").alias("l"))
     # in an array of its own, so that a line's bytes are not fetched again for each shingle
     s = f"array_distinct(get(transform(array(l), x -> transform(sequence(1, length(x) - {WIDTH - 1}), i -> hash(substring(x, i, {WIDTH})))), 0))"
-    return t.select("h1", F.expr(s).alias("s")).select("h1", F.size("s").alias("size"), "s")
+    return t.select("h1", "buckets", F.expr(s).alias("s")).select("h1", "buckets", F.size("s").alias("size"), "s")
+
+
+def _sketched(shingled: DataFrame) -> DataFrame:
+    """Rows (h1, x): of each set of *shingled*, WORDS * 64 bits that tell whether an even or an odd number of its hashes fall there.
+
+    A bit in which two sketches differ stands for at least one hash that only one of the sets has, and different bits for different hashes.
+    """
+    t = shingled.select("h1", "s", F.explode(F.expr(f"sequence(0, size - 1, {STEP})")).alias("i")).select("h1", *[F.expr(f"get(s, i + {j})").alias(f"s{j}") for j in range(STEP)])
+    places = [F.expr(f"coalesce(shiftrightunsigned(s{j}, 6) & {WORDS - 1}, -1)").alias(f"w{j}") for j in range(STEP)]
+    t = t.select("h1", *places, *[F.expr(f"coalesce(shiftleft(1L, s{j}), 0L)").alias(f"b{j}") for j in range(STEP)])
+    t = t.groupBy("h1").agg(*[F.bit_xor(F.expr(" ^ ".join(f"if(w{j} = {k}, b{j}, 0L)" for j in range(STEP)))).alias(f"x{k}") for k in range(WORDS)])
+    return t.select("h1", F.array(*[f"x{k}" for k in range(WORDS)]).alias("x"))
 
 
 def _alike() -> str:
-    """Whether the sets of u and v have at least SIMILARITY; sizes tell most others apart."""
+    """Whether the sets of u and v have at least SIMILARITY. Sizes, and hashes that by the sketches only one of them has, tell most others
+    apart before the sets are compared, and no similar ones."""
     least = similar.SIMILARITY
+    # one array each: as columns they make the join's generated code too large to be compiled
+    odd = "aggregate(zip_with(u_x, v_x, (a, b) -> bit_count(a ^ b)), 0, (n, c) -> n + c)"
     return (f"least(u_size, v_size) >= {least}D * greatest(u_size, v_size) - 1e-9D "
-            f"and {1 + least}D * size(array_intersect(u_s, v_s)) >= {least}D * (u_size + v_size) - 1e-9D")
+            f"and {1 + least}D * {odd} <= {1 - least}D * (u_size + v_size) + 1e-3D "
+            f"and {1 + least}D * (u_size - size(array_except(u_s, v_s))) >= {least}D * (u_size + v_size) - 1e-9D")
 
 
 def _side(name: str, t: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,7 +109,7 @@ def _led(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
     n = left.count()
     while n:
         heads = left.groupBy("bucket", "chunks", F.expr(f"pmod(xxhash64('leader', h1), {LEADERS})").alias("k")).agg(F.min("h1").alias("h1"))
-        heads = heads.join(texts, "h1").select("bucket", "h1", "size", "s", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"))
+        heads = heads.join(texts, "h1").select("bucket", *texts.columns, F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"))
         u, v = _side("u", left.join(texts, "h1"), ["bucket", "p"]), _side("v", heads, ["bucket", "p"])
         found = written(u.join(v, ["bucket", "p"]).where(f"u_h1 <> v_h1 and {_alike()}").select("bucket", F.col("u_h1").alias("u"), F.col("v_h1").alias("v")), "links")
         links.append(found.select("u", "v"))
@@ -105,17 +123,19 @@ def _led(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
 
 def _apart(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) between members of a bucket that *roots* (node, root) does not connect yet: those outside the bucket's largest
-    component meet all others of it, chunk by chunk. The join itself compares them, so that other pairs are never rows.
+    component meet all others of it, chunk by chunk. The join itself compares them, so that other pairs are never rows. Who shares several
+    buckets is compared in the first one only; as roots are the same in all of them, they meet in each.
     """
     m = members.join(roots, F.col("h1") == F.col("node"), "left").select("bucket", "h1", "chunks", "p", F.coalesce("root", "h1").alias("root"))
     sizes = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     sizes = sizes.where("top.n < n").select("bucket", F.col("top.root").alias("top"), F.expr("n - top.n = 1").alias("one"), F.expr("(n - top.n) / cast(n as double)").alias("share"))
     m = m.join(sizes, "bucket").select("bucket", "h1", "root", "chunks", "p", "one", F.expr("root = top").alias("most"), F.expr("cast(ceil(share * chunks) as bigint)").alias("us"))
     m = written(m, "apart").join(texts, "h1")
-    keys, rest = ["bucket", "p", "q"], ["h1", "root", "most", "size", "s"]
+    keys, rest = ["bucket", "p", "q"], ["root", "most", *texts.columns]
     u = _side("u", m.where("not most").select("bucket", F.expr("pmod(xxhash64('few', h1), us)").alias("q"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("p"), *rest), keys)
     v = _side("v", m.where("most or not one").select("bucket", F.explode(F.expr("sequence(0L, us - 1)")).alias("q"), "p", *rest), keys)
-    return u.join(v, keys).where(f"u_root <> v_root and (v_most or u_h1 < v_h1) and {_alike()}").select(F.col("u_h1").alias("u"), F.col("v_h1").alias("v")).distinct()
+    once = "bucket = array_min(array_intersect(u_buckets, v_buckets))"
+    return u.join(v, keys).where(f"u_root <> v_root and (v_most or u_h1 < v_h1) and {once} and {_alike()}").select(F.col("u_h1").alias("u"), F.col("v_h1").alias("v")).distinct()
 
 
 def components(lines: DataFrame) -> DataFrame:
@@ -129,9 +149,10 @@ def components(lines: DataFrame) -> DataFrame:
     members = near(keyed, buckets.select("bucket"), "bucket").join(buckets, "bucket")
     members = written(members.select("bucket", "h1", "chunks", F.expr("pmod(xxhash64('chunk', h1), chunks)").alias("p")), "members")
     dropped(banded)
-    nodes = written(members.select("h1").distinct(), "nodes")
-    texts = near(lines.select("h1", "h2", "l"), nodes, "h1").groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
+    nodes = written(members.groupBy("h1").agg(F.collect_list("bucket").alias("buckets")), "nodes")
+    texts = near(lines.select("h1", "h2", "l"), nodes.select("h1"), "h1").groupBy("h1").agg(F.first("l").alias("l"), F.min("h2").alias("a"), F.max("h2").alias("b"))
     texts = written(_shingled(texts.where("a = b").select("h1", "l").join(nodes, "h1")), "texts")
+    texts = texts.join(written(_sketched(texts), "sketches"), "h1")
     links = _led(members, texts)
     roots = members.select(F.col("h1").alias("node"), F.col("h1").alias("root")).limit(0)
     if links:

@@ -696,3 +696,46 @@ def test_line_dedup_minima(spark, monkeypatch):
     for piece in (1 << 16, 17):
         monkeypatch.setattr(linededup, "PIECE", piece)
         assert made() == whole
+
+
+def test_line_dedup_compares_each_pair_once(spark, monkeypatch):
+    """Lines that share several buckets are compared in one of them, whatever the chunks and whoever is connected already."""
+    buckets = {10: [1, 2, 3, 4], 20: [2, 3, 4, 5], 30: [3, 4, 6], 40: [1, 2, 3, 4, 5, 6, 7]}
+    texts = [(h, [b for b, hs in buckets.items() if h in hs], 1, [h], [0] * 16) for h in range(1, 8)]
+    texts = spark.createDataFrame(texts, "h1 long, buckets array<long>, size int, s array<int>, x array<long>")
+    monkeypatch.setattr(linededup, "_alike", lambda: "true")
+    monkeypatch.setattr(type(texts), "distinct", lambda df: df)
+    for chunks in (1, 3):
+        members = spark.createDataFrame([(b, h, chunks, h % chunks) for b, hs in buckets.items() for h in hs], "bucket long, h1 long, chunks long, p long")
+        for root in ({}, {1: 1, 2: 1}, {3: 3, 4: 3, 6: 3, 5: 5, 7: 5}, dict.fromkeys(range(1, 8), 1)):
+            roots = spark.createDataFrame(list(root.items()), "node long, root long")
+            got = [(min(u, v), max(u, v)) for u, v in local(linededup._apart(members, roots, texts), "u", "v")]
+            assert sorted(got) == [(u, v) for u in range(1, 8) for v in range(u + 1, 8) if root.get(u, u) != root.get(v, -v)]
+
+
+def test_line_dedup_sketches_lose_no_similar_pair(spark):
+    """Sketches tell most pairs apart that are not similar, and none that are, those at the very limit included."""
+    rng = random.Random(14)
+    hashes = lambda n: [rng.randint(-2**31, 2**31 - 1) for _ in range(n)]
+    pairs = [(x := hashes(1), x), (hashes(1), hashes(1)), (x := hashes(9), x[1:])]
+    for n in (9, 90, 450, 2700):  # of n + m hashes, n in both: similar from n = 4 m
+        for m in (n // 9, n // 4, n // 4 + 1, n // 3, n // 2, n):
+            for own in (0, m // 2):
+                both, rest = hashes(n), hashes(m)
+                pairs.append((both + rest[:own], rest[own:] + both))
+    sets = [x for pair in pairs for x in pair]
+    t = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(sets)], "h1 long, size int, s array<int>")
+    t = t.join(linededup._sketched(t), "h1")
+    found = dict(local(t, "h1", "x"))
+    for k, x in enumerate(sets):
+        want = [0] * linededup.WORDS
+        for h in x:
+            want[(h >> 6) % linededup.WORDS] ^= 1 << h % 64
+        assert [w % 2**64 for w in found[k]] == want
+    u, v = (t.where(f"h1 % 2 = {k}").select(*[F.col(c).alias(f"{side}_{c}") for c in t.columns]) for k, side in enumerate("uv"))
+    got = {h // 2 for h, in local(u.join(v, F.expr("u_h1 + 1 = v_h1")).where(linededup._alike()), "u_h1")}
+    assert got == {k for k, (x, y) in enumerate(pairs) if similar_lines(set(x), set(y))} and 10 < len(got) < len(pairs) / 2
+    far = [k for k, (x, y) in enumerate(pairs) if 90 < len(x) < 1000 and len(set(x) & set(y)) < 0.76 * len(set(x) | set(y))]
+    odd = [sum((a ^ b).bit_count() for a, b in zip(found[2 * k], found[2 * k + 1], strict=True)) for k in far]
+    apart = [9 * n > len(pairs[k][0]) + len(pairs[k][1]) for n, k in zip(odd, far, strict=True)]
+    assert len(far) == 9 and all(apart)
