@@ -35,6 +35,13 @@ def _note(data: bytes, name: str) -> tuple:
     return plain.note_title(text), plain.paragraphs(text), ["fallback_encoding"] * fallback
 
 
+def whole_note(data: bytes, name: str) -> tuple:
+    """A parser of notes that keeps long paragraphs whole."""
+    text, fallback = decode(data)
+    text = plain.cleaned_note(text)
+    return plain.note_title(text), plain.paragraphs(text, len(text)), ["fallback_encoding"] * fallback
+
+
 def _markdown(data: bytes, name: str) -> tuple:
     text, fallback = decode(data)
     meta, blocks = plain.markdown(text)

@@ -39,3 +39,9 @@ def both(spark, folder, query):
 def test_documents_without_words(spark, tmp_path, query):
     got, want = both(spark, with_rows(spark, tmp_path, "documents", [(9_000_000 + k + 4 * j, x) for j, x in enumerate(BLANK) for k in range(4)], "doc_id long, text string"), query)
     assert got == want
+
+
+def test_long_turns_stay_whole(spark, tmp_path):
+    text = "\n".join(f"line {k} of a turn that is longer than what a paragraph may hold" for k in range(60))
+    got, want = both(spark, with_rows(spark, tmp_path, "conversations", [(9_000_000, 0, "user", "How long?"), (9_000_000, 1, "assistant", text)], "conv_id long, turn long, role string, text string"), "scan_note_files")
+    assert got == want
