@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from corvane.operators import lexical
+from corvane.operators import lexical, vectors
 from corvane.plans import retrieval
 from corvane.session import table
 
@@ -25,3 +25,26 @@ def test_pairs_of_questions_and_chunks_are_bounded(spark, monkeypatch):
         scores = lexical.bm25(q, d, "doc_id")
         assert largest(scores) <= 4 * lexical.PAIRS
         assert sorted(map(tuple, lexical.top(scores, 20).collect())) == whole
+
+
+def test_nearest_without_a_row_for_each_pair(spark, monkeypatch):
+    """As the pairs joined one by one: many equal vectors, nulls, NaN and other lengths among them, in one block or in several."""
+    import math
+    import random
+
+    chance = random.Random(7)
+    rows = [(n, [round(chance.gauss(0, 1), 2) for _ in range(4)]) for n in range(300)] + [(n, [1.0, 2.0, 3.0, 4.0]) for n in range(300, 420)]
+    rows += [(500, [1.0, None, 2.0, 3.0]), (501, [math.nan, 1.0, 1.0, 1.0]), (502, [1.0, 1.0]), (503, [2.0, 3.0]), (504, None)]
+    v = spark.createDataFrame(rows, "chunk_id long, v array<double>").repartition(3)
+    q = v.where("chunk_id % 7 = 0 or chunk_id >= 500").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    unit = lambda a: F.expr(f"transform({a}, x -> x / {vectors.norm(a)})")
+    pairs = q.select("query_id", unit("q").alias("q")).crossJoin(v.select("chunk_id", unit("v").alias("v"))).where("size(q) = size(v)")
+    pairs = pairs.select("query_id", "chunk_id", F.round(F.expr(vectors.dot("q", "v")), 6).alias("similarity"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")))
+    want = sorted(map(str, ranked.where("rank <= 9").collect()))
+    for block, products in ((vectors.BLOCK, 2_000_000), (60, 500)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "PRODUCTS", products, raising=False)
+        found = vectors.knn(q, v, 9)
+        assert sorted(map(str, found.collect())) == want
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
