@@ -3,10 +3,12 @@ as rows (document_id, page, text, left, top, right, bottom, font_size, bold)."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..session import dealt
+from ..session import dealt, sliced
 
 #: Share of a page's height that is margin at either end (fixed value).
 BAND = 0.08
@@ -37,25 +39,43 @@ def fold_lines(spans: list) -> list[list]:
     return lines
 
 
+class _Span(NamedTuple):
+    text: str
+    left: float
+    top: float
+    right: float
+    bottom: float
+    font_size: float
+    bold: bool
+
+
+def _line(n: int, line: list) -> dict:
+    line = sorted(line, key=lambda s: s.left)
+    texts = [" ".join(s.text.split()) for s in line]
+    chars, bold = sum(map(len, texts)), sum(len(t) for t, s in zip(texts, line, strict=True) if s.bold)
+    edges = {k: f(getattr(s, k) for s in line) for f, k in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"))}
+    return {"line": n, "text": " ".join(texts), **edges, "size": max(s.font_size for s in line), "bold": bold * 2 > chars, "chars": chars}
+
+
 def lines(spans: DataFrame) -> DataFrame:
     """Rows (document_id, page, line, text, left, top, right, bottom, size, bold, chars): size is the largest font, bold
-    whether most characters are. A page is one fold, for a line's extent decides what joins it next."""
+    whether most characters are. A page is one fold, for a line's extent decides what joins it next; pages travel as rows, so
+    that a fold does not cost a group of its own in Python."""
     kind = spans.schema["document_id"].dataType.simpleString()
+    fields = [c if c in ("text", "bold") else F.coalesce(c, F.lit(float("nan"))).alias(c) for c in _Span._fields]
+    t = spans.select("document_id", F.col("page").cast("int").alias("page"), F.struct(*fields).alias("s"))
+    t = dealt(t, "document_id", "page").groupBy("document_id", "page").agg(F.collect_list("s").alias("spans"))
 
-    def run(pdf):
-        import pandas as pd
+    def fold(b):
+        found = [(i, line) for i, page in enumerate(b.column("spans").to_pylist()) for line in [_line(n, x) for n, x in enumerate(fold_lines([_Span(**s) for s in page]), 1)]]
+        at = pa.array([i for i, _ in found], pa.int64())
+        return [b.column("document_id").take(at), b.column("page").take(at), *(pa.array([x[k] for _, x in found], v) for k, v in types.items())]
 
-        rows = []
-        for n, line in enumerate(fold_lines(list(pdf.itertuples(index=False))), 1):
-            line.sort(key=lambda s: s.left)
-            texts = [" ".join(s.text.split()) for s in line]
-            chars, bold = sum(map(len, texts)), sum(len(t) for t, s in zip(texts, line, strict=True) if s.bold)
-            edges = [f(getattr(s, k) for s in line) for f, k in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"), (max, "font_size"))]
-            rows.append((pdf["document_id"].iloc[0], pdf["page"].iloc[0], n, " ".join(texts), *edges, bold * 2 > chars, chars))
-        return pd.DataFrame(rows, columns=["document_id", "page", "line", "text", "left", "top", "right", "bottom", "size", "bold", "chars"])
+    import pyarrow as pa
 
-    by_page = dealt(spans.select("document_id", F.col("page").cast("int").alias("page"), "text", "left", "top", "right", "bottom", "font_size", "bold"), "document_id", "page")
-    return by_page.groupBy("document_id", "page").applyInPandas(run, f"document_id {kind}, page int, line int, text string, left double, top double, right double, bottom double, size double, bold boolean, chars long")
+    whole, real = ("line", "chars"), ("left", "top", "right", "bottom", "size")
+    types = {k: pa.int32() if k == "line" else pa.int64() if k in whole else pa.float64() if k in real else pa.bool_() if k == "bold" else pa.string() for k in ("line", "text", "left", "top", "right", "bottom", "size", "bold", "chars")}
+    return t.mapInArrow(sliced(fold, ["document_id", "page", *types]), f"document_id {kind}, page int, line int, text string, left double, top double, right double, bottom double, size double, bold boolean, chars long")
 
 
 def drafts(blocks: DataFrame) -> DataFrame:
@@ -72,23 +92,26 @@ def body_style(page_lines: DataFrame) -> DataFrame:
 
 
 def without_margins(page_lines: DataFrame, height: float) -> DataFrame:
-    """Lines without page numbers, and without what the margins of at least max(3, half) of a document's pages repeat."""
+    """Lines without page numbers, and without what the margins of at least max(3, half) of a document's pages repeat. Counts are taken
+    beside the lines, which are therefore made once."""
     centre = (F.col("top") + F.col("bottom")) / 2
     t = page_lines.withColumn("_key", F.expr(T.margin_key("text"))).withColumn("_margin", (centre <= height * BAND) | (centre >= height * (1 - BAND)))
-    pages = t.groupBy("document_id").agg(F.count_distinct("page").alias("_pages"))
-    again = t.where("_margin").groupBy("document_id", "_key").agg(F.count_distinct("page").alias("_n")).join(pages, "document_id").where("_n >= greatest(3, ceil(_pages / 2D))")
-    t = t.join(again.select("document_id", "_key", F.lit(True).alias("_again")), ["document_id", "_key"], "left")
-    gone = F.col("_margin") & (F.coalesce("_again", F.lit(False)) | F.expr(T.page_number("text")))
-    return t.where(~gone).select(*page_lines.columns)
+    t = t.withColumn("_pages", F.size(F.collect_set("page").over(Window.partitionBy("document_id"))))
+    t = t.withColumn("_n", F.size(F.collect_set(F.when(F.col("_margin"), F.col("page"))).over(Window.partitionBy("document_id", "_key"))))
+    again = F.expr("_key is not null and _n >= greatest(3, ceil(_pages / 2D))")
+    return t.where(~(F.col("_margin") & (again | F.expr(T.page_number("text"))))).select(*page_lines.columns)
 
 
 def heading_levels(page_lines: DataFrame, most: int = 6) -> DataFrame:
     """*page_lines* with level: the rank of the sizes above the body's, at most *most*; bold lines of body size come next;
     null for text."""
-    t = page_lines.join(body_style(page_lines).select("document_id", F.col("size").alias("_size"), F.col("bold").alias("_bold")), "document_id")
-    big = F.round("size", 0) > F.col("_size")
-    by = Window.partitionBy("document_id").orderBy(F.desc(F.when(big, F.round("size", 0))))
-    level = F.when(big, F.least(F.dense_rank().over(by), F.lit(most))).when(F.col("bold") & ~F.col("_bold") & (F.round("size", 0) == F.col("_size")), F.lit(most))
+    t = page_lines.withColumn("_rounded", F.round("size", 0))
+    t = t.withColumn("_chars", F.sum("chars").over(Window.partitionBy("document_id", "_rounded", "bold")))
+    body = F.max_by(F.struct("_rounded", "bold"), F.struct("_chars", -F.col("_rounded"), ~F.col("bold"))).over(Window.partitionBy("document_id"))
+    t = t.withColumn("_body", body)
+    big = F.col("_rounded") > F.col("_body._rounded")
+    by = Window.partitionBy("document_id").orderBy(F.desc(F.when(big, F.col("_rounded"))))
+    level = F.when(big, F.least(F.dense_rank().over(by), F.lit(most))).when(F.col("bold") & ~F.col("_body.bold") & (F.col("_rounded") == F.col("_body._rounded")), F.lit(most))
     return t.withColumn("level", level).select(*page_lines.columns, "level")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from corvane.operators import lexical, vectors
-from corvane.plans import retrieval
+from corvane.plans import registry, retrieval
 from corvane.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -48,3 +48,8 @@ def test_nearest_without_a_row_for_each_pair(spark, monkeypatch):
         found = vectors.knn(q, v, 9)
         assert sorted(map(str, found.collect())) == want
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_pages_are_made_once(spark):
+    plan = registry.queries()["scan_page_lines"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
