@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import pytext as P
+from ..session import through
 
 #: Numbers of a group at most, and words that begin a page reference (fixed values).
 MOST = 10
@@ -86,19 +87,17 @@ def resolved(answers: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("n", "document_id", "page_start", "page_end", "paged"))).alias("sources"))
     t = answers.select("answer_id", "answer").join(s, "answer_id", "left")
 
-    def run(batches):
-        import pandas as pd
-
-        names = [x.strip().split(" ")[0] for x in ("answer_id a", "cleaned a", "cited a", "invalid a", "pages a", "unresolved_pages a", "not_found a")]
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                listed = [(x["document_id"], x["page_start"], x["page_end"], x["paged"]) for x in (r.sources if r.sources is not None else [])]
-                text, cited, invalid, pages, left, none = resolve(r.answer or "", listed)
-                rows.append((r.answer_id, text, [dict(zip(("n", "start", "stop"), c, strict=True)) for c in cited], invalid, [dict(zip(("page", "document_id", "n", "start", "stop"), p, strict=True)) for p in pages], left, none))
-            yield pd.DataFrame(rows, columns=names)
-
-    return t.mapInPandas(run, RESOLVED)
+    def fold(rows):
+        out = []
+        for r in rows:
+            listed = [(x["document_id"], x["page_start"], x["page_end"], x["paged"]) for x in r["sources"] or ()]
+            text, cited, invalid, pages, left, none = resolve(r["answer"] or "", listed)
+            cited = [dict(zip(("n", "start", "stop"), c, strict=True)) for c in cited]
+            pages = [dict(zip(("page", "document_id", "n", "start", "stop"), p, strict=True)) for p in pages]
+            out.append((r["answer_id"], text, cited, invalid, pages, left, none))
+        return out
+
+    return through(t, fold, RESOLVED)
 
 
 def cited_documents(resolved_answers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..session import dealt, sliced
+from ..session import dealt, through
 
 #: Share of a page's height that is margin at either end (fixed value).
 BAND = 0.08
@@ -49,12 +49,12 @@ class _Span(NamedTuple):
     bold: bool
 
 
-def _line(n: int, line: list) -> dict:
+def _line(line: list) -> tuple:
     line = sorted(line, key=lambda s: s.left)
     texts = [" ".join(s.text.split()) for s in line]
     chars, bold = sum(map(len, texts)), sum(len(t) for t, s in zip(texts, line, strict=True) if s.bold)
-    edges = {k: f(getattr(s, k) for s in line) for f, k in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"))}
-    return {"line": n, "text": " ".join(texts), **edges, "size": max(s.font_size for s in line), "bold": bold * 2 > chars, "chars": chars}
+    edges = [f(getattr(s, k) for s in line) for f, k in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"), (max, "font_size"))]
+    return " ".join(texts), *edges, bold * 2 > chars, chars
 
 
 def lines(spans: DataFrame) -> DataFrame:
@@ -66,16 +66,10 @@ def lines(spans: DataFrame) -> DataFrame:
     t = spans.select("document_id", F.col("page").cast("int").alias("page"), F.struct(*fields).alias("s"))
     t = dealt(t, "document_id", "page").groupBy("document_id", "page").agg(F.collect_list("s").alias("spans"))
 
-    def fold(b):
-        found = [(i, line) for i, page in enumerate(b.column("spans").to_pylist()) for line in [_line(n, x) for n, x in enumerate(fold_lines([_Span(**s) for s in page]), 1)]]
-        at = pa.array([i for i, _ in found], pa.int64())
-        return [b.column("document_id").take(at), b.column("page").take(at), *(pa.array([x[k] for _, x in found], v) for k, v in types.items())]
+    def fold(pages):
+        return [(p["document_id"], p["page"], n, *_line(x)) for p in pages for n, x in enumerate(fold_lines([_Span(**s) for s in p["spans"]]), 1)]
 
-    import pyarrow as pa
-
-    whole, real = ("line", "chars"), ("left", "top", "right", "bottom", "size")
-    types = {k: pa.int32() if k == "line" else pa.int64() if k in whole else pa.float64() if k in real else pa.bool_() if k == "bold" else pa.string() for k in ("line", "text", "left", "top", "right", "bottom", "size", "bold", "chars")}
-    return t.mapInArrow(sliced(fold, ["document_id", "page", *types]), f"document_id {kind}, page int, line int, text string, left double, top double, right double, bottom double, size double, bold boolean, chars long")
+    return through(t, fold, f"document_id {kind}, page int, line int, text string, left double, top double, right double, bottom double, size double, bold boolean, chars long")
 
 
 def drafts(blocks: DataFrame) -> DataFrame:

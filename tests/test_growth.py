@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Window, functions as F
 
+from corvane import session
 from corvane.operators import lexical, vectors
 from corvane.plans import registry, retrieval
 from corvane.session import table
@@ -53,3 +55,24 @@ def test_nearest_without_a_row_for_each_pair(spark, monkeypatch):
 def test_lines_of_pages_are_made_once(spark):
     plan = registry.queries()["scan_page_lines"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("query", ["ret_section_extras", "snk_message_reset", "win_section_runs"])
+def test_partitions_follow_the_rows_of_a_table(spark, monkeypatch, query):
+    monkeypatch.setattr(session, "ROWS", 500, raising=False)
+    rows, least = table(spark, DATA, "lineitem").count(), registry.queries()[query](spark, DATA).rdd.getNumPartitions()
+    assert least >= rows // 500
+
+
+@pytest.mark.parametrize("query", ["cite_documents", "cite_resolve", "scan_epub_files", "scan_outline", "scan_text_violations", "scan_xhtml_blocks", "scan_xlsx_files"])
+def test_no_whole_batches_in_python(spark, query):
+    assert "MapInPandas" not in registry.queries()[query](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_rows_and_bytes_at_a_time(spark):
+    def fold(rows):
+        return [(len(rows), sum(len(r["x"]) for r in rows), r["x"][:1]) for r in rows for _ in range(2)]
+
+    for size, most_rows, most_bytes in ((10, 256, 1 << 20), (100_000, 16, 2 << 20)):
+        t = session.through(spark.range(0, 2000, 1, 1).selectExpr(f"repeat('x', {size}) as x"), fold, "rows int, bytes long, x string")
+        assert t.agg(F.count(F.lit(1)), F.max("rows") <= most_rows, F.max("bytes") <= most_bytes, F.min("x")).first() == (4000, True, True, "x")
