@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..functions.pytext import nfc
+from ..session import through
 from . import markup, office, plain, tabular
 from .decode import ParseError, decode, format_of
 
@@ -87,23 +88,20 @@ def parsed(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFr
     t = files.select("path", format_of(F.col("path"), media).alias("format"), F.sha2("content", 256).alias("sha256"), "content")
     known = PARSERS | (parsers or {})
 
-    def run(batches):
-        import pandas as pd
-
-        keys = ("path", "kind", "text", "first", "last")
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                try:
-                    title, blocks, warnings = parse(r.format, bytes(r.content), r.path, known)
-                    rows.append((r.path, r.format, r.sha256, title, [{k: x[k] for k in keys} for x in blocks], warnings, None))
-                except ParseError as e:
-                    rows.append((r.path, r.format, r.sha256, None, [], [], e.kind))
-                except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
-                    rows.append((r.path, r.format, r.sha256, None, [], [], f"engine: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=["path", "format", "sha256", "title", "blocks", "warnings", "error"])
-
-    return t.mapInPandas(run, PARSED)
+    def fold(rows):
+        keys, out = ("path", "kind", "text", "first", "last"), []
+        for r in rows:
+            head = r["path"], r["format"], r["sha256"]
+            try:
+                title, blocks, warnings = parse(r["format"], bytes(r["content"]), r["path"], known)
+                out.append((*head, title, [{k: x[k] for k in keys} for x in blocks], warnings, None))
+            except ParseError as e:
+                out.append((*head, None, [], [], e.kind))
+            except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
+                out.append((*head, None, [], [], f"engine: {type(e).__name__}"))
+        return out
+
+    return through(t, fold, PARSED)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
