@@ -210,8 +210,9 @@ def with_extras(questions: DataFrame, sections: DataFrame, found: DataFrame, lea
     s = sections.join(asked, "query_id", "left_semi").select("query_id", "ordinal", "chunk_ids")
     own = s.select("query_id", "chunk_ids", F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal", "chunk_ids")).alias("rank"), F.lit("section").alias("kind"))
     f = found.join(asked, "query_id", "left_semi").select("query_id", "rank", "score", "chunk_ids")
-    rest = f.join(s.select("query_id"), "query_id", "left_anti").select("query_id", "chunk_ids", "rank", F.lit("search").alias("kind"))
     known = s.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("chunk_ids"))).alias("_known"))
-    new = f.where(F.col("score") >= least).join(known, "query_id").where("not arrays_overlap(chunk_ids, _known)")
-    new = new.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_ids"))).where(F.col("rank") <= most)
-    return own.unionByName(new.select("query_id", "chunk_ids", "rank", F.lit("extra").alias("kind"))).unionByName(rest)
+    f = f.join(known, "query_id", "left").where(F.col("_known").isNull() | (F.col("score") >= least) & F.expr("not arrays_overlap(chunk_ids, _known)"))
+    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_ids")))
+    extra = F.col("_known").isNotNull()
+    f = f.where(~extra | (F.col("_n") <= most)).select("query_id", "chunk_ids", F.when(extra, F.col("_n")).otherwise(F.col("rank")).alias("rank"), F.when(extra, "extra").otherwise("search").alias("kind"))
+    return own.unionByName(f)

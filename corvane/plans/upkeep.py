@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels
 from ..operators import citations, conversations as C, library as L, passages, prompts, vectors
-from ..session import table
+from ..session import spread, table
 
 S = SparkSession
 _FORMATS = ("pdf", "markdown", "text", "note", "csv", "epub", "docx", "xlsx")
@@ -80,13 +80,14 @@ def _messages(spark: S, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as messages of their customers, lineitems as their citations of parts."""
     m = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("message_id"), F.col("o_custkey").alias("conversation_id"), F.expr("if(o_orderkey % 2 = 0, 'user', 'assistant')").alias("role"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("ordinal")).agg(F.min("l_partkey").alias("chunk_id"))
-    return m, li
+    li = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("chunk_id")), "message_id")
+    return m, li.groupBy("message_id", "ordinal").agg(F.min("chunk_id").alias("chunk_id"))
 
 
 def snk_message_finish(spark: S, sf_dir: str) -> DataFrame:
     """Every third message is answered: its citations are the later lineitems, and odd parts are gone."""
     m, li = _messages(spark, sf_dir)
+    m = spread(m, "message_id", like=table(spark, sf_dir, "lineitem"))
     answers = m.where("message_id % 3 = 0").select("message_id", F.expr("concat('answer ', message_id)").alias("text"), F.lit("complete").alias("status"))
     parts = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("chunk_id"))
     m, c = C.finished(m, li.where("ordinal <= 2"), answers, li.where("ordinal > 2"), parts)
@@ -95,6 +96,7 @@ def snk_message_finish(spark: S, sf_dir: str) -> DataFrame:
 
 def snk_message_reset(spark: S, sf_dir: str) -> DataFrame:
     m, li = _messages(spark, sf_dir)
+    m = spread(m, "message_id", like=table(spark, sf_dir, "lineitem"))
     m, c = C.reset(m, li, m.where("message_id % 5 < 2"))
     return m.select("message_id", "role", "text", "status").join(c.groupBy("message_id").agg(F.count(F.lit(1)).alias("citations")), "message_id", "left")
 
@@ -114,7 +116,8 @@ def chat_ask(spark: S, sf_dir: str) -> DataFrame:
 
 def ret_section_extras(spark: S, sf_dir: str) -> DataFrame:
     """Orders as questions: returned lineitems are passages of the section asked for, all lineitems what the search finds."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank")).agg(
+    li = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), "l_returnflag", "l_suppkey", "l_partkey", "l_discount"), "query_id")
+    li = li.groupBy("query_id", "rank").agg(
         F.max("l_returnflag").alias("flag"), F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), (F.max("l_discount") * 10).alias("score"))
     sections = li.where("flag = 'R'").select("query_id", F.col("rank").alias("ordinal"), F.expr("array(s % 10, s % 10 + 1)").alias("chunk_ids"))
     found = li.select("query_id", "rank", "score", F.expr("array(p % 10)").alias("chunk_ids"))
