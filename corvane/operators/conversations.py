@@ -34,7 +34,7 @@ def first_of_runs(t: DataFrame, by: str, order: str, kind: str) -> DataFrame:
 
 
 def groups_of(t: DataFrame, by: str, order: str, kind: str, most: int = 3) -> DataFrame:
-    """Runs of consecutive numbers within a kind, cut after *most*: t with island and part."""
+    """Runs of consecutive numbers within a kind, cut after *most*: t with island and part. Partitions of *t* dealt by *by* stay."""
     w = Window.partitionBy(by, kind).orderBy(order)
     t = t.withColumn("island", F.col(order) - F.row_number().over(w))
     n = F.row_number().over(Window.partitionBy(by, kind, "island").orderBy(order))

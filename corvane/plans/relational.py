@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import conversations as C, library as L
-from ..session import table
+from ..session import spread, table
 from .relational_sql import ORACLE_SQL  # noqa: F401
 
 S = SparkSession
@@ -227,8 +227,8 @@ def win_first_of_runs(spark: S, sf_dir: str) -> DataFrame:
 
 
 def win_section_runs(spark: S, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").withColumn("k", F.concat_ws(":", "l_orderkey", "l_returnflag"))
-    g = C.groups_of(t, "k", "l_linenumber", "l_returnflag")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey")
+    g = C.groups_of(t, "l_orderkey", "l_linenumber", "l_returnflag")
     return g.groupBy("l_orderkey", "l_returnflag", "island", "part").agg(F.min("l_linenumber").alias("first_chunk"), F.count(F.lit(1)).alias("chunks")).select("l_orderkey", "l_returnflag", "first_chunk", "chunks")
 
 
