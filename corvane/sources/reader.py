@@ -37,9 +37,9 @@ def _note(data: bytes, name: str) -> tuple:
 
 
 def whole_note(data: bytes, name: str) -> tuple:
-    """A parser of notes that keeps long paragraphs whole."""
+    """A parser of notes of any length that keeps long paragraphs whole."""
     text, fallback = decode(data)
-    text = plain.cleaned_note(text)
+    text = plain.cleaned_note(text, len(text))
     return plain.note_title(text), plain.paragraphs(text, len(text)), ["fallback_encoding"] * fallback
 
 

@@ -41,7 +41,8 @@ def test_documents_without_words(spark, tmp_path, query):
     assert got == want
 
 
-def test_long_turns_stay_whole(spark, tmp_path):
-    text = "\n".join(f"line {k} of a turn that is longer than what a paragraph may hold" for k in range(60))
+@pytest.mark.parametrize("lines", [60, 20_000])
+def test_long_turns_stay_whole(spark, tmp_path, lines):
+    text = "\n".join(f"line {k} of a turn that is longer than what a paragraph or a note may hold" for k in range(lines))
     got, want = both(spark, with_rows(spark, tmp_path, "conversations", [(9_000_000, 0, "user", "How long?"), (9_000_000, 1, "assistant", text)], "conv_id long, turn long, role string, text string"), "scan_note_files")
     assert got == want
